@@ -101,7 +101,7 @@ def orphan_references(tables: dict[str, DataFrame], references: tuple[Reference,
         return found
     lost = materialize(found, "orphans")
     levels = [lost]
-    for depth in range(2, max_depth + 2):
+    for depth in range(2, max_depth + 1):
         fresh = []
         for r in inner:
             rid = row_ids[r.parent]
@@ -116,7 +116,7 @@ def orphan_references(tables: dict[str, DataFrame], references: tuple[Reference,
             hit = hit.join(known, "link_id", "left_anti")
             fresh.append(tag(hit.select("link_id", F.date_format("__at", "yyyy-MM").alias("ref_month"), F.lit("inherited").alias("reason")), r, depth))
         level = materialize(reduce(DataFrame.unionByName, fresh), f"orphans{depth}")
-        if depth > max_depth + 1 or level.isEmpty():
+        if level.isEmpty():
             discard(level)
             break
         levels.append(level)

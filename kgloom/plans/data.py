@@ -32,7 +32,6 @@ def p5_counts(spark: SparkSession, root: str) -> DataFrame:
 #: Adds what a lost document takes with it: an entity all of whose source rows are orphans, and the links that name it.
 CASCADE = LINK_REFERENCES + (
     Reference("entities", "entity_id", "name", "entity_sources", "entity_name", key=name_key, inherit_only=True),
-    Reference("document_entities", "link_id", "entity_name", "entities", "name", "recorded_at", key=name_key, skewed=True, inherit_only=True),
     Reference("entity_vocabulary_links", "link_id", "entity_name", "entities", "name", "recorded_at", key=name_key, inherit_only=True),
 )
 
