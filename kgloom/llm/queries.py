@@ -7,7 +7,19 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import canon, groups
+from . import canon, fusion, groups, markup, mixing, packing
+
+
+def _entities(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(table(spark, root, n) for n in ("entities", "source_list", "entity_type_list"))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return fusion.supplying_rows(*_entities(spark, root))
+
+
+def p1_fused(spark: SparkSession, root: str) -> DataFrame:
+    return fusion.fuse(*_entities(spark, root))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -15,17 +27,72 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return canon.map_entity_types(t("export_records"), t("entity_type_list"))
 
 
+def _cleaned(spark: SparkSession, root: str) -> DataFrame:
+    return markup.clean_markup(table(spark, root, "export_records").select("record_id", "content", "source"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return markup.markup_rows(_cleaned(spark, root))
+
+
+def p6_clean(spark: SparkSession, root: str) -> DataFrame:
+    return _cleaned(spark, root).select("record_id", "marked", "clean")
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     found = groups.alias_groups(table(spark, root, "entity_aliases"))
     return found.where("group_id < alias_id").select("group_id", "alias_id")
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found}
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(table(spark, root, "documents"), table(spark, root, "container_list"))
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    return packing.container_fill(p8_containers(spark, root), table(spark, root, "container_list"))
+
+
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "source_list"))
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix_shares(p9_mix(spark, root), table(spark, root, "source_list"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_fused": p1_fused, "p3_found": p3_found, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found,
+    "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares,
+}
 
 _WS = r"[\x1c-\x1f\x09-\x0d \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _NAME = f"nullif(trim(regexp_replace(replace(lower(@), 'ß', 'ss'), '{_WS}+', ' ', 'g')), '')"
 
+# Full-width forms to their plain ones, the part of NFKC that these names need.
+_WIDE = "translate(§, '" + "".join(chr(c) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + "\u3000', '" + "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''") + " ')"
+_FOLD = f"trim(regexp_replace(replace(lower({_WIDE}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+_P1 = f"""
+    with base as (
+      select entity_id, {_FOLD.replace('§', 'name')} as k, entity_type, confidence, updated_at, aliases,
+             coalesce((select max(priority) from source_list s where s.source = lower(trim(e.source))), 0) as prio
+      from entities e where name is not null),
+    kept as (select *, count(*) over (partition by k) as n, min(entity_id) over (partition by k) as g from base where k <> ''),
+    dup as (select * from kept where n > 1),
+    al as (
+      select entity_id, count(distinct a) as m from (
+        select entity_id, k, {_FOLD.replace('§', 'raw')} as a from (
+          select entity_id, k, unnest(case when ltrim(aliases)[1] = '[' then cast(json(aliases) as varchar[])
+                   when contains(aliases, '|') then string_split(aliases, '|') else string_split(aliases, ',') end) as raw
+          from dup where aliases is not null and trim(aliases) <> '')) where a <> '' and a <> k group by 1)
+    select g as group_id,
+      coalesce(first(entity_id order by prio desc, updated_at desc nulls last, entity_id) filter (where entity_type in (select type_name from entity_type_list)), 0) as type_from,
+      coalesce(first(entity_id order by m desc, updated_at desc nulls last, entity_id) filter (where m > 0), 0) as aliases_from,
+      coalesce(first(entity_id order by updated_at desc nulls last, prio desc, entity_id) filter (where confidence >= 0 and confidence <= 1), 0) as confidence_from
+    from dup left join al using (entity_id) group by g"""
+
 ORACLE = {
+    "p1_found": _P1,
     "p7_found": f"""
         with recursive uses as (
           select alias_id, entity_type as t, {_NAME.replace('@', 'alias')} as k from entity_aliases
