@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, fusion, groups, markup, mixing, packing
+from . import canon, fusion, groups, markup, mixing, packing, subjects
 
 
 def _entities(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -60,9 +61,24 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix_shares(p9_mix(spark, root), table(spark, root, "source_list"))
 
 
+def _subjects(spark: SparkSession, root: str) -> DataFrame:
+    return subjects.assign_subjects(table(spark, root, "documents"), table(spark, root, "subject_list"), table(spark, root, "subject_labels"))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return _subjects(spark, root).select("doc_id", "subject_id")
+
+
+def p10_composition(spark: SparkSession, root: str) -> DataFrame:
+    """Documents per subject of the list, those without any included as null."""
+    found = _subjects(spark, root)
+    some = found.groupBy("subject_id").agg(F.countDistinct("doc_id").alias("documents"))
+    return table(spark, root, "subject_list").select("subject_id", "subject_name").join(some, "subject_id", "left").select("subject_id", "subject_name", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_fused": p1_fused, "p3_found": p3_found, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found,
-    "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition,
 }
 
 _WS = r"[\x1c-\x1f\x09-\x0d \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
