@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,7 +65,22 @@ def discard(*frames: DataFrame | None) -> None:
             remove_path(df.sparkSession, path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kgloom_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="kgloom-")) / "kgloom_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(path))
+    sc._kgloom_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
