@@ -46,7 +46,8 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", label: str =
         e = nxt
     discard(e)
     if not rounds:
-        return edges.select(F.col(a).cast("long").alias("node"), F.col(a).cast("long").alias("group_id")).where("false")
+        # keeps the type of the nodes
+        return edges.select(F.col(a).alias("node"), F.col(a).alias("group_id")).where("false")
     done = rounds[-1].select("node", F.col("parent").alias("group_id"))
     for forest in reversed(rounds[:-1]):
         above = done.select(F.col("node").alias("parent"), "group_id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, fusion, groups, markup, mixing, packing, subjects
+from . import canon, fusion, groups, markup, mixing, packing, subjects, variants
 
 
 def _entities(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -23,6 +23,11 @@ def p1_fused(spark: SparkSession, root: str) -> DataFrame:
     return fusion.fuse(*_entities(spark, root))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    t = partial(table, spark, root)
+    return variants.variant_pairs(t("entities"), t("entity_aliases"), t("entity_type_list"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     t = partial(table, spark, root)
     return canon.map_entity_types(t("export_records"), t("entity_type_list"))
@@ -77,7 +82,7 @@ def p10_composition(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_fused": p1_fused, "p3_found": p3_found, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found,
+    "p1_found": p1_found, "p1_fused": p1_fused, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found,
     "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition,
 }
 
