@@ -10,30 +10,79 @@ from ..functions.text import folded, norm_alias, norm_name
 from ..session import discard, materialize
 
 
+def _flatten(hooks: DataFrame) -> DataFrame:
+    """root, parent with every parent a top: four steps up at a time until none is left."""
+    while True:
+        one = hooks.join(hooks.toDF("parent", "up"), "parent", "left").select("root", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved"))
+        two = one.join(hooks.toDF("parent", "up"), "parent", "left").select("root", F.coalesce("up", "parent").alias("parent"), (F.col("moved") | F.col("up").isNotNull()).alias("moved"))
+        step = materialize(two, "hooks")
+        discard(hooks)
+        hooks = step.select("root", "parent")
+        hooks._kgloom_path = step._kgloom_path
+        if step.where("moved").isEmpty():
+            return hooks
+
+
 def _spread(keys: DataFrame) -> DataFrame:
     """node, part: nodes that share a key, directly or not, share a part. keys: node, key.
 
-    Labels of keys fall to the smallest key their nodes reach; each round also takes the label's own label, so chains
-    shorten by half."""
+    Every label hooks to the smallest label it meets in a node, the hooks are flattened, and keys take their label's
+    top: each round at least halves the labels that still meet others, however long the chains are."""
     low = keys.select("key").distinct().withColumn("low", F.col("key"))
     while True:
-        per_node = keys.join(low, "key").groupBy("node").agg(F.min("low").alias("part"))
-        per_key = keys.join(per_node, "node").groupBy("key").agg(F.min("part").alias("part"))
-        up = low.toDF("part", "up")
-        step = per_key.join(up, "part", "left").join(low, "key").select("key", F.least("part", F.coalesce("up", "part"), "low").alias("low"), (F.least("part", F.coalesce("up", "part")) < F.col("low")).alias("moved"))
-        step = materialize(step, "parts")
-        done = step.where("moved").isEmpty()
-        discard(low)
-        low = step.select("key", "low")
-        low._kgloom_path = step._kgloom_path
-        if done:
-            return keys.join(low, "key").groupBy("node").agg(F.min("low").alias("part"))
+        at = keys.join(low, "key").select("node", "low")
+        least = at.groupBy("node").agg(F.min("low").alias("parent"))
+        hooks = materialize(at.join(least, "node").where("low > parent").groupBy(F.col("low").alias("root")).agg(F.min("parent").alias("parent")), "hooks")
+        if hooks.isEmpty():
+            discard(hooks)
+            return least.select("node", F.col("parent").alias("part"))
+        tops = _flatten(hooks)
+        step = materialize(low.join(tops.toDF("low", "top"), "low", "left").select("key", F.coalesce("top", "low").alias("low")), "parts")
+        discard(low, tops)
+        low = step
 
 
 def _alias(s: str | None) -> str:
     return " ".join((s or "").strip().casefold().split())
 
 
+class _Family:
+    """Names and claimed aliases of rows that can meet, as they stand after the rows so far."""
+
+    def __init__(self) -> None:
+        self.names: dict[str, set] = {}
+        self.have: set[str] = set()
+        self.claims: dict[str, str] = {}
+        self.folded: dict[str, set] = {}
+
+    def add_name(self, n: str) -> None:
+        self.have.add(n)
+        self.names.setdefault(folded(n) or "", set()).add(n)
+
+    def add_claim(self, a: str, n: str) -> None:
+        if a and a not in self.claims:
+            self.claims[a] = n
+            self.folded.setdefault(folded(a) or "", set()).add(n)
+
+    def resolve(self, name: str, aliases: list[str]) -> tuple[str, list[str]]:
+        to = name
+        if name not in self.have:
+            spell = [name, *aliases]
+            hit = {self.claims[a] for a in map(_alias, spell) if a in self.claims}
+            keys = {f for f in map(folded, spell) if f}
+            same = {n for k in keys for n in self.names.get(k, ())}
+            other = {n for k in keys for n in self.folded.get(k, ())}
+            for found in (hit, same, other):
+                if found:
+                    to = next(iter(found)) if len(found) == 1 else name
+                    break
+        every = [a for a in [*aliases, *([name] if _alias(name) != _alias(to) else [])] if _alias(a)]
+        self.add_name(to)
+        for a in [to, *every]:
+            self.add_claim(_alias(a), to)
+        return to, every
+
+
 RESOLVED = "seq long, name string, entity_type string, canonical string, aliases array<string>, confidence double"
 
 
@@ -54,55 +103,27 @@ def resolve_entities(batch: DataFrame, entities: DataFrame, aliases: DataFrame)
     keys = materialize(keys, "keys")
     part = _spread(keys)
 
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names: dict[str, set] = {}
-        have: set[str] = set()
-        claims: dict[str, str] = {}
-        folded_claims: dict[str, set] = {}
-
-        def add_name(n: str) -> None:
-            have.add(n)
-            names.setdefault(folded(n) or "", set()).add(n)
-
-        def add_claim(a: str, n: str) -> None:
-            if a and a not in claims:
-                claims[a] = n
-                folded_claims.setdefault(folded(a) or "", set()).add(n)
-
-        out = []
-        for r in pdf.sort_values(["kind", "seq", "name"], kind="stable").itertuples():
-            if r.kind == 0:
-                add_name(r.name)
-                continue
-            if r.kind == 1:
-                add_claim(r.name, r.to)
-                continue
-            spell = [r.name, *r.aliases]
-            hit = {claims[a] for a in map(_alias, spell) if a in claims}
-            keys_ = {f for f in map(folded, spell) if f}
-            to = r.name
-            if r.name not in have:
-                if hit:
-                    to = next(iter(hit)) if len(hit) == 1 else r.name
+    def resolve(batches):
+        # rows arrive family by family, in order; only one family's names are held at a time
+        at, family = None, _Family()
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.part != at:
+                    at, family = r.part, _Family()
+                if r.kind == 0:
+                    family.add_name(r.name)
+                elif r.kind == 1:
+                    family.add_claim(r.name, r.to)
                 else:
-                    same = {n for k in keys_ for n in names.get(k, ())}
-                    other = {n for k in keys_ for n in folded_claims.get(k, ())}
-                    if len(same) == 1:
-                        to = next(iter(same))
-                    elif not same and len(other) == 1:
-                        to = next(iter(other))
-            extra = [r.name] if _alias(r.name) != _alias(to) else []
-            every = [a for a in [*r.aliases, *extra] if _alias(a)]
-            add_name(to)
-            for a in [to, *every]:
-                add_claim(_alias(a), to)
-            out.append((r.seq, r.name, r.entity_type, to, every, r.confidence))
-        return pd.DataFrame(out, columns=["seq", "name", "entity_type", "canonical", "aliases", "confidence"])
-
-    cols = ["kind", "seq", "name", "entity_type", "aliases", "confidence", "to"]
-    done = rows.join(part, "node").select("part", *cols).groupBy("part", "entity_type").applyInPandas(lambda p: resolve(p), RESOLVED)
+                    to, every = family.resolve(r.name, list(r.aliases))
+                    out.append((r.seq, r.name, r.entity_type, to, every, r.confidence))
+            yield pd.DataFrame(out, columns=["seq", "name", "entity_type", "canonical", "aliases", "confidence"])
+
+    cols = ["part", "kind", "seq", "name", "entity_type", "aliases", "confidence", "to"]
+    done = rows.join(part, "node").select(*cols).repartition("part").sortWithinPartitions("part", "kind", "seq", "name").mapInPandas(resolve, RESOLVED)
     done = materialize(done, "resolved")
-    discard(rows, keys, part)
+    discard(rows, keys)
     return done
 
 
