@@ -140,7 +140,7 @@ def mix(documents: DataFrame, sources: DataFrame, length: int = 256, shard_slots
                     here = use == u
                     block[here] = permute(k[here] % size, size, seed * 1_000_003 + name * 31 + int(u))
                 out.append(pd.DataFrame({"shard": shard, "source": source, "block": block, "use": use.astype("int32")}))
-            yield pd.concat(out) if out else pd.DataFrame({"shard": [], "source": [], "block": [], "use": []})
+            yield pd.concat(out) if out else pd.DataFrame({c: pd.Series([], dtype=object) for c in ("shard", "source", "block", "use")})
 
     where = drawn.mapInPandas(slots, "shard long, source string, block long, use int")
     order = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("source", "block", "use", F.lit(seed)), "source", "block", "use")) - 1
