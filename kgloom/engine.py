@@ -14,6 +14,7 @@ from .functions.text import norm_alias, strip_space
 from .operators import canonical, graph, inference, qa, upsert, vocabulary
 from .schemas import TABLES, conform, empty
 from .sources import sinks
+from .sources.readers import RELATION, clean_relations
 
 
 class TableStore:
@@ -61,8 +62,6 @@ def select_slice(df: DataFrame, offset: int = 0, limit: int = 0) -> DataFrame:
 
 def extract_generic(documents: DataFrame) -> DataFrame:
     """Rule-based extraction: runs of capitalized words as concepts (first 30), the first 120 words as summary."""
-    from .sources.readers import clean_relations, RELATION
-
     names = F.slice(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?U)\b([A-Z][A-Za-z]{2,}(?:\s+[A-Z][A-Za-z]{2,})*)\b"), F.lit(1))), 1, 30)
     none = F.array().cast("array<string>")
     ents = F.transform(names, lambda n: F.struct(n.alias("name"), F.lit("Concepts").alias("entity_type"), F.lit(0.5).alias("confidence"), none.alias("aliases")))
@@ -161,7 +160,7 @@ def derive(store: TableStore, enriched: str, music: str) -> None:
     """Every derived table rebuilt."""
     t = store.read
     ents, aliases = upsert.prune_orphans(t("entities"), t("entity_aliases"), t("document_entities"), t("relations"))
-    store.commit({"entities": ents, "entity_aliases": aliases.select(*TABLES_COLUMNS("entity_aliases"))})
+    store.commit({"entities": ents, "entity_aliases": conform(aliases, "entity_aliases")})
     chains = inference.relation_chains(t("relations"), t("document_relations"))
     one = inference.same_document_links(t("document_entities"), t("documents"), t("document_vocabulary_links"), enriched)
     two = inference.three_way_links(t("document_entities"), t("documents"), t("document_vocabulary_links"), t("document_relations"), t("entities"), enriched, music)
@@ -171,12 +170,6 @@ def derive(store: TableStore, enriched: str, music: str) -> None:
     store.commit({"derived_relations": conform(chains, "derived_relations"), "cross_domain_links": conform(cross, "cross_domain_links"), "source_bridge_links": conform(bridges, "source_bridge_links")})
 
 
-def TABLES_COLUMNS(name: str) -> list[str]:
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(TABLES[name]).fieldNames()
-
-
 def project(store: TableStore, out: str) -> None:
     """Graph, manifest and notes below ``out``."""
     t = store.read

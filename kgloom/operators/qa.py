@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import valid_confidence
@@ -114,12 +114,10 @@ def audit(spark: SparkSession, t: dict[str, DataFrame]) -> dict:
     absent = [n for n in REQUIRED if n not in t]
     if absent:
         return {"status": "FAIL", "errors": len(absent), "warnings": 0, "findings": [{"rule": "schema.required_tables", "severity": "error", "context": n} for n in absent]}
-    from pyspark.sql import Window
-
     found = findings(t).cache()
     total = {r.rule: (r.severity, r.findings) for r in counts(found).collect()}
     w = Window.partitionBy("rule").orderBy("context")
     shown = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= CAP).orderBy(F.col("severity") != "error", "rule", "n").collect()
     found.unpersist()
     errors = sum(n for s, n in total.values() if s == "error")
-    return {"status": "FAIL" if errors else "PASS", "errors": errors, "warnings": sum(n for s, n in total.values() if s == "warning"), "counts": {k: n for k, (_, n) in sorted(total.items())}, "findings": [r.asDict() for r in ((x) for x in shown)]}
+    return {"status": "FAIL" if errors else "PASS", "errors": errors, "warnings": sum(n for s, n in total.values() if s == "warning"), "counts": {k: n for k, (_, n) in sorted(total.items())}, "findings": [{k: r[k] for k in ("rule", "severity", "context")} for r in shown]}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import engine
 from ..functions import lookup, text
 from ..operators import canonical, graph, inference, qa, upsert, vocabulary
+from ..schemas import RELATION_TYPES, TYPE_WORDS, empty
 from ..session import table
 from ..sources import readers, sinks
 from ..vault import notes
@@ -115,8 +116,6 @@ def page_id(spark, root):
 
 
 def _types_case(c: str) -> str:
-    from ..schemas import TYPE_WORDS
-
     return f"case lower({strip_sql(c)}) " + " ".join(f"when '{k}' then '{v}'" for k, v in TYPE_WORDS.items()) + " else 'Concepts' end"
 
 
@@ -127,8 +126,6 @@ def type_ontology(spark, root):
 
 
 def _relation_case(c: str) -> str:
-    from ..schemas import RELATION_TYPES
-
     key = f"translate(lower({strip_sql(c)}), ' -', '__')"
     return f"case when {key} in ({', '.join(repr(r) for r in RELATION_TYPES)}) then {key} else {strip_sql(f'coalesce({c}, {chr(39)}{chr(39)})')} end"
 
@@ -250,8 +247,6 @@ def delete_then_insert(spark, root):
 
 def _failures(spark, root) -> DataFrame:
     i = T(spark, root, "run_items").where("outcome = 'error'").select(F.lower("document_id").alias("document_id"), F.concat_ws(":", "run_id", "item_id").alias("error"), F.col("finished_at").alias("at"), F.col("item_id").alias("seq"))
-    from ..schemas import empty
-
     return upsert.record_failures(empty(spark, "processing_failures"), i)
 
 
