@@ -44,9 +44,9 @@ def edit_bound(c: Column) -> Column:
     return F.when(F.length(c) < 4, 0).when(F.length(c) < 8, 1).otherwise(2)
 
 
-def deletes(c: Column) -> Column:
-    """Hashes of the token and of all strings that its edit bound of deletions leaves. Tokens within the bound of each
-    other share one; hashes may collide, so candidates are verified."""
+def deletes(c: Column, wide: Column | None = None) -> Column:
+    """Hashes of the token and of all strings that its edit bound of deletions leaves, or at most one deletion where
+    ``wide`` is false. Tokens within the bound of each other share one; hashes may collide, so candidates are verified."""
     n = F.length(c)
 
     def cut(s: Column, i: Column) -> Column:
@@ -55,5 +55,5 @@ def deletes(c: Column) -> Column:
     one = F.transform(F.sequence(F.lit(0), n - 1), lambda i: cut(c, i))
     two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(F.lit(0), i - 1), lambda j: cut(cut(c, i), j))))
     none = F.array(c)
-    every = F.when(n < 4, none).when(n < 8, F.concat(none, one)).otherwise(F.concat(none, one, two))
+    every = F.when(n < 4, none).when((n < 8) if wide is None else (n < 8) | ~wide, F.concat(none, one)).otherwise(F.concat(none, one, two))
     return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
