@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -148,44 +148,41 @@ def _recount(bags: DataFrame, weights: dict[str, np.ndarray], k: int, vocabulary
     return n_tc, n_t, every / every.sum()
 
 
-def mine_rules(bags: DataFrame, weights: dict[str, np.ndarray], k: int, sure: float, lead: float, least_count: int = 5, least_share: float = 2e-5, chunk: int = 12) -> DataFrame:
-    """antecedent (one or two items), subject, support, confidence: class-association rules by parallel FP-growth.
-
-    A transaction is the informative items of a sentence with the subject it is surely about, if any; equal ones count
-    once, so copied texts neither bias nor blow up the mining. Sentences with more than ``chunk`` informative items
-    are mined in chunks. A rule is redundant if a part of its antecedent gives the subject with about the same
-    confidence."""
-    from pyspark.ml.fpm import FPGrowth
+def mine_rules(bags: DataFrame, weights: dict[str, np.ndarray], k: int, sure: float, lead: float, least_count: int = 5, least_share: float = 2e-5) -> DataFrame:
+    """antecedent (one or two items), subject, support, confidence: class-association rules.
 
+    A transaction is the informative items of a sentence with the subject it is surely about, if any. Equal ones are
+    kept once with their number, and every item and every pair of items of a transaction is counted that often: with
+    antecedents of at most two items these are all frequent sets. A rule is redundant if a part of its antecedent gives
+    the subject with about the same confidence."""
     wb = bags.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         w = wb.value
         for b in batches:
-            out = set()
+            out: Counter = Counter()
             for bag, kind in zip(b.bag, b.kind):
                 lines = _lines(bag, kind)
                 for items, at in zip(lines, _settle(lines, w, k, sure, lead)[0]):
                     told = sorted({t for t in items if t in w and w[t].max() >= 1.0})
-                    if not told:
-                        continue
-                    tail = (f"={at}",) if at < k else ()
-                    for a in range(0, len(told), chunk):
-                        out.add(tuple(told[a : a + chunk]) + tail)
-            yield pd.DataFrame({"items": pd.Series([list(x) for x in out], dtype=object)})
-
-    moves = materialize(bags.mapInPandas(run, "items array<string>").distinct(), "transactions")
-    n = moves.count()
+                    if told:
+                        out[tuple(told), at] += 1
+            yield pd.DataFrame({"items": pd.Series([list(x) for x, _ in out], dtype=object), "c": pd.Series([c for _, c in out], dtype="int32"), "times": pd.Series(list(out.values()), dtype="int64")})
+
+    moves = bags.mapInPandas(run, "items array<string>, c int, times long").groupBy("items", "c").agg(F.sum("times").alias("times"))
+    moves = materialize(moves, "transactions")
+    n = moves.agg(F.sum("times")).first()[0] or 0
     empty = bags.sparkSession.createDataFrame([], "x string, y string, subject int, support long, confidence double")
     if not n:
         return empty
     # the lowest support still frequent: an absolute least count, then a share, which bounds the number of rules
-    model = FPGrowth(itemsCol="items", minSupport=max(least_count, least_share * n) / n, minConfidence=1.0).fit(moves)
-    sets = model.freqItemsets.select(F.filter("items", lambda t: ~t.startswith("=")).alias("x"), F.filter("items", lambda t: t.startswith("=")).alias("c"), "freq")
-    sets = sets.where((F.size("x") <= 2) & (F.size("x") >= 1)).withColumn("x", F.array_sort("x"))
-    sets = materialize(sets.select(F.col("x")[0].alias("x"), F.when(F.size("x") == 2, F.element_at("x", 2)).alias("y"), F.try_element_at("c", F.lit(1)).alias("c"), "freq"), "itemsets")
-    whole = sets.where("c is null").select("x", F.coalesce("y", F.lit("")).alias("y"), F.col("freq").alias("n"))
-    rules = sets.where("c is not null").select("x", F.coalesce("y", F.lit("")).alias("y"), F.substring("c", 2, 9).cast("int").alias("subject"), F.col("freq").alias("support")).join(whole, ["x", "y"])
+    least = max(least_count, least_share * n)
+    first = moves.select("c", "times", "items", F.posexplode("items").alias("at", "x"))
+    second = first.select("x", F.explode(F.expr("slice(items, at + 2, size(items))")).alias("y"), "c", "times")
+    per = first.select("x", F.lit("").alias("y"), "c", "times").unionByName(second).groupBy("x", "y", "c").agg(F.sum("times").alias("freq"))
+    per = per.groupBy("x", "y").agg(F.sum("freq").alias("n"), F.collect_list(F.when((F.col("c") < k) & (F.col("freq") >= least), F.struct("c", "freq"))).alias("s")).where(F.size("s") > 0)
+    sets = materialize(per.select("x", "y", "n", F.explode("s").alias("s")).select("x", "y", "n", "s.c", "s.freq"), "itemsets")
+    rules = sets.select("x", "y", F.col("c").alias("subject"), F.col("freq").alias("support"), "n")
     rules = rules.withColumn("confidence", (F.col("support") + 0.1) / (F.col("n") + 0.1 * (k + 1))).select("x", "y", "subject", "support", "confidence")
     single = rules.where("y = ''")
     part = single.select(F.col("x").alias("p"), "subject", F.col("confidence").alias("pc"))
@@ -258,7 +255,7 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
 
     Items of labelled documents (at most ``label_limit``, the bounded training sample) and the words of the subject
     list give first evidence; passes over the sentences of all documents refine it; class-association rules are mined
-    from them with parallel FP-growth and pruned; every sentence of every document is scored by its matching rules,
+    from them by counting all sentences and pruned; every sentence of every document is scored by its matching rules,
     calibrated on the labelled sample. Items count from ``item_share`` of all sentences, which bounds the vocabulary.
     Documents of any status, null or empty text (no rows), repeated rows (each comes out) and wrong labels are fine;
     without labels the subject list alone gives the evidence; without subjects the result is empty."""

@@ -136,3 +136,17 @@ def test_subjects(spark):
     assert 2 * hit / sum(len(got[i]) + len(truth[i]) for i in held) > 0.95
     assert not got[900] and not got[901] and not got[902] and got[903] == {1}
     assert subjects.assign_subjects(docs(spark, rows), listed.limit(0), lab).count() == 0
+
+
+def test_rules_count_every_sentence(spark):
+    w = {t: np.array([2.0, 0.0]) for t in ["solo", *(f"w{i:02}" for i in range(14))]}
+    long = " ".join(f"w{i:02}" for i in range(14))
+    bags = spark.createDataFrame([(1, "", "\n".join(["solo"] * 40)), (2, "", "\n".join([long] * 30))], "doc_id long, kind string, bag string")
+    got = {(r.x, r.y): (r.subject, r.support) for r in subjects.mine_rules(bags, w, 2, 1.5, 0.7).collect()}
+    # sentences of one item count each time they occur
+    assert got["solo", ""] == (0, 40) and got["w13", ""] == (0, 30)
+    # either item alone is of no subject, both together are, though they stand far apart
+    v = {t: np.array([1.0, 0.1]) for t in w}
+    bags = spark.createDataFrame([(1, "", "\n".join(["w00"] * 60 + ["w13"] * 60 + [long] * 30))], "doc_id long, kind string, bag string")
+    got = {(r.x, r.y): r.support for r in subjects.mine_rules(bags, v, 2, 1.5, 0.7).collect()}
+    assert got["w00", "w13"] == 30
