@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import discard, materialize
 
@@ -223,16 +225,21 @@ def _lines(lines: list[str], furniture: frozenset[str]) -> tuple[list[tuple[str,
             found = True
             blocks.append(("text", m.group(1)))
         elif bare in furniture and _MATH not in bare and _CODE not in bare:
-            found = True
+            continue
         else:
             blocks.append(("text", bare))
     return blocks, found
 
 
 def parse(content: str | None, furniture: frozenset[str] = frozenset()) -> tuple[bool, list[tuple[str, str]], str]:
-    """Whether the content holds markup, its (kind, text) elements in reading order, and the clean text."""
+    """Whether the content holds markup, its (kind, text) elements in reading order, and the clean text. Furniture is
+    left out only where there is markup."""
     if not content:
         return False, [], content or ""
+    if furniture:
+        whole = parse(content)
+        if not whole[0]:
+            return whole
     text = _PRIVATE.sub("", content.replace("\r\n", "\n").replace("\r", "\n"))
     kept: list[tuple[str, str]] = []
     found = False
@@ -306,14 +313,38 @@ _BLOCKS = frozenset(BLOCK_TAGS.split())
 _ALL_TAGS = (INLINE_TAGS + " " + BLOCK_TAGS + " h1 h2 h3 h4 h5 h6 li pre").split()
 
 
-def page_template(pages: DataFrame, site: str, page: str, text: str, min_pages: int = 5, min_tokens: int = 2) -> DataFrame:
+def crossing(at: list[tuple[int, str, int]]) -> list[str]:
+    """Classes of a page, given as (rank, class, line number), that neither lie in one slot of each better ranked one
+    nor have it in one of theirs."""
+    where: dict[tuple[int, str], list[int]] = {}
+    for rank, vec, pos in sorted(at):
+        where.setdefault((rank, vec), []).append(pos)
+    kept: list[list[int]] = []
+    out = []
+    for (_, vec), mine in sorted(where.items()):
+        if all(bisect(a, b[0]) == bisect(a, b[-1]) or bisect(b, a[0]) == bisect(b, a[-1]) for a, b in ((k, mine) for k in kept)):
+            kept.append(mine)
+        else:
+            out.append(vec)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _crossing(at: pd.Series) -> pd.Series:
+    return pd.Series([crossing([(x["rank"], x["vec"], x["pos"]) for x in a]) for a in at], dtype=object)
+
+
+def page_template(pages: DataFrame, site: str, page: str, text: str, min_pages: int = 5, min_tokens: int = 2, min_share: float = 0.2) -> DataFrame:
     """page, furniture: the lines of each page that belong to the template of its site.
 
     Lines are the tokens. Lines of a site with the same occurrence vector (the same pages, as often on each) form an
     equivalence class; the vector is compared by page count and an additive hash over pages, so no page list is ever
     gathered. A class is valid if it has ``min_tokens`` lines on ``min_pages`` different pages, each once a page and
-    always in the same order. Valid classes nest by order of first line: what lies between their lines are the slots,
-    left to the markup grammar. Pages with equal text count once; null texts and sites take no part."""
+    always in the same order, on ``min_share`` of the site's pages, and if the pages differ in what it leaves: on
+    average two other lines and a quarter of its own number, else they are near-copies of one text. Valid classes
+    nest: on each page one lies in a single slot (between two lines, before or after all) of any other, else the one
+    on fewer pages is no template. The slots are left to the markup grammar. Pages with equal text count once; null
+    texts and sites take no part."""
     texts = pages.select(site, page, text).where(f"{text} is not null and {site} is not null")
     once = texts.groupBy(F.col(site).alias("site"), F.xxhash64(text).alias("h")).agg(F.min(F.struct(F.col(page), F.col(text))).alias("x")).select("site", F.col(f"x.{page}").alias("page"), F.col(f"x.{text}").alias("text"))
     lines = once.select("site", "page", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
@@ -321,10 +352,21 @@ def page_template(pages: DataFrame, site: str, page: str, text: str, min_pages:
     per = materialize(per, "template-lines")
     vector = per.groupBy("site", "line").agg(F.count("*").alias("pages"), F.max("n").alias("n"), F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vec")).where(F.col("pages") >= min_pages)
     classes = vector.where("n = 1").groupBy("site", "pages", "vec").agg(F.count("*").alias("tokens")).where(F.col("tokens") >= min_tokens)
-    members = vector.join(classes.select("site", "pages", "vec"), ["site", "pages", "vec"], "left_semi").select("site", "line", "vec")
-    placed = per.join(members, ["site", "line"]).select("site", "page", "vec", "pos", "line")
+    sites = per.groupBy("site").agg(F.countDistinct("page").alias("all"))
+    classes = classes.join(sites, "site").where(F.col("pages") >= min_share * F.col("all"))
+    members = vector.join(classes.select("site", "pages", "vec"), ["site", "pages", "vec"], "left_semi").select("site", "line", "vec", "pages")
+    placed = per.join(members, ["site", "line"]).select("site", "page", "vec", "pages", "pos", "line")
     order = placed.groupBy("site", "page", "vec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.xxhash64(x.line).cast("string")), ",").alias("seq"))
     valid = order.groupBy("site", "vec").agg(F.countDistinct("seq").alias("orders")).where("orders = 1").select("site", "vec")
+    # lines a page has besides those of the class
+    length = per.groupBy("site", "page").agg(F.count("*").alias("length"))
+    own = placed.groupBy("site", "page", "vec").agg(F.count("*").alias("tokens")).join(length, ["site", "page"])
+    own = own.groupBy("site", "vec").agg(F.avg(F.col("length") - F.col("tokens")).alias("own"), F.max("tokens").alias("tokens"))
+    valid = valid.join(own.where(F.col("own") >= F.greatest(F.lit(2), 0.25 * F.col("tokens"))), ["site", "vec"], "left_semi")
+    placed = placed.join(valid, ["site", "vec"], "left_semi")
+    crossed = placed.groupBy("site", "page").agg(F.collect_list(F.struct((-F.col("pages")).alias("rank"), F.col("vec").cast("string").alias("vec"), "pos")).alias("at")).where(F.size(F.array_distinct(F.transform("at", lambda x: x.vec))) > 1)
+    crossed = crossed.select("site", F.explode(_crossing("at")).alias("v"))
+    valid = valid.join(crossed.select("site", F.col("v").cast("decimal(38,0)").alias("vec")).distinct(), ["site", "vec"], "left_anti")
     lines_of = members.join(valid, ["site", "vec"], "left_semi").select("site", "line").distinct()
     # back to every page, copies too
     hits = texts.select(F.col(site).alias("site"), F.col(page).alias("page"), F.explode(F.array_distinct(F.transform(F.split(F.col(text), r"\r?\n"), lambda x: F.trim(x)))).alias("line")).where("line <> ''")

@@ -150,3 +150,17 @@ def test_rules_count_every_sentence(spark):
     bags = spark.createDataFrame([(1, "", "\n".join(["w00"] * 60 + ["w13"] * 60 + [long] * 30))], "doc_id long, kind string, bag string")
     got = {(r.x, r.y): r.support for r in subjects.mine_rules(bags, v, 2, 1.5, 0.7).collect()}
     assert got["w00", "w13"] == 30
+
+
+def test_template_keeps_body_text(spark):
+    assert markup.parse("one\ntwo", frozenset(["one"])) == (False, [], "one\ntwo")
+    body = [f"A sentence number {j} of the record" for j in range(9)]
+    # near-copies, with markup and without, and a rare group of pages
+    rows = [(i, "\n".join([*body, f"# Edited {i}"]), "a") for i in range(8)] + [(20 + i, "\n".join([*body, f"edited {i}"]), "b") for i in range(8)]
+    rows += [(100 + i, f"# H{i}\nfirst {i}\nFoot one\nsecond {i}\nFoot two", "c") for i in range(6)] + [(200 + i, f"# other {i}", "c") for i in range(60)]
+    out = {r.record_id: r for r in markup.clean_markup(spark.createDataFrame(rows, "record_id long, content string, source string")).collect()}
+    assert all(s in out[3].clean for s in body) and out[3].marked
+    assert out[23].clean == rows[11][1] and not out[23].marked
+    assert "Foot one" in out[102].clean
+    # what crosses a better class is none; what lies in one slot is
+    assert markup.crossing([(-9, "a", 1), (-9, "a", 5), (-6, "b", 2), (-6, "b", 3), (-5, "c", 4), (-5, "c", 6)]) == ["c"]
