@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_name, strip_space
@@ -61,13 +61,18 @@ FALSE_VALUES = {"type": 10, "confidence": 10, "alias": 1}
 COPY_RATE, COPY_PRIOR, START = 0.8, 0.1, 0.8
 
 
+def _bucket(c: str) -> Column:
+    """Confidences that round to one tenth are one claim."""
+    return F.format_number(F.round(c, 1), 1)
+
+
 def votes(rows: DataFrame) -> DataFrame:
     """key, field, item, claims: who claims what. claims holds each (source, value) once, so it is bounded by the
     number of listed sources and of values, however many rows a group has."""
     many = rows.join(rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "key", "left_semi")
     one = F.struct(F.col("src").alias("s"), F.col("value").alias("v"))
     plain = many.select("key", F.lit("type").alias("field"), "src", F.col("type").alias("value")).unionByName(
-        many.select("key", F.lit("confidence").alias("field"), "src", F.format_number(F.round("conf", 1), 1).alias("value")))
+        many.select("key", F.lit("confidence").alias("field"), "src", _bucket("conf").alias("value")))
     plain = plain.where("value is not null").groupBy("key", "field").agg(F.collect_set(one).alias("claims")).withColumn("item", F.lit(""))
     given = many.where(F.size("alias_list") > 0)
     who = given.groupBy("key").agg(F.collect_set("src").alias("all"))
@@ -160,7 +165,8 @@ def fuse(entities: DataFrame, sources: DataFrame, types: DataFrame, rounds: int
 
     Bayesian fusion with copy detection: source accuracies and the dependence of sources, seen in shared false values,
     are estimated in turn; copied votes are discounted; each field takes the value of greatest posterior (ties: the
-    smaller value). Fields nobody fills are null, with posterior null. Sources outside the list are one source. Groups
+    smaller value). Confidences vote by tenths, and the fused one is a claimed value of the winning tenth: that of the
+    most accurate source, then the latest, then the smallest. Fields nobody fills are null, with posterior null. Sources outside the list are one source. Groups
     of any size are reduced to their distinct claims before fitting; an empty table gives no rows."""
     rows = materialize(keyed_rows(entities, sources, types), "keyed")
     claims = materialize(votes(rows), "votes")
@@ -181,13 +187,20 @@ def fuse(entities: DataFrame, sources: DataFrame, types: DataFrame, rounds: int
     made = patterns.select("field", "claims").mapInPandas(decide, "field string, claims array<struct<s:string,v:string>>, value string, posterior double")
     won = claims.join(made, ["field", "claims"]).select("key", "field", "item", "value", "posterior")
     base = rows.groupBy("key").agg(F.min("entity_id").alias("group_id"), F.count("*").alias("n_rows")).where("n_rows > 1")
+    weigh = F.lit(0.0)
+    for s, a in sorted(accuracy["confidence"].items()):
+        weigh = F.when(F.col("src") == s, F.lit(a)).otherwise(weigh)
+    tenth = won.where("field = 'confidence'").select("key", F.col("value").alias("tenth"))
+    told = rows.where("conf is not null").select("key", _bucket("conf").alias("tenth"), weigh.alias("accuracy"), "updated_at", (-F.col("conf")).alias("neg"))
+    given = told.join(tenth, ["key", "tenth"]).groupBy("key").agg((-F.max(F.struct("accuracy", "updated_at", "neg")).getField("neg")).alias("confidence"))
     # a group has one type row, one confidence row and its distinct aliases
     fields = won.groupBy("key").agg(
         F.max(F.when(F.col("field") == "type", F.col("value"))).alias("entity_type"), F.max(F.when(F.col("field") == "type", F.col("posterior"))).alias("type_posterior"),
-        F.max(F.when(F.col("field") == "confidence", F.col("value"))).cast("double").alias("confidence"), F.max(F.when(F.col("field") == "confidence", F.col("posterior"))).alias("confidence_posterior"),
+        F.max(F.when(F.col("field") == "confidence", F.col("posterior"))).alias("confidence_posterior"),
         F.array_join(F.array_sort(F.collect_set(F.when((F.col("field") == "alias") & (F.col("value") == "yes"), F.col("item")))), "|").alias("aliases"),
     )
-    out = base.join(fields, "key", "left").drop("key").withColumn("aliases", F.coalesce("aliases", F.lit("")))
+    out = base.join(fields, "key", "left").join(given, "key", "left").withColumn("aliases", F.coalesce("aliases", F.lit("")))
+    out = out.select("group_id", "n_rows", "entity_type", "type_posterior", "confidence", "confidence_posterior", "aliases")
     out = materialize(out, "fused")
     discard(rows, claims, patterns)
     return out

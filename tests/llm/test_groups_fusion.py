@@ -74,3 +74,9 @@ def test_fusion_discounts_copies(spark):
     out = {r.group_id: r for r in fusion.fuse(e, src, t).collect()}
     assert len(out) == 60 and sum(out[g].entity_type == v for g, v in right.items()) >= 58
     assert fusion.fuse(*tables(spark, [])).count() == 0
+
+
+def test_fused_confidence_is_a_claimed_value(spark):
+    rows = [(1, "Ann", "People", "", 0.764, "hi", D(1)), (2, "ann", "People", "", 0.81, "lo", D(2)), (3, "ANN", "People", "", 0.79, "q", D(3)), (4, "Bo", "People", "", None, "hi", D(1)), (5, "bo", "People", "", None, "lo", D(1))]
+    got = {r.group_id: r.confidence for r in fusion.fuse(*tables(spark, rows)).collect()}
+    assert got[1] in (0.764, 0.81, 0.79) and got[4] is None
