@@ -15,11 +15,15 @@ from pyspark.sql import types as T
 # Unicode white space as str.split() sees it: the White_Space property and the four separators.
 SPACE_CLASS = r"[\x{1c}-\x{1f}\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: The white space of ASCII strings besides the space.
+ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+
 
 @lru_cache(maxsize=1)
 def _fold_specials() -> dict[str, str]:
-    """Characters whose case folding is not their lower case, by rule from the Unicode database."""
-    return {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if not 0xD800 <= ord(c) <= 0xDFFF and c.casefold() != c.lower()}
+    """Characters whose case folding is not their lower case, by rule from the Unicode database, and the capital sigma,
+    whose lower case depends on its place."""
+    return {"Σ": "σ"} | {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if not 0xD800 <= ord(c) <= 0xDFFF and c.casefold() != c.lower()}
 
 
 @lru_cache(maxsize=1)
@@ -34,21 +38,34 @@ def _special_class() -> str:
     return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans) + "]"
 
 
+def is_ascii(c: Column) -> Column:
+    """As many bytes as characters: tells most strings from those that need Unicode rules, without a regular expression."""
+    return F.octet_length(c) == F.char_length(c)
+
+
 def casefold(c: Column) -> Column:
     """Full Unicode case folding. Strings without a special character (nearly all) take plain ``lower``."""
     pairs = [F.lit(x) for kv in sorted(_fold_specials().items()) for x in kv]
     table = F.create_map(*pairs)
     slow = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(table[ch], F.lower(ch))), "")
-    return F.when(c.rlike(_special_class()), slow).otherwise(F.lower(c))
+    return F.when(is_ascii(c), F.lower(c)).when(c.rlike(_special_class()), slow).otherwise(F.lower(c))
+
+
+def _ascii_space(c: Column) -> Column:
+    """Plain spaces for the white space of an ASCII string, none at its ends."""
+    return F.trim(F.translate(c, ASCII_SPACE, " " * len(ASCII_SPACE)))
 
 
 def collapse_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, SPACE_CLASS + "+", " "))
+    plain = _ascii_space(c)
+    plain = F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, "  +", " ")).otherwise(plain)
+    return F.when(is_ascii(c), plain).otherwise(F.trim(F.regexp_replace(c, SPACE_CLASS + "+", " ")))
 
 
 def strip_space(c: Column) -> Column:
     """``str.strip``: Unicode white space off both ends."""
-    return F.regexp_replace(c, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    plain = F.btrim(c, F.lit(" " + ASCII_SPACE))
+    return F.when(is_ascii(c), plain).otherwise(F.regexp_replace(c, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", ""))
 
 
 def norm_alias(c: Column) -> Column:
@@ -70,14 +87,15 @@ def folded(s: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def norm_name(s: pd.Series) -> pd.Series:
-    """``folded`` over Arrow batches."""
+def _folded(s: pd.Series) -> pd.Series:
     return s.map(folded, na_action="ignore")
 
 
-def norm_name_ascii(c: Column) -> Column:
-    """``folded`` for text that NFKC leaves unchanged, inside the JVM."""
-    return F.trim(F.regexp_replace(casefold(c), r"[^\p{L}\p{N}]+", " "))
+def norm_name(c: Column | str) -> Column:
+    """``folded`` as a column: ASCII strings inside the JVM, only the others in Python, over Arrow batches."""
+    c = F.col(c) if isinstance(c, str) else c
+    plain = F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    return F.when(is_ascii(c), plain).otherwise(_folded(F.when(~is_ascii(c), c)))
 
 
 def content_hash(c: Column) -> Column:
