@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -41,6 +41,14 @@ def materialize(df: DataFrame, label: str = "step", path: str | None = None) ->
     return out
 
 
+def materialize_counted(df: DataFrame, label: str = "step", **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` with aggregates of the rows (``count_if`` and the like), gathered while they are written: no job
+    of their own."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), label)
+    return out, seen.get
+
+
 def _path(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
