@@ -23,20 +23,30 @@ def osa(a: str, b: str, limit: int) -> int:
     la, lb = len(a), len(b)
     if not la or not lb:
         return min(max(la, lb), limit + 1)
-    before: list[int] = []
-    prev = list(range(lb + 1))
-    for x in range(1, la + 1):
-        row = [x] + [0] * lb
-        for y in range(1, lb + 1):
-            cost = a[x - 1] != b[y - 1]
-            v = min(prev[y] + 1, row[y - 1] + 1, prev[y - 1] + cost)
-            if x > 1 and y > 1 and a[x - 1] == b[y - 2] and a[x - 2] == b[y - 1]:
-                v = min(v, before[y - 2] + 1)
-            row[y] = v
-        if min(row) > limit:
+    # all cells of a row at once, one bit a letter
+    full = (1 << la) - 1
+    top = 1 << (la - 1)
+    at: dict[str, int] = {}
+    for x in range(la):
+        at[a[x]] = at.get(a[x], 0) | 1 << x
+    up, down, zero, last, dist = full, 0, 0, 0, la
+    for y in range(lb):
+        hit = at.get(b[y], 0)
+        swap = ((~zero & hit) << 1) & last
+        zero = ((((hit & up) + up) ^ up) | hit | down | swap) & full
+        plus = down | (full & ~(zero | up))
+        minus = zero & up
+        if plus & top:
+            dist += 1
+        elif minus & top:
+            dist -= 1
+        if dist - (lb - 1 - y) > limit:
             return limit + 1
-        before, prev = prev, row
-    return min(prev[lb], limit + 1)
+        plus = (plus << 1 | 1) & full
+        up = ((minus << 1) & full) | (full & ~(zero | plus))
+        down = plus & zero
+        last = hit
+    return min(dist, limit + 1)
 
 
 def edit_bound(c: Column) -> Column:
