@@ -139,17 +139,39 @@ def test_subjects(spark):
 
 
 def test_rules_count_every_sentence(spark):
-    w = {t: np.array([2.0, 0.0]) for t in ["solo", *(f"w{i:02}" for i in range(14))]}
-    long = " ".join(f"w{i:02}" for i in range(14))
-    bags = spark.createDataFrame([(1, "", "\n".join(["solo"] * 40)), (2, "", "\n".join([long] * 30))], "doc_id long, kind string, bag string")
-    got = {(r.x, r.y): (r.subject, r.support) for r in subjects.mine_rules(bags, w, 2, 1.5, 0.7).collect()}
+    words = sorted(["solo", *(f"w{i:02}" for i in range(14))])
+    at = {w: i for i, w in enumerate(words)}
+    long = " ".join(w for w in words if w != "solo")
+
+    def mined(text, weight):
+        bags = spark.createDataFrame([(i, "", t) for i, t in enumerate(text)], "doc_id long, kind string, bag string")
+        found = subjects.mine_rules(subjects.encode_bags(bags, words), np.tile(np.array(weight), (len(words), 1)), 1.5, 0.7).collect()
+        return {(words[r.x], words[r.y] if r.y >= 0 else ""): (r.subject, r.support) for r in found}
+
+    got = mined(["\n".join(["solo"] * 40), "\n".join([long] * 30), ""], [2.0, 0.0])
     # sentences of one item count each time they occur
     assert got["solo", ""] == (0, 40) and got["w13", ""] == (0, 30)
     # either item alone is of no subject, both together are, though they stand far apart
-    v = {t: np.array([1.0, 0.1]) for t in w}
-    bags = spark.createDataFrame([(1, "", "\n".join(["w00"] * 60 + ["w13"] * 60 + [long] * 30))], "doc_id long, kind string, bag string")
-    got = {(r.x, r.y): r.support for r in subjects.mine_rules(bags, v, 2, 1.5, 0.7).collect()}
-    assert got["w00", "w13"] == 30
+    got = mined(["\n".join(["w00"] * 60 + ["w13"] * 60 + [long] * 30)], [1.0, 0.1])
+    assert got["w00", "w13"] == (0, 30)
+    assert at["w00"] == 1
+
+
+def test_array_passes_against_loops():
+    r = np.random.default_rng(3)
+    line = np.sort(r.integers(0, 40, 200))
+    w = r.random((200, 4))
+    got = subjects.top_two(w, line, 41)
+    for i in range(41):
+        want = np.sort(np.vstack([w[line == i], np.zeros((2, 4))]), axis=0)[-2:].sum(axis=0)
+        assert np.allclose(got[i], want)
+    items = np.array([5, 2, 9, 7, 1, 3, 3])
+    x, y, at = subjects.pairs_of(items, np.array([0, 0, 0, 1, 3, 3, 4]))
+    assert sorted(zip(x.tolist(), y.tolist(), at.tolist())) == [(1, 3, 3), (2, 5, 0), (2, 9, 0), (5, 9, 0)]
+    # a subject with less than 0.15 of a document's clear lines settles none of them
+    e = np.array([[3.0, 0], [3, 0], [3, 0], [3, 0], [3, 0], [3, 0], [0, 3.0], [1, 1]])
+    each, main = subjects.settle(e, np.zeros(8, int), 1, 1.5, 0.7)
+    assert each.tolist() == [0] * 6 + [2, 2] and main.tolist() == [0]
 
 
 def test_template_keeps_body_text(spark):
