@@ -30,7 +30,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     t = partial(table, spark, root)
-    return canon.map_entity_types(t("export_records"), t("entity_type_list"))
+    return canon.map_entity_types(t("export_records"), t("entity_type_list"), entities=t("entities"))
 
 
 def _cleaned(spark: SparkSession, root: str) -> DataFrame:
