@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -42,10 +43,10 @@ def token_blocks(ids: DataFrame, length: int, bucket_rows: int = 20_000) -> Data
     share, is ordered in one task."""
     rows = ids.count()
     buckets = max(1, -(-rows // bucket_rows))
-    placed = ids.where("n_tokens > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row"), F.lit(buckets)).cast("int"))
+    placed = ids.where("n_tokens > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash", "row"), F.lit(buckets)).cast("int"))
     per = placed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))
     base = per.withColumn("base", F.sum("t").over(Window.partitionBy("source").orderBy("bucket")) - F.col("t")).select("source", "bucket", "base")
-    before = F.sum("n_tokens").over(Window.partitionBy("source", "bucket").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n_tokens").over(Window.partitionBy("source", "bucket").orderBy("doc_id", "text_hash", "row").rowsBetween(Window.unboundedPreceding, -1))
     starts = placed.withColumn("inner", F.coalesce(before, F.lit(0))).join(base, ["source", "bucket"]).withColumn("start", F.col("base") + F.col("inner"))
     first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("n_tokens") - 1) / length)
     cut = starts.withColumn("block", F.explode(F.sequence(first, last)))
@@ -102,19 +103,26 @@ def mix(documents: DataFrame, sources: DataFrame, length: int = 256, shard_slots
     multinomial of the target shares; the k-th slot of a source takes the block that a pseudorandom permutation of the
     source's block numbers, another for every pass, puts at place k. Each pass uses every block once, so no token is
     used more than max_repeats times, and small sources repeat evenly. The mix is as long as the source that runs out
-    first allows (``plan_size``). Blocks are joined to slots by their number.
+    first allows (``plan_size``). A source that has no tokens, or may not be used, cannot take part: the others mix in
+    proportion without it, and ``mix_shares`` reports what is missing. Blocks are joined to slots by their number.
 
     Sources are compared trimmed and in lower case; missing or unlisted ones have no share. Null and empty texts give
     no tokens; repeated rows are documents of their own; without documents or shares the result is empty."""
     spark = documents.sparkSession
     listed = {r.s: (float(r.share or 0), int(r.reps if r.reps is not None else 1)) for r in sources.select(F.lower(F.trim("source")).alias("s"), F.col("target_share").alias("share"), F.col("max_repeats").alias("reps")).where("s is not null").collect()}
     rows = documents.select("doc_id", F.lower(F.trim("source")).alias("source"), "text").where(F.col("source").isin([s for s, (w, _) in listed.items() if w > 0]))
-    ids = materialize(token_ids(rows, ["doc_id", "source"], path=tokenizer).withColumn("row", F.monotonically_increasing_id()), "token-ids")
-    blocks = materialize(token_blocks(ids, length), "blocks")
-    discard(ids)
+    ids = materialize(token_ids(rows.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "source", "text_hash"], path=tokenizer).withColumn("row", F.monotonically_increasing_id()), "token-ids")
+    # only repeated rows go by their number; for all others nothing depends on how files are split
+    same = ["doc_id", "source", "text_hash"]
+    twice = materialize(ids.groupBy(*same).agg(F.count("*").alias("copies")).where("copies > 1").select(*same, F.lit(True).alias("twice")), "repeated")
+    rows = ids.join(twice, same, "left").withColumn("row", F.when(F.col("twice"), F.col("row")).otherwise(F.lit(0))).drop("twice")
+    blocks = materialize(token_blocks(rows, length), "blocks")
+    discard(ids, twice)
     # one number per listed source
     have = {r.source: r.n for r in blocks.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    shares, repeats = {s: w for s, (w, _) in listed.items() if w > 0}, {s: r for s, (_, r) in listed.items()}
+    repeats = {s: r for s, (_, r) in listed.items()}
+    shares = {s: w for s, (w, _) in listed.items() if w > 0 and have.get(s, 0) * max(0, repeats[s]) > 0}
+    shares = {s: w / sum(shares.values()) for s, w in shares.items()}
     n = plan_size(have, shares, repeats)
     while True:
         drawn = materialize(draw(spark, n, shard_slots, shares, seed), "draw")
@@ -133,7 +141,7 @@ def mix(documents: DataFrame, sources: DataFrame, length: int = 256, shard_slots
                     continue
                 k = np.arange(first, first + count)
                 size = have[source]
-                name = int.from_bytes(source.encode()[:6], "big")
+                name = int.from_bytes(hashlib.blake2b(source.encode(), digest_size=6).digest(), "big")
                 use = k // size
                 block = np.empty(len(k), dtype=np.int64)
                 for u in np.unique(use):
@@ -154,4 +162,22 @@ def mix_shares(mixed: DataFrame, sources: DataFrame) -> DataFrame:
     total = per.agg(F.sum("tokens").alias("total"))
     all_ = sources.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").join(per, "source", "left").crossJoin(F.broadcast(total))
     zero = F.lit(0)
-    return all_.select("source", "target_share", "max_repeats", F.coalesce("tokens", zero).alias("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)), 6).alias("share"), F.coalesce("slots", zero).alias("slots"), F.coalesce("most_uses", zero).alias("most_uses"))
+    return all_.select("source", "target_share", "max_repeats", F.coalesce("tokens", zero).alias("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)), 6).alias("share"), F.coalesce("slots", zero).alias("slots"), F.coalesce("most_uses", zero).alias("most_uses"),
+        F.round(F.greatest(F.lit(0.0), F.col("target_share") - F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0))), 6).alias("shortfall"))
+
+
+def mix_faults(mixed: DataFrame, sources: DataFrame) -> DataFrame:
+    """Per source with a share what a right mix has: no block used more often than allowed or twice in one pass, every
+    block full but the last of a source, its pieces as long as the block, and a share within what chance explains."""
+    uses = mixed.groupBy("source", "block").agg(F.count("*").alias("n"), F.countDistinct("use").alias("passes"), F.first("n_tokens").alias("n_tokens"), F.max(F.aggregate("pieces", F.lit(0), lambda a, p: a + F.size(p.tokens))).alias("held"))
+    full = F.max("n_tokens").over(Window.partitionBy("source"))
+    last = F.max("block").over(Window.partitionBy("source"))
+    per = uses.withColumn("full", full).withColumn("last", last).groupBy("source").agg(
+        F.max("n").alias("most"), F.count_if(F.col("n") > F.col("passes")).alias("used_twice_in_a_pass"), F.count_if((F.col("n_tokens") < F.col("full")) & (F.col("block") < F.col("last"))).alias("short_blocks"),
+        F.count_if(F.col("held") != F.col("n_tokens")).alias("pieces_wrong"), F.sum("n").alias("slots"))
+    total = per.agg(F.sum("slots").alias("all"))
+    listed = sources.where("target_share > 0").select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats")
+    rows = listed.join(per, "source").crossJoin(F.broadcast(total))
+    p = F.col("target_share")
+    far = F.abs(F.col("slots") / F.col("all") - p) > 4 * F.sqrt(p * (1 - p) / F.col("all")) + 1e-9
+    return rows.select("source", (F.col("most") > F.col("max_repeats")).alias("too_often"), "used_twice_in_a_pass", "short_blocks", "pieces_wrong", far.alias("share_off"))

@@ -76,10 +76,12 @@ def pack(
     sized = materialize(token_counts(rows, ["doc_id", "source", "cluster"], path=tokenizer), "sized")
     total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
     shards = max(1, -(-total.t // shard_tokens), -(-total.n // shard_rows))
-    # a number per row keeps repeated rows and copies apart when they are dealt
     if not kinds:
         return documents.sparkSession.createDataFrame([], PACKED)
-    items = split_items(sized.withColumn("deal", F.monotonically_increasing_id()), kinds)
+    # repeated rows are counted and numbered, so that they are dealt apart and nothing depends on how files are split
+    rows = sized.groupBy("doc_id", "source", "cluster", "n_tokens").agg(F.count("*").cast("int").alias("copies"))
+    rows = rows.withColumn("deal", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+    items = split_items(rows, kinds)
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "deal", "part"), F.lit(shards)).cast("int"))
     names = sorted({s for pair in conflicts for s in pair})
     bit = {s: 1 << i for i, s in enumerate(names)}
@@ -99,6 +101,22 @@ def pack(
     return items.select("container_kind", "capacity_tokens", "shard", "doc_id", "source", "cluster", "part", "token_start", "size").groupBy("container_kind", "shard").applyInPandas(fill, PACKED)
 
 
+def container_faults(packed: DataFrame, documents: DataFrame, containers: DataFrame, conflicts: list[tuple[str, str]] = ()) -> DataFrame:
+    """Per kind what a right packing has: the documents placed, and no overfull container, no two copies of a text or
+    texts of conflicting sources together, no text in pieces that would fit whole, no piece missing or placed twice."""
+    d = documents.select("doc_id", F.lower(F.trim("source")).alias("source"), F.xxhash64("text").alias("cluster"))
+    rows = packed.join(d, "doc_id").join(F.broadcast(containers.select("container_kind", "capacity_tokens")), "container_kind")
+    pairs = [F.max(F.col("source") == a) & F.max(F.col("source") == b) for a, b in conflicts]
+    per = rows.groupBy("container_kind", "container_id", "capacity_tokens").agg(
+        F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"), F.countDistinct("cluster").alias("texts"), (F.count_if(F.lit(False)) + sum((p.cast("long") for p in pairs), F.lit(0))).alias("conflicts"))
+    per = per.groupBy("container_kind").agg(F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("overfull"), F.count_if(F.col("n") > F.col("texts")).alias("copies_together"), F.sum("conflicts").alias("conflicts"))
+    docs = rows.groupBy("container_kind", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"), F.countDistinct("part").alias("parts"), F.max("part").alias("last"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"))
+    docs = docs.groupBy("container_kind").agg(
+        F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("split_in_vain"),
+        F.count_if((F.col("pieces") != F.col("parts")) | (F.col("parts") != F.col("last") + 1) | (F.col("end") != F.col("tokens"))).alias("pieces_wrong"))
+    return docs.join(per, "container_kind").select("container_kind", "documents", "overfull", "copies_together", "conflicts", "split_in_vain", "pieces_wrong")
+
+
 def container_fill(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per kind: containers, tokens, unused tokens and the share of capacity that is filled."""
     per = packed.groupBy("container_kind").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))

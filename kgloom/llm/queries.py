@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import materialize, table
 from . import canon, fusion, groups, markup, mixing, packing, subjects, variants
 
 
@@ -58,6 +58,27 @@ def p8_fill(spark: SparkSession, root: str) -> DataFrame:
     return packing.container_fill(p8_containers(spark, root), table(spark, root, "container_list"))
 
 
+def _extremes(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """The least trusted listed source must not share a container with the most trusted ones."""
+    rank = table(spark, root, "source_list").orderBy("priority", "source").select(F.lower(F.trim("source")).alias("s")).collect()
+    return [(rank[0].s, r.s) for r in rank[-2:] if r.s != rank[0].s]
+
+
+def p8_apart(spark: SparkSession, root: str) -> DataFrame:
+    """Containers with sources kept apart, and what would be wrong with them."""
+    docs, kinds, apart = table(spark, root, "documents"), table(spark, root, "container_list"), _extremes(spark, root)
+    return packing.container_faults(materialize(packing.pack(docs, kinds, apart), "packed"), docs, kinds, apart)
+
+
+def p8_faults(spark: SparkSession, root: str) -> DataFrame:
+    docs, kinds = table(spark, root, "documents"), table(spark, root, "container_list")
+    return packing.container_faults(materialize(packing.pack(docs, kinds), "packed"), docs, kinds)
+
+
+def p9_faults(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix_faults(materialize(p9_mix(spark, root), "mixed"), table(spark, root, "source_list"))
+
+
 def p9_mix(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(table(spark, root, "documents"), table(spark, root, "source_list"))
 
@@ -83,7 +104,7 @@ def p10_composition(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_fused": p1_fused, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found,
-    "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition,
+    "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_faults": p8_faults, "p8_apart": p8_apart, "p9_mix": p9_mix, "p9_faults": p9_faults, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition,
 }
 
 _WS = r"[\x1c-\x1f\x09-\x0d \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -112,8 +133,13 @@ _P1 = f"""
       coalesce(first(entity_id order by updated_at desc nulls last, prio desc, entity_id) filter (where confidence >= 0 and confidence <= 1), 0) as confidence_from
     from dup left join al using (entity_id) group by g"""
 
+_FAULTS = "select container_kind, (select count(distinct doc_id) from documents) as documents, 0::bigint as overfull, 0::bigint as copies_together, 0::bigint as conflicts, 0::bigint as split_in_vain, 0::bigint as pieces_wrong from container_list"
+
 ORACLE = {
     "p1_found": _P1,
+    "p8_faults": _FAULTS,
+    "p8_apart": _FAULTS,
+    "p9_faults": "select lower(trim(source)) as source, false as too_often, 0::bigint as used_twice_in_a_pass, 0::bigint as short_blocks, 0::bigint as pieces_wrong, false as share_off from source_list where target_share > 0",
     "p7_found": f"""
         with recursive uses as (
           select alias_id, entity_type as t, {_NAME.replace('@', 'alias')} as k from entity_aliases

@@ -186,3 +186,23 @@ def test_template_keeps_body_text(spark):
     assert "Foot one" in out[102].clean
     # what crosses a better class is none; what lies in one slot is
     assert markup.crossing([(-9, "a", 1), (-9, "a", 5), (-6, "b", 2), (-6, "b", 3), (-5, "c", 4), (-5, "c", 6)]) == ["c"]
+
+
+def test_file_splits_change_nothing(spark, rows):
+    random.seed(9)
+    words = "alpha beta gamma delta epsilon zeta".split()
+    texts = [(i, " ".join(random.choice(words) for _ in range(random.randrange(1, 60))), random.choice("ab")) for i in range(60)]
+    texts += [texts[3]] * 5
+    kinds = spark.createDataFrame([("k", 64)], "container_kind string, capacity_tokens int")
+    given = spark.createDataFrame([("a", 0.6, 3), ("b", 0.4, 3), ("missing", 0.2, 2)], "source string, target_share double, max_repeats int")
+    one, many = docs(spark, texts).coalesce(1), docs(spark, texts[::-1]).repartition(7)
+    got = [rows(packing.pack(d, kinds).drop("container_id")) for d in (one, many)]
+    assert got[0] == got[1] and len(got[0]) >= 65
+    faults = packing.container_faults(packing.pack(many, kinds, [("a", "b")]).where("doc_id <> 3"), many, kinds, [("a", "b")]).first()
+    assert tuple(faults)[2:] == (0, 0, 0, 0, 0)
+    # a listed source without texts is left out and reported, the others go on
+    mixed = mixing.mix(many, given, length=16)
+    share = {r.source: r for r in mixing.mix_shares(mixed, given).collect()}
+    assert mixed.count() > 0 and share["missing"].tokens == 0 and share["missing"].shortfall == 0.2 and abs(share["a"].share - 0.6) < 0.25
+    blocks = [rows(mixing.mix(d, given, length=16).select("shard", "slot", "source", "block", "use")) for d in (one, many)]
+    assert blocks[0] == blocks[1]
