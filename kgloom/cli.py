@@ -9,8 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from . import engine
-from .operators import upsert
+from .engine import Engine, Settings, TableStore, check, extract_generic, merge_entities, status
 from .plans import reconcile
 from .session import local_session
 from .sources import readers, sinks
@@ -26,22 +25,18 @@ def _rows(df) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def _process(spark, store, a) -> dict:
-    kind = a.source
-    if kind == "vocabulary":
-        return engine.ingest_vocabulary(spark, store, engine.select_slice(readers.read_vocabulary(spark, a.input), a.offset, a.limit))
-    if kind == "jsonl":
-        return engine.ingest_generic(spark, store, engine.select_slice(readers.read_documents(spark, a.input), a.offset, a.limit))
-    rows = readers.read_tracks(spark, a.input) if kind == "music" else readers.read_enriched(spark, a.input)
+def _process(engine: Engine, a) -> dict:
+    rows = readers.ADAPTERS[a.source](a.input).load(engine.spark)
     if a.command == "retry-failed":
-        rows = rows.join(upsert.retryable(store.read("processing_failures"), a.max_attempts).select(F.col("document_id").alias("id")), "id", "left_semi")
-    return engine.ingest_enriched(spark, store, engine.select_slice(rows, a.offset, a.limit), force=True)
+        return engine.retry_failed(rows if a.source != "jsonl" else extract_generic(rows), a.max_attempts, a.offset, a.limit)
+    run = {"vocabulary": engine.run_vocabulary, "jsonl": engine.run_documents}.get(a.source, engine.run_processed)
+    return run(rows, a.offset, a.limit)
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="kgloom")
     p.add_argument("command", choices=COMMANDS)
-    for name, default in (("--input", ""), ("--db", "state"), ("--output", "output"), ("--snapshot", "snapshot"), ("--plan", "plan.json")):
+    for name, default in (("--input", ""), ("--db", Settings().state_path), ("--output", Settings().output_path), ("--snapshot", "snapshot"), ("--plan", "plan.json")):
         p.add_argument(name, default=default)
     p.add_argument("--source", choices=["jsonl", "enriched", "vocabulary", "music"], default="jsonl")
     for name, default in (("--offset", 0), ("--limit", 0), ("--max-attempts", 5)):
@@ -49,22 +44,22 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--apply", action="store_true")
     a = p.parse_args(argv)
     spark = local_session()
-    store = engine.TableStore(spark, a.db)
+    store = TableStore(spark, a.db)
     out: dict = {}
     failed = False
     vault = (lambda: readers.read_vault(spark, a.output))
     backup = str(Path(a.db) / "backup")
     if a.command == "status":
-        out = engine.status(store)
+        out = status(store)
     elif a.command in ("process", "retry-failed"):
-        out = _process(spark, store, a)
-        engine.derive(store, "enriched", "music")
-        engine.project(store, a.output)
-        out["tables"] = engine.status(store)
+        out = _process(Engine(spark, Settings(a.db, a.output)), a)
     elif a.command == "qa":
-        out = engine.check(spark, store)
+        out = check(spark, store)
         failed = out["status"] == "FAIL"
     elif a.command in ("vault-audit", "maintenance"):
+        if not Path(a.output).is_dir():
+            print(json.dumps({"status": "FAIL", "errors": 1, "kinds": {"missing_root": 1}}, indent=2))
+            return 1
         found = notes.audit(vault())
         by = {(r.severity, r.kind): r.n for r in found.groupBy("severity", "kind").agg(F.count("*").alias("n")).collect()}
         errors = sum(n for (s, _), n in by.items() if s == "error")
@@ -72,7 +67,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "maintenance":
             e = notes.entity_files(vault())
             out["merges"] = {r.action: r.n for r in notes.merge_plan(e).groupBy("action").agg(F.count("*").alias("n")).collect()}
-            out["consistency"] = {r[0]: r[1] for r in notes.consistency(e, store.read("entities"), store.read("documents"), store.read("entity_aliases"), store.read("relations")).groupBy("class").count().collect()}
+            out["consistency"] = {r[0]: r[1] for r in notes.consistency(e, *[store.read(n) for n in ("entities", "documents", "entity_aliases", "relations", "document_entities", "entity_sources")], vault()).groupBy("class").count().collect()}
             out["status"] = "FAIL" if errors else "REVIEW" if out["merges"].get("REVIEW") else "PASS"
         failed = out["status"] == "FAIL"
     elif a.command == "vault-normalize":
@@ -87,6 +82,11 @@ def main(argv: list[str] | None = None) -> int:
             for x in plan:
                 x["duplicates"] = [{"path": d, "hash": transactions.sha256((root / d).read_bytes())} for d in x["duplicates"].split(",") if d]
             out = transactions.apply_merges(plan, a.output, backup, a.apply)
+            pairs = [(Path(d["path"]).stem, Path(x["canonical"]).stem, x["domain"], "exact_name") for x in plan if x["action"] == "AUTO" for d in x["duplicates"]]
+            if a.apply and pairs:
+                # the tables follow the vault, once all its files are in place
+                mapping = spark.createDataFrame(pairs, "duplicate string, canonical string, entity_type string, reason string")
+                out["table_merges"] = merge_entities(store, mapping)
     elif a.command == "vault-organization-plan":
         out = transactions.sign({"version": 1, "root": a.output, "moves": _rows(notes.organization_plan(vault()))})
         sinks.write_report(a.plan, out)
@@ -99,9 +99,12 @@ def main(argv: list[str] | None = None) -> int:
             out = {"status": "BASELINE"}
         else:
             files = vault()
-            c = reconcile.classify(notes.diff(spark.read.parquet(a.snapshot), snap), store.read("documents"), files, notes.entity_files(files), store.read("entity_aliases"))
+            c = reconcile.classify(notes.diff(spark.read.parquet(a.snapshot), snap), store.read("documents"), files, notes.entity_files(files), *[store.read(n) for n in ("entity_aliases", "document_entities", "entities")])
             out = transactions.make_plan(_rows(c), a.output, a.snapshot)
             sinks.write_report(a.plan, out)
+            if out["status"] == "CLEAN":
+                # a pending change stays visible until it is finalized
+                snap.write.mode("overwrite").parquet(a.snapshot)
     else:
         doc = json.loads(Path(a.plan).read_text())
         if a.command == "db-reconcile-verify":

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, norm_alias, norm_name
-from ..session import discard, materialize
+from ..session import discard, materialize, materialize_counted
+from .upsert import first_wins
 
 
 def _flatten(hooks: DataFrame) -> DataFrame:
@@ -15,11 +16,11 @@ def _flatten(hooks: DataFrame) -> DataFrame:
     while True:
         one = hooks.join(hooks.toDF("parent", "up"), "parent", "left").select("root", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved"))
         two = one.join(hooks.toDF("parent", "up"), "parent", "left").select("root", F.coalesce("up", "parent").alias("parent"), (F.col("moved") | F.col("up").isNotNull()).alias("moved"))
-        step = materialize(two, "hooks")
+        step, seen = materialize_counted(two, "hooks", moved=F.count_if("moved"))
         discard(hooks)
         hooks = step.select("root", "parent")
         hooks._kgloom_path = step._kgloom_path
-        if step.where("moved").isEmpty():
+        if not seen["moved"]:
             return hooks
 
 
@@ -32,8 +33,8 @@ def _spread(keys: DataFrame) -> DataFrame:
     while True:
         at = keys.join(low, "key").select("node", "low")
         least = at.groupBy("node").agg(F.min("low").alias("parent"))
-        hooks = materialize(at.join(least, "node").where("low > parent").groupBy(F.col("low").alias("root")).agg(F.min("parent").alias("parent")), "hooks")
-        if hooks.isEmpty():
+        hooks, seen = materialize_counted(at.join(least, "node").where("low > parent").groupBy(F.col("low").alias("root")).agg(F.min("parent").alias("parent")), "hooks", n=F.count(F.lit(1)))
+        if not seen["n"]:
             discard(hooks)
             return least.select("node", F.col("parent").alias("part"))
         tops = _flatten(hooks)
@@ -83,21 +84,27 @@ class _Family:
         return to, every
 
 
-RESOLVED = "seq long, name string, entity_type string, canonical string, aliases array<string>, confidence double"
+RESOLVED = "node long, canonical string, aliases array<string>"
 
 
 def resolve_entities(batch: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
-    """seq, name, entity_type, canonical, aliases, confidence: each incoming entity with the name it goes by.
-
-    Incoming rows (seq, name, entity_type, aliases, confidence) see what earlier ones left. Within a type a name that
-    exists is itself; else the one canonical name its spellings have as claimed aliases; else the one existing name
-    equal after folding; else the one claimed alias equal after folding; else itself. Only rows that share a folded or
-    alias key can meet, so each such family is resolved in order by itself and the families run in parallel."""
+    """The columns of ``batch`` and canonical: each incoming entity with the name it goes by; aliases are those it
+    claims.
+
+    Incoming rows (seq of any type that sorts, name, entity_type, aliases, confidence, further columns stay) see what
+    earlier ones left. Within a type a name that exists is itself; else the one canonical name its spellings have as
+    claimed aliases; else the one existing name equal after folding; else the one claimed alias equal after folding;
+    else itself. Only rows that share a folded or alias key can meet, so each such family is resolved in order by
+    itself, streaming through one task with its names alone in memory, and the families run in parallel."""
     empty = F.array().cast("array<string>")
-    new = batch.select(F.lit(2).alias("kind"), F.col("seq").cast("long").alias("seq"), "name", "entity_type", F.coalesce("aliases", empty).alias("aliases"), "confidence", F.lit(None).cast("string").alias("to"))
-    old = entities.select(F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("seq"), "name", "entity_type", F.coalesce("aliases", empty).alias("aliases"), "confidence", F.lit(None).cast("string").alias("to"))
-    claim = aliases.select(F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("seq"), F.col("alias").alias("name"), "entity_type", empty.alias("aliases"), F.lit(None).cast("double").alias("confidence"), F.col("canonical_name").alias("to"))
-    rows = materialize(new.unionByName(old).unionByName(claim).withColumn("node", F.monotonically_increasing_id()), "incoming")
+    none = F.lit(None)
+    order = batch.schema["seq"].dataType
+    incoming = materialize(batch.withColumn("node", F.monotonically_increasing_id()), "batch")
+    new = incoming.select("node", F.lit(2).alias("kind"), "seq", "name", "entity_type", F.coalesce("aliases", empty).alias("aliases"), none.cast("string").alias("to"))
+    old = entities.select(F.lit(0).alias("kind"), none.cast(order).alias("seq"), "name", "entity_type", F.coalesce("aliases", empty).alias("aliases"), none.cast("string").alias("to"))
+    claim = aliases.select(F.lit(1).alias("kind"), none.cast(order).alias("seq"), F.col("alias").alias("name"), "entity_type", empty.alias("aliases"), F.col("canonical_name").alias("to"))
+    state = old.unionByName(claim).withColumn("node", -1 - F.monotonically_increasing_id())
+    rows = materialize(new.unionByName(state.select(*new.columns)), "incoming")
     words = rows.select("node", "entity_type", F.explode(F.concat(F.array("name"), "aliases", F.array_compact(F.array("to")))).alias("w"))
     keys = words.select("node", F.concat_ws("\u0001", "entity_type", norm_name("w")).alias("key")).distinct()
     keys = materialize(keys, "keys")
@@ -116,25 +123,26 @@ def resolve_entities(batch: DataFrame, entities: DataFrame, aliases: DataFrame)
                 elif r.kind == 1:
                     family.add_claim(r.name, r.to)
                 else:
-                    to, every = family.resolve(r.name, list(r.aliases))
-                    out.append((r.seq, r.name, r.entity_type, to, every, r.confidence))
-            yield pd.DataFrame(out, columns=["seq", "name", "entity_type", "canonical", "aliases", "confidence"])
+                    out.append((r.node, *family.resolve(r.name, list(r.aliases))))
+            yield pd.DataFrame(out, columns=["node", "canonical", "aliases"])
 
-    cols = ["part", "kind", "seq", "name", "entity_type", "aliases", "confidence", "to"]
-    done = rows.join(part, "node").select(*cols).repartition("part").sortWithinPartitions("part", "kind", "seq", "name").mapInPandas(resolve, RESOLVED)
-    done = materialize(done, "resolved")
-    discard(rows, keys)
-    return done
+    cols = ["part", "kind", "node", "name", "aliases", "to"]
+    done = rows.join(part, "node").repartition("part").sortWithinPartitions("part", "kind", "seq", "name").select(*cols).mapInPandas(resolve, RESOLVED)
+    out = materialize(incoming.drop("aliases").join(done, "node").drop("node"), "resolved")
+    discard(rows, keys, incoming)
+    return out
 
 
 def alias_claims(resolved: DataFrame, old: DataFrame) -> DataFrame:
     """Aliases each first claimed for one name: those of the old table, then in order of the batch."""
-    from .upsert import first_wins
+    return first_wins(old, claimed(resolved), ["alias", "entity_type"])
+
 
+def claimed(resolved: DataFrame) -> DataFrame:
+    """alias, canonical_name, entity_type, seq: every claim of the batch, the canonical name before its aliases."""
     order = F.posexplode(F.concat(F.array("canonical"), "aliases"))
     rows = resolved.select("seq", "entity_type", F.col("canonical").alias("canonical_name"), order.alias("pos", "a"))
-    rows = rows.select(norm_alias(F.col("a")).alias("alias"), "canonical_name", "entity_type", (F.col("seq") * 100_000 + F.col("pos")).alias("seq")).where("alias <> ''")
-    return first_wins(old, rows, ["alias", "entity_type"])
+    return rows.select(norm_alias(F.col("a")).alias("alias"), "canonical_name", "entity_type", F.struct("seq", "pos").alias("seq")).where("alias <> ''")
 
 
 def unique_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -148,10 +156,41 @@ def unique_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def resolve_endpoints(ends: DataFrame, resolved: DataFrame, names: DataFrame) -> DataFrame:
     """ends: document_id, name. The endpoint by the names of its own document (the last entity with that very name,
-    else the first with that alias key), else by ``unique_names``, else as it stands. resolved needs document_id."""
+    else the first with that alias key), else by ``names`` (alias, name), else as it stands. resolved needs
+    document_id, name, canonical and seq."""
+    e = own_endpoints(ends, resolved).join(names.withColumnRenamed("name", "by_table"), "alias", "left")
+    return e.withColumn("canonical", F.coalesce("by_name", "by_alias", "by_table", "name")).drop("alias", "by_name", "by_alias", "by_table")
+
+
+def own_endpoints(ends: DataFrame, resolved: DataFrame) -> DataFrame:
     exact = resolved.groupBy("document_id", "name").agg(F.max_by("canonical", "seq").alias("by_name"))
     loose = resolved.groupBy("document_id", norm_alias(F.col("name")).alias("alias")).agg(F.min_by("canonical", "seq").alias("by_alias"))
     e = ends.withColumn("alias", norm_alias(F.col("name")))
-    e = e.join(exact, ["document_id", "name"], "left").join(loose, ["document_id", "alias"], "left")
-    e = e.join(names.withColumnRenamed("name", "by_table"), "alias", "left")
-    return e.withColumn("canonical", F.coalesce("by_name", "by_alias", "by_table", "name")).drop("alias", "by_name", "by_alias", "by_table")
+    return e.join(exact, ["document_id", "name"], "left").join(loose, ["document_id", "alias"], "left")
+
+
+def resolve_endpoints_in_order(ends: DataFrame, resolved: DataFrame, entities: DataFrame, aliases: DataFrame, reached: DataFrame) -> DataFrame:
+    """``resolve_endpoints`` as of each document's turn: a claim or a name counts only if it is in the old tables or
+    comes from a document up to the end's own. ends: document_id, name; reached: document_id, doc_seq; resolved also
+    has doc_seq and entity_type. Each alias keeps its first and its second different (name, type) with the document
+    that brought it: what was unique until then is what a later document no longer sees as such."""
+    first = F.lit(None).cast(resolved.schema["doc_seq"].dataType)
+    keys = ["alias", "entity_type"]
+    new = claimed(resolved.withColumn("seq", F.struct("doc_seq", "seq"))).select(*keys, "canonical_name", F.col("seq.seq.doc_seq").alias("at"), F.col("seq").alias("order"))
+    new = new.groupBy(*keys).agg(F.min_by(F.struct("canonical_name", "at"), "order").alias("x")).select(*keys, "x.canonical_name", "x.at")
+    old = aliases.select(*keys, "canonical_name", first.alias("at"))
+    claims = old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
+    named = entities.select("name", "entity_type", first.alias("at")).unionByName(resolved.select(F.col("canonical").alias("name"), "entity_type", F.col("doc_seq").alias("at")))
+    named = named.groupBy("name", "entity_type").agg(F.min(F.struct(F.col("at").isNotNull().alias("new"), "at")).getField("at").alias("at"))
+    e = own_endpoints(ends, resolved).join(reached, "document_id")
+
+    def seen(rows: DataFrame, value: str, label: str) -> DataFrame:
+        hit = e.select("document_id", "name", "alias", "doc_seq").join(rows, "alias").where("at is null or at <= doc_seq")
+        per = hit.groupBy("document_id", "name").agg(F.min(F.struct(value, "entity_type")).alias("lo"), F.max(F.struct(value, "entity_type")).alias("hi"))
+        return per.select("document_id", "name", F.lit(True).alias(f"{label}_any"), F.when(F.col("lo") == F.col("hi"), F.col(f"lo.{value}")).alias(label))
+
+    by_claim = seen(claims.select("alias", "canonical_name", "entity_type", "at"), "canonical_name", "claim")
+    by_name = seen(named.select(norm_alias(F.col("name")).alias("alias"), F.col("name").alias("other"), "entity_type", "at"), "other", "entity")
+    e = e.join(by_claim, ["document_id", "name"], "left").join(by_name, ["document_id", "name"], "left")
+    late = F.when(F.col("claim_any"), F.col("claim")).otherwise(F.col("entity"))
+    return e.select("document_id", "name", F.coalesce("by_name", "by_alias", late, "name").alias("canonical"))

@@ -78,19 +78,26 @@ def album_links(bridges: DataFrame, relations: DataFrame, document_relations: Da
         F.lit("entity+vocabulary+track+album").alias("rule"), F.array_distinct(F.concat("x.document_ids", F.coalesce("x.more", F.array().cast("array<string>")))).alias("document_ids"))
 
 
-def source_documents(entity_sources: DataFrame) -> DataFrame:
-    """The sorted documents of each entity in each source."""
-    k = ["entity_name", "entity_type", "source"]
-    return entity_sources.where("document_id is not null and source is not null").groupBy(*k).agg(F.array_sort(F.collect_set("document_id")).alias("documents"))
+def bridge_documents(entity_sources: DataFrame) -> DataFrame:
+    """entity_name, entity_type, source, document_id: the documents behind the bridges, one row each, of the entities
+    that have more than one source. However many there are, no row holds a list of them."""
+    s = entity_sources.where("document_id is not null and source is not null and entity_name is not null").select("entity_name", "entity_type", "source", "document_id").distinct()
+    many = s.groupBy("entity_name", "entity_type").agg(F.min("source").alias("lo"), F.max("source").alias("hi")).where("lo < hi")
+    many = many.select("entity_name", F.coalesce("entity_type", F.lit("")).alias("__t"), F.col("entity_type").isNull().alias("__n"))
+    on = s.withColumn("__t", F.coalesce("entity_type", F.lit(""))).withColumn("__n", F.col("entity_type").isNull())
+    return on.join(many, ["entity_name", "__t", "__n"], "left_semi").select(*s.columns)
 
 
 def source_bridges(entity_sources: DataFrame) -> DataFrame:
-    """Unordered pairs of sources that share an entity. Sources of an entity are few, so pairs are formed within its
-    one row after grouping; document lists stay with their source and are joined back."""
-    per = source_documents(entity_sources)
-    return per.alias("a").join(per.alias("b"), (F.col("a.entity_name") == F.col("b.entity_name")) & F.col("a.entity_type").eqNullSafe(F.col("b.entity_type")) & (F.col("a.source") < F.col("b.source"))).select(
-        F.col("a.entity_name"), F.col("a.entity_type"), F.col("a.source").alias("source_a"), F.col("b.source").alias("source_b"), F.lit(1.0).alias("confidence"), F.lit("shared_canonical_entity").alias("rule"),
-        F.col("a.documents").alias("documents_a"), F.col("b.documents").alias("documents_b"))
+    """Unordered pairs of sources that share an entity, with the number of its documents in either. Documents are
+    counted before anything is grouped by entity; its sources are few, so the pairs are formed within its one row."""
+    s = entity_sources.where("document_id is not null and source is not null and entity_name is not null")
+    per = s.groupBy("entity_name", "entity_type", "source").agg(F.countDistinct("document_id").alias("n"))
+    per = per.groupBy("entity_name", "entity_type").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("s")).where(F.size("s") > 1)
+    pair = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice(F.col("s"), i + 2, F.size("s")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return per.select("entity_name", "entity_type", F.explode(pair).alias("p")).select(
+        "entity_name", "entity_type", F.col("p.a.source").alias("source_a"), F.col("p.b.source").alias("source_b"), F.lit(1.0).alias("confidence"),
+        F.lit("shared_canonical_entity").alias("rule"), F.col("p.a.n").alias("documents_a"), F.col("p.b.n").alias("documents_b"))
 
 
 def bridge_pairs(entity_sources: DataFrame) -> DataFrame:
@@ -98,3 +105,8 @@ def bridge_pairs(entity_sources: DataFrame) -> DataFrame:
     s = entity_sources.where("source is not null").groupBy("entity_name", "entity_type").agg(F.array_sort(F.collect_set("source")).alias("s"))
     pair = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice(F.col("s"), i + 2, F.size("s")), lambda y: F.struct(x.alias("source_a"), y.alias("source_b")))))
     return s.where(F.size("s") > 1).select(F.explode(pair).alias("p")).groupBy("p.source_a", "p.source_b").agg(F.count("*").alias("entities"))
+
+
+def bridge_report(bridges: DataFrame) -> dict:
+    """What a rebuild of the bridges gave."""
+    return {"status": "OK", "source_bridge_links": bridges.count(), "rule": "shared_canonical_entity"}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_alias, strip_space
-from ..session import discard, materialize
+from ..session import discard, materialize, materialize_counted
 from .skew import salted_join
 
 
@@ -81,12 +81,12 @@ def direct_orphans(child: DataFrame, parent: DataFrame, ref: Reference) -> DataF
     )
 
 
-def orphan_references(tables: dict[str, DataFrame], references: tuple[Reference, ...] = LINK_REFERENCES, max_depth: int = 64) -> DataFrame:
+def orphan_references(tables: dict[str, DataFrame], references: tuple[Reference, ...] = LINK_REFERENCES) -> DataFrame:
     """Every orphan row of every reference: ref_table, ref_column, link_id, ref_month, reason, depth.
 
     Depth 1 are direct orphans. A record whose parents are all orphaned is an inherited orphan one level deeper:
-    semi-joins run down the foreign-key graph until a round finds none (or ``max_depth``, for cyclic data). Tables
-    that are nobody's parent take no part in those rounds. Empty tables give no rows; other columns are ignored.
+    semi-joins run down the foreign-key graph until a round finds none; every round finds rows not found before, so
+    cyclic data end too. Tables that are nobody's parent take no part in those rounds. Empty tables give no rows; other columns are ignored.
     ``documents`` with status deleted are no parents."""
     live = {n: live_documents(df) if n == "documents" and "status" in df.columns else df for n, df in tables.items()}
 
@@ -99,27 +99,36 @@ def orphan_references(tables: dict[str, DataFrame], references: tuple[Reference,
     inner = [r for r in references if r.parent in row_ids]
     if not inner:
         return found
-    lost = materialize(found, "orphans")
-    levels = [lost]
-    for depth in range(2, max_depth + 1):
+    # the keys as compared are worked out once for all rounds
+    sides = {}
+    for i, r in enumerate(inner):
+        parent = live[r.parent].select(F.col(row_ids[r.parent]).alias("rid"), r.key(F.col(r.parent_key)).alias("__key")).where("__key is not null")
+        sides[i] = materialize(parent, f"parents{i}"), materialize(_children(live[r.child], r), f"children{i}")
+    level = materialize(found, "orphans")
+    levels = [level]
+    tables_ = sorted({r.parent for r in inner} | {r.child for r in inner})
+    # the rows lost so far of the tables that take part, replaced round by round
+    dead = materialize(level.where(F.col("ref_table").isin(tables_)).select("ref_table", "link_id").distinct(), "lost")
+    while True:
         fresh = []
-        for r in inner:
-            rid = row_ids[r.parent]
-            dead = reduce(DataFrame.unionByName, levels).where(F.col("ref_table") == r.parent).select(F.col("link_id").alias(rid)).distinct()
-            new = levels[-1].where(F.col("ref_table") == r.parent).select(F.col("link_id").alias(rid)).distinct()
-            parent = live[r.parent].select(rid, r.key(F.col(r.parent_key)).alias("__key")).where("__key is not null")
-            sound = parent.join(dead, rid, "left_anti").select("__key").distinct()
-            keys = parent.join(new, rid, "left_semi").select("__key").distinct().join(sound, "__key", "left_anti")
-            rows = _children(live[r.child], r)
+        for i, r in enumerate(inner):
+            parent, rows = sides[i]
+            gone = dead.where(F.col("ref_table") == r.parent).select(F.col("link_id").alias("rid"))
+            new = level.where(F.col("ref_table") == r.parent).select(F.col("link_id").alias("rid")).distinct()
+            sound = parent.join(gone, "rid", "left_anti").select("__key").distinct()
+            keys = parent.join(new, "rid", "left_semi").select("__key").distinct().join(sound, "__key", "left_anti")
             hit = salted_join(rows, keys, "__key", F.col("link_id"), "left_semi") if r.skewed else rows.join(keys, "__key", "left_semi")
-            known = reduce(DataFrame.unionByName, levels).where(F.col("ref_table") == r.child).select("link_id").distinct()
+            known = dead.where(F.col("ref_table") == r.child).select("link_id")
             hit = hit.join(known, "link_id", "left_anti")
-            fresh.append(tag(hit.select("link_id", F.date_format("__at", "yyyy-MM").alias("ref_month"), F.lit("inherited").alias("reason")), r, depth))
-        level = materialize(reduce(DataFrame.unionByName, fresh), f"orphans{depth}")
-        if level.isEmpty():
-            discard(level)
+            fresh.append(tag(hit.select("link_id", F.date_format("__at", "yyyy-MM").alias("ref_month"), F.lit("inherited").alias("reason")), r, len(levels) + 1))
+        level, seen = materialize_counted(reduce(DataFrame.unionByName, fresh), f"orphans{len(levels) + 1}", n=F.count(F.lit(1)))
+        if not seen["n"]:
+            discard(level, dead, *[x for pair in sides.values() for x in pair])
             break
         levels.append(level)
+        more = materialize(dead.unionByName(level.select("ref_table", "link_id")).distinct(), "lost")
+        discard(dead)
+        dead = more
     return reduce(DataFrame.unionByName, levels)
 
 

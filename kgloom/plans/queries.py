@@ -182,7 +182,7 @@ def entity_source_set(spark, root):
 def _incoming(spark, root) -> DataFrame:
     raw = T(spark, root, "export_records").withColumn("seq", F.col("record_id"))
     e = readers.parse_enriched(raw, "enriched").select("seq", "id", F.posexplode("entities").alias("pos", "e"))
-    return e.select((F.col("seq") * 4096 + F.col("pos")).alias("seq"), F.col("id").alias("document_id"), "e.*")
+    return e.select(F.struct("seq", "pos").alias("seq"), F.col("id").alias("document_id"), "e.*")
 
 
 _INCOMING = f"""(select record_id * 4096 + p - 1 as seq, id as document_id, {strip_sql('e.name')} as name, {_types_case('e.entity_type')} as entity_type,

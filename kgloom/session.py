@@ -65,6 +65,29 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _path(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on any file system Spark knows, replaced in one rename."""
+    jvm = spark._jvm
+    fs, p = _path(spark, path)
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(tmp, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    rename = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(tmp), context.makeQualified(p), rename)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete what ``materialize`` wrote for frames that nothing reads any more."""
     for df in frames:
@@ -94,8 +117,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def optional_table(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
     """A table that may be absent: then an empty frame of the declared schema."""
-    path = f"{root}/{name}.parquet"
-    return spark.read.parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+    return table(spark, root, name) if path_exists(spark, f"{root}/{name}.parquet") else spark.createDataFrame([], schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

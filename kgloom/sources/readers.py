@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from pathlib import Path
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +23,36 @@ RELATION = "array<struct<source:string,relation:string,target:string,confidence:
 SYNONYMS = {"id": ["id", "word_id"], "word": ["word", "simplified", "词"], "traditional": ["traditional", "繁体"], "pinyin": ["pinyin", "拼音"], "pos": ["pos", "part_of_speech"], "meaning_ko": ["meaning_ko", "meaning", "definition_ko"]}
 
 
+ORDER = "struct<file:string,block:bigint,line:bigint>"
+
+
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.option("wholetext", False).text(path).select("value", place.alias("seq"))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """seq, value: the non-blank lines in order, with their number in the file."""
-    raw = spark.read.option("wholetext", False).text(path).select(F.col("value"), F.monotonically_increasing_id().alias("seq"))
-    return raw.where(strip_space(F.col("value")) != "")
+    """seq, value: the non-blank lines. seq sorts them by file, then by their place in it, however files are split."""
+    out = _raw_lines(spark, path).where(strip_space(F.col("value")) != "")
+    out._kgloom_source = path
+    return out
+
 
+def line_number(spark: SparkSession, path: str, seq) -> int:
+    """The number in its file of the line at ``seq``, blank ones counted: lines up to it are counted, only when asked."""
+    s = F.col("seq")
+    before = (s.block < seq.block) | ((s.block == seq.block) & (s.line <= seq.line))
+    return _raw_lines(spark, path).where((s.file == seq.file) & before).count()
 
-def _fail_if(df: DataFrame, what: str, column: str = "seq") -> None:
+
+def _fail_if(df: DataFrame, what: str, column: str = "seq", path: str | None = None) -> None:
     bad = df.orderBy(column).select(column).first()
-    if bad is not None:
-        raise InputError(f"{what}: record {bad[0] + 1 if isinstance(bad[0], int) else bad[0]}")
+    if bad is None:
+        return
+    at = bad[0]
+    if path is not None and hasattr(at, "block"):
+        at = f"{Path(at.file).name}:{line_number(df.sparkSession, path, at)}"
+    raise InputError(f"{what}: record {at}")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -39,9 +61,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     rows = _lines(spark, path).withColumn("j", F.from_json("value", "id string, title string, content string, source string, metadata map<string,string>, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     meta = F.get_json_object("value", "$.metadata")
     d = rows.select("seq", "j.id", "j.title", "j.content", F.coalesce("j.source", F.lit("unknown")).alias("source"), F.coalesce(meta, F.lit("{}")).alias("metadata"), F.col("j._corrupt").alias("bad"))
-    _fail_if(d.where("bad is not null and id is null"), "not a JSON object")
-    _fail_if(d.where("id is null or title is null or content is null"), "id, title or content missing")
-    _fail_if(d.where(strip_space(F.col("content")) == ""), "blank content")
+    _fail_if(d.where("bad is not null and id is null"), "not a JSON object", path=path)
+    _fail_if(d.where("id is null or title is null or content is null"), "id, title or content missing", path=path)
+    _fail_if(d.where(strip_space(F.col("content")) == ""), "blank content", path=path)
     _fail_if(d.groupBy("id").count().where("count > 1"), "repeated id", "id")
     return d.drop("bad")
 
@@ -79,9 +101,9 @@ def read_enriched(spark: SparkSession, path: str, default_source: str = "enriche
     """Enriched documents; a repeated id is no error (later rows overwrite). Fields of the wrong shape count as missing."""
     kind = f"id string, title string, content string, source string, summary string, translation_ko string, document_type string, importance string, tags array<string>, related_ids array<string>, entities {ENTITY}, relations {RELATION}"
     rows = _lines(spark, path)
-    _fail_if(rows.where(F.try_parse_json("value").isNull() | (F.substring(F.trim("value"), 1, 1) != "{")), "not a JSON object")
+    _fail_if(rows.where(F.try_parse_json("value").isNull() | (F.substring(F.trim("value"), 1, 1) != "{")), "not a JSON object", path=path)
     j = rows.select("seq", F.get_json_object("value", "$.metadata").alias("metadata"), F.from_json("value", kind).alias("j")).select("seq", "metadata", "j.*")
-    _fail_if(j.where(first_non_blank(F.col("id")).isNull() | first_non_blank(F.col("content")).isNull()), "id or content missing")
+    _fail_if(j.where(first_non_blank(F.col("id")).isNull() | first_non_blank(F.col("content")).isNull()), "id or content missing", path=path)
     return parse_enriched(j, default_source)
 
 
@@ -120,7 +142,7 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
         return parse_vocabulary(raw.withColumn("seq", F.monotonically_increasing_id()))
     names = sorted({s for v in SYNONYMS.values() for s in v} | {"source"})
     rows = _lines(spark, path)
-    _fail_if(rows.where(F.try_parse_json("value").isNull() | (F.substring(F.trim("value"), 1, 1) != "{")), "not a JSON object")
+    _fail_if(rows.where(F.try_parse_json("value").isNull() | (F.substring(F.trim("value"), 1, 1) != "{")), "not a JSON object", path=path)
     j = rows.select("seq", F.from_json("value", ", ".join(f"`{n}` string" for n in names)).alias("j"), *[F.get_json_object("value", f"$.{n}").alias(n) for n in ("hsk_levels", "wordbooks", "metadata")])
     return parse_vocabulary(j.select("seq", "hsk_levels", "wordbooks", "metadata", "j.*"))
 
@@ -168,7 +190,7 @@ def read_vault(spark: SparkSession, root: str) -> DataFrame:
     full = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), r"\+", "%2B"))
     rel = F.expr(f"substr(full, {len(str(base)) + 2})")
     links = [str(p.relative_to(base)) for p in base.rglob("*") if p.is_symlink()] if base.exists() else []
-    out = raw.select(full.alias("full"), "content", "length").select(rel.alias("path"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size"))
+    out = raw.select(full.alias("full"), "content", "length").select(rel.alias("path"), F.decode(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content")).otherwise(F.lit(b"")), "UTF-8").alias("text"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), F.is_valid_utf8(F.col("content").cast("string")).alias("readable"))
     out = out.where(~F.col("path").rlike(r"(^|/)\."))
     for p in links:
         out = out.where((F.col("path") != p) & ~F.col("path").startswith(p + "/"))
@@ -177,3 +199,47 @@ def read_vault(spark: SparkSession, root: str) -> DataFrame:
 
 def snapshot(vault: DataFrame) -> DataFrame:
     return vault.select("path", "hash", "size")
+
+
+class Adapter(Protocol):
+    """What brings records in: a frame of generic documents, enriched records or words."""
+
+    def load(self, spark: SparkSession) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class DocumentFile:
+    path: str
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        return read_documents(spark, self.path)
+
+
+@dataclass(frozen=True)
+class EnrichedFile:
+    path: str
+    source: str = "enriched"
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        return read_enriched(spark, self.path, self.source)
+
+
+@dataclass(frozen=True)
+class VocabularyFile:
+    path: str
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        return read_vocabulary(spark, self.path)
+
+
+@dataclass(frozen=True)
+class TrackFile:
+    path: str
+    source: str = "music"
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        return read_tracks(spark, self.path, self.source)
+
+
+#: The adapter of each kind of input.
+ADAPTERS: dict[str, type] = {"jsonl": DocumentFile, "enriched": EnrichedFile, "vocabulary": VocabularyFile, "music": TrackFile}

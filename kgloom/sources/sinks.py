@@ -76,6 +76,15 @@ def vocabulary_lines(links: DataFrame, vocabularies: DataFrame) -> DataFrame:
     return links.join(v, "vocabulary_id").groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_set(F.concat("word", F.lit(" ("), "match_type", F.lit(")")))).alias("words"))
 
 
+def record_entity_notes(records: DataFrame) -> DataFrame:
+    """dir, name, text of the entities of enriched records, as soon as they arrive: the last statement of each stays."""
+    e = records.select("seq", F.posexplode("entities").alias("pos", "e")).groupBy(F.col("e.name").alias("name"), F.col("e.entity_type").alias("entity_type"))
+    e = e.agg(F.max_by("e", F.struct("seq", "pos")).alias("e"))
+    alias = F.coalesce("e.aliases", F.array().cast("array<string>"))
+    text = F.concat(_front(name=yaml_scalar(F.col("name")), type=yaml_scalar(F.col("entity_type")), confidence=_conf("e.confidence")), F.lit("\n# "), F.col("name"), F.lit("\n"), _list("Aliases", alias))
+    return e.select(F.concat(F.lit("entities/"), "entity_type").alias("dir"), "name", text.alias("text"))
+
+
 def entity_notes(entities: DataFrame, entity_sources: DataFrame, document_entities: DataFrame, relations: DataFrame, derived: DataFrame) -> DataFrame:
     """dir, name, text per entity: aliases, sources, documents, relations and derived relations, pre-aggregated by key."""
     k = ["name", "entity_type"]
@@ -103,10 +112,80 @@ def vocabulary_notes(vocabularies: DataFrame, entity_links: DataFrame, document_
     return v.select(F.lit("vocabulary").alias("dir"), F.col("id").alias("name"), text.alias("text"))
 
 
+# --- indexes ------------------------------------------------------------------------------------------------------
+# An index is rows of (file, section, sort, line): lines of a section stand in the order of ``sort``. Each is one file
+# by nature; it is written from the sorted rows, partition by partition.
+
+NO_TEXT = "-"
+
+
+def _conf(c: str = "confidence") -> Column:
+    return F.format_string("%.3f", F.coalesce(c, F.lit(0.0)))
+
+
+def _rows(df: DataFrame, file: Column, section: Column, sort: list[str], line: Column) -> DataFrame:
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sort]
+    return df.select(file.alias("file"), section.alias("section"), F.array(*keys).alias("sort"), line.alias("line"))
+
+
 def entity_index(entities: DataFrame) -> DataFrame:
-    """entity_type, lines: the entities of each type by name. One row per type; each index is one file by nature."""
-    line = F.concat(F.lit("- [["), "name", F.lit("]] "), F.format_string("%.3f", F.coalesce("confidence", F.lit(0.0))))
-    return entities.select("entity_type", "name", line.alias("line")).orderBy("entity_type", "name")
+    """All entities by type and name."""
+    line = F.concat(F.lit("- [["), "name", F.lit("]] — confidence: "), _conf())
+    return _rows(entities, F.lit("entities/_Entity Index.md"), F.coalesce("entity_type", F.lit("")), ["name"], line)
+
+
+def domain_index(entities: DataFrame, types: tuple[str, ...] = ("MusicTracks", "MusicAlbums")) -> DataFrame:
+    """One index per given type."""
+    line = F.concat(F.lit("- [["), "name", F.lit("]] — confidence: "), _conf())
+    some = entities.where(F.col("entity_type").isin(list(types)))
+    return _rows(some, F.concat(F.lit("entities/"), "entity_type", F.lit("/_Index.md")), F.lit(""), ["name"], line)
+
+
+def _filled(c: str, default: Column) -> Column:
+    return F.when(F.coalesce(c, F.lit("")) != "", F.col(c)).otherwise(default)
+
+
+def vocabulary_index(vocabularies: DataFrame) -> DataFrame:
+    levels = F.filter(F.coalesce("hsk_levels", F.array().cast("array<string>")), lambda x: x != "")
+    level = F.when(F.size(levels) > 0, F.array_join(levels, ", ")).otherwise(F.lit("unclassified"))
+    line = F.concat(F.lit("- [["), "word", F.lit("]] — "), _filled("pinyin", F.lit(NO_TEXT)), F.lit(" — "), level)
+    return _rows(vocabularies, F.lit("vocabulary/_Vocabulary Index.md"), F.lit(""), ["word", "id"], line)
+
+
+def level_index(vocabularies: DataFrame) -> DataFrame:
+    """One index per bucket of levels."""
+    line = F.concat(F.lit("- [["), "word", F.lit("]] — "), _filled("pinyin", F.lit(NO_TEXT)))
+    out = None
+    for label, wanted in LEVELS.items():
+        some = _rows(vocabularies.where(level_bucket(F.col("hsk_levels"), wanted)), F.lit(f"vocabulary/{label}/_Index.md"), F.lit(""), ["word", "id"], line)
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+#: Sections of the cross-domain index, in order.
+CROSS_SECTIONS = ["Entity Graph", "Entities and Vocabulary", "Entities, Vocabulary and Music", "By Source Pair", "Canonical Entity Bridges"]
+
+
+def cross_domain_index(derived: DataFrame, cross: DataFrame, vocabularies: DataFrame, bridges: DataFrame) -> DataFrame:
+    """Derived relations, entity to word, word to track and album, source pairs with the number of their entities, and
+    every bridge with the number of documents on either side."""
+    file = F.lit("_Cross-Domain Connections.md")
+    at = [F.lit(s) for s in CROSS_SECTIONS]
+    tail = F.concat(F.lit(" — "), _conf(), F.lit(" — `"), "rule", F.lit("`"))
+    d = _rows(derived, file, at[0], ["source_name", "target_name", "relation"], F.concat(F.lit("- [["), "source_name", F.lit("]] — **"), "relation", F.lit("** → [["), "target_name", F.lit("]]"), tail))
+    v = vocabularies.select(F.col("id").alias("vid"), "word")
+    e = cross.where("right_kind = 'vocabulary' and left_type <> 'Vocabulary'").join(v, F.col("right_id") == F.col("vid"))
+    e = _rows(e, file, at[1], ["left_name", "word"], F.concat(F.lit("- [["), "left_name", F.lit("]] ("), "left_type", F.lit(") ↔ [["), "word", F.lit("]]"), tail))
+    m = cross.where("left_type = 'Vocabulary' and right_kind in ('music_track', 'music_album')").join(v, F.col("left_name") == F.col("vid"), "left")
+    kind = F.when(F.col("right_kind") == "music_track", "Track").otherwise("Album")
+    m = _rows(m, file, at[2], ["right_kind", "right_id", "left_name"], F.concat(F.lit("- [["), F.coalesce("word", "left_name"), F.lit("]] ↔ [["), "right_id", F.lit("]] ("), kind, F.lit(")"), tail))
+    pair = F.concat("source_a", F.lit(" ↔ "), "source_b")
+    n = bridges.groupBy("source_a", "source_b").agg(F.count("*").alias("n"))
+    n = _rows(n, file, at[3], ["source_a", "source_b"], F.concat(F.lit("- **"), pair, F.lit("** — "), F.col("n").cast("string"), F.lit(" canonical entities")))
+    count = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—"))
+    b = F.concat(F.lit("- [["), "entity_name", F.lit("]] ("), F.coalesce("entity_type", F.lit("")), F.lit(") — **"), pair, F.lit("**"), tail, F.lit(" — docs: "), count("documents_a"), F.lit("; "), count("documents_b"))
+    b = _rows(bridges, file, at[4], ["source_a", "source_b", "entity_type", "entity_name"], b)
+    return d.unionByName(e).unionByName(m).unionByName(n).unionByName(b)
 
 
 def knowledge_index(entities: DataFrame, documents: DataFrame) -> DataFrame:
@@ -114,8 +193,61 @@ def knowledge_index(entities: DataFrame, documents: DataFrame) -> DataFrame:
     def by(df: DataFrame, c: str, kind: str) -> DataFrame:
         return df.groupBy(F.coalesce(c, F.lit("")).alias("key")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "key", "n")
 
-    total = entities.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit("entities").alias("key"), "n").unionByName(documents.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit("documents").alias("key"), "n"))
-    return by(entities, "entity_type", "type").unionByName(by(documents, "source", "source")).unionByName(total).unionByName(documents.agg(F.countDistinct("source").alias("n")).select(F.lit("total").alias("kind"), F.lit("sources").alias("key"), "n"))
+    def total(df: DataFrame, key: str, n: Column) -> DataFrame:
+        return df.agg(n.alias("n")).select(F.lit("total").alias("kind"), F.lit(key).alias("key"), "n")
+
+    out = by(entities, "entity_type", "type").unionByName(by(documents, "source", "source"))
+    every = F.count("*")
+    return out.unionByName(total(entities, "entities", every)).unionByName(total(documents, "documents", every)).unionByName(total(documents, "sources", F.countDistinct("source")))
+
+
+def knowledge_lines(counts: DataFrame, totals: dict[str, DataFrame]) -> DataFrame:
+    """The knowledge index from ``knowledge_index`` and further tables whose rows are counted."""
+    file = F.lit("_Knowledge Index.md")
+    n = F.col("n").cast("string")
+    types = _rows(counts.where("kind = 'type'"), file, F.lit("Entity Domains"), ["key"], F.concat(F.lit("- [[entities/"), "key", F.lit("/_Index]] — "), n, F.lit(" entities")))
+    sources = _rows(counts.where("kind = 'source'"), file, F.lit("Sources"), ["key"], F.concat(F.lit("- **"), "key", F.lit("** — "), n, F.lit(" documents")))
+    graph = counts.where("kind = 'total'").select("key", "n")
+    for label, df in totals.items():
+        graph = graph.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(label).alias("key"), "n"))
+    return types.unionByName(sources).unionByName(_rows(graph, file, F.lit("Cross-Domain Graph"), ["key"], F.concat(F.lit("- "), F.initcap("key"), F.lit(": **"), n, F.lit("**"))))
+
+
+#: Titles of index files that are not their own name.
+TITLES = {"entities/MusicTracks/_Index.md": "Music Tracks", "entities/MusicAlbums/_Index.md": "Music Albums"}
+
+
+def write_index(rows: DataFrame, root: str, sections: list[str] | None = None) -> list[str]:
+    """Writes index rows below ``root``, each file atomically; rows come sorted, a partition at a time. Sections stand
+    in the given order, else by name; an empty section name has no heading. The files written."""
+    place = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in sections]), F.col("section")), F.lit(0)) if sections else F.lit(0)
+    ordered = rows.withColumn("place", place).orderBy("file", "place", "section", "sort", "line")
+    done: list[str] = []
+    out = tmp = path = None
+    section = None
+
+    def close() -> None:
+        if out is not None:
+            out.close()
+            os.replace(tmp, path)
+
+    for r in ordered.select("file", "section", "line").toLocalIterator():
+        if not done or done[-1] != r.file:
+            close()
+            path = Path(root) / r.file
+            path.parent.mkdir(parents=True, exist_ok=True)
+            tmp = path.with_name(f".{path.name}.tmp")
+            out = tmp.open("w", encoding="utf-8")
+            title = TITLES.get(r.file) or (path.stem.lstrip("_") if path.stem != "_Index" else f"{path.parent.name} Vocabulary")
+            out.write(f'---\ntitle: "{title}"\ntype: "MOC"\n---\n\n# {title}\n\n')
+            done.append(r.file)
+            section = ""
+        if r.section != section:
+            section = r.section
+            out.write(f"\n## {section}\n\n")
+        out.write(r.line + "\n")
+    close()
+    return done
 
 
 def level_bucket(levels: Column, wanted: list[str]) -> Column:

@@ -4,56 +4,80 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lookup import known_type
+from ..functions.lookup import known_type, migrated_type
 from ..functions.text import folded, norm_name
 from ..schemas import ENTITY_TYPES, LEGACY_TYPES, PROTECTED_DIRS
 
-_LINK = re.compile(r"(?<!!)\[\[([^\[\]\n]+)\]\]")
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
+# What a link and a fence look like.
+_LINK = re.compile(r"(!?)\[\[([^\]\r\n]+)\]\]")
+_FENCE = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})(.*)$")
 
 
-def code_spans(text: str) -> list[tuple[int, int]]:
-    """Where fenced blocks (closed by at least as long a fence, else to the end) and inline code stand."""
-    spans, at, fence = [], 0, None
-    plain: list[tuple[int, str]] = []
+def _fences(text: str) -> list[tuple[int, int]]:
+    """Fenced blocks: closed by at least as long a fence of the same kind alone on its line, else to the end."""
+    out, at, mark, begin = [], 0, "", 0
     for line in text.splitlines(keepends=True):
         m = _FENCE.match(line.rstrip("\r\n"))
-        if fence:
-            if m and m.group(1)[0] == fence[0][0] and len(m.group(1)) >= len(fence[0]) and not m.group(2).strip():
-                spans.append((fence[1], at + len(line)))
-                fence = None
+        if mark:
+            if m and m.group(1)[0] == mark[0] and len(m.group(1)) >= len(mark) and not m.group(2).strip(" \t"):
+                out.append((begin, at + len(line)))
+                mark = ""
         elif m and not (m.group(1)[0] == "`" and "`" in m.group(2)):
-            fence = (m.group(1), at)
-        else:
-            plain.append((at, line))
+            mark, begin = m.group(1), at
         at += len(line)
-    if fence:
-        spans.append((fence[1], len(text)))
-    for start, line in plain:
-        runs = [(m.start(), len(m.group())) for m in re.finditer(r"`+", line) if not (m.start() and line[m.start() - 1] == "\\")]
-        i = 0
-        while i < len(runs):
-            close = next((j for j in range(i + 1, len(runs)) if runs[j][1] == runs[i][1]), None)
-            if close is None:
-                i += 1
-            else:
-                spans.append((start + runs[i][0], start + runs[close][0] + runs[close][1]))
-                i = close + 1
-    return spans
+    return [*out, (begin, len(text))] if mark else out
+
+
+def code_spans(text: str) -> list[tuple[int, int]]:
+    """Where fenced blocks and inline code stand, in order and without overlap. Inline code runs from backticks to the
+    next as many, also over line breaks but not over a fenced block; backticks after an odd number of backslashes are
+    plain text."""
+    fenced = _fences(text)
+    spans = list(fenced)
+    block = 0
+    waiting: dict[int, int] = {}
+    for m in re.finditer(r"(\\*)(`+)", text):
+        start = m.start(2)
+        while block < len(fenced) and start >= fenced[block][1]:
+            block += 1
+            waiting.clear()
+        if len(m.group(1)) % 2 or (block < len(fenced) and start >= fenced[block][0]):
+            continue
+        size = len(m.group(2))
+        opened = waiting.pop(size, None)
+        if opened is None:
+            waiting[size] = start
+        else:
+            spans.append((opened, m.end()))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def wikilinks(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, raw) of ``[[...]]`` outside code; embeds are no links."""
-    if not text:
+    if not text or "[[" not in text:
         return []
     spans = code_spans(text)
-    return [(m.start(), m.end(), m.group(1)) for m in _LINK.finditer(text) if not any(a <= m.start() < b for a, b in spans)]
+    starts = [a for a, _ in spans]
+    out = []
+    for m in _LINK.finditer(text):
+        # the last span that begins before the link ends
+        i = bisect_left(starts, m.end()) - 1
+        if not m.group(1) and (i < 0 or spans[i][1] <= m.start()):
+            out.append((m.start(), m.end(), m.group(2)))
+    return out
 
 
 LINKS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("raw", T.StringType())]))
@@ -152,6 +176,7 @@ def audit(files: DataFrame) -> DataFrame:
         e.where(F.trim("text") == "").select(F.lit("empty_note").alias("kind"), F.lit("error").alias("severity"), "relative", ns.alias("detail")),
         e.where(_not_nfc("name")).select(F.lit("unicode_normalization").alias("kind"), F.lit("warning").alias("severity"), "relative", ns.alias("detail")),
         e.where(F.col("fields")["name"].isNotNull() & (norm_name(F.col("fields")["name"]) != F.col("normalized"))).select(F.lit("frontmatter_name_mismatch").alias("kind"), F.lit("warning").alias("severity"), "relative", F.col("fields")["name"].alias("detail")),
+        *([files.where(~F.col("readable")).select(F.lit("unreadable_note").alias("kind"), F.lit("error").alias("severity"), F.col("path").alias("relative"), F.col("path").alias("detail"))] if "readable" in files.columns else []),
         files.where(F.col("path").rlike(r"(^|/)entities/([^/]+\.md|[^/]+/[^/]+/.*)$") & ~stem(F.col("path")).startswith("_")).select(F.lit("unexpected_entity_path").alias("kind"), F.lit("warning").alias("severity"), F.col("path").alias("relative"), F.col("path").alias("detail")),
     ]
     same = e.groupBy(domain.alias("k")).agg(F.array_sort(F.collect_set("relative")).alias("p"), F.countDistinct(F.lower("name")).alias("spelled")).where(F.size("p") > 1)
@@ -183,18 +208,23 @@ def _not_nfc(s: pd.Series) -> pd.Series:
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """change, path, target, hash: added, deleted, modified, and moved: one deleted and one added path of one hash."""
+    """change, path, target, hash, before: added, deleted, modified (with the hash before), and moved: one deleted and
+    one added path of one hash."""
     b, a = before.select("path", F.col("hash").alias("h0")), after.select("path", F.col("hash").alias("h1"))
     j = b.join(a, "path", "full")
     gone, came = j.where("h1 is null"), j.where("h0 is null")
     g1 = gone.groupBy(F.col("h0").alias("hash")).agg(F.count("*").alias("n"), F.min("path").alias("src")).where("n = 1")
     c1 = came.groupBy(F.col("h1").alias("hash")).agg(F.count("*").alias("n"), F.min("path").alias("dst")).where("n = 1")
     moved = g1.select("hash", "src").join(c1.select("hash", "dst"), "hash")
-    none = F.lit(None).cast("string")
-    rows = moved.select(F.lit("moved").alias("change"), F.col("src").alias("path"), F.col("dst").alias("target"), "hash")
-    rows = rows.unionByName(gone.join(moved.select(F.col("src").alias("path")), "path", "left_anti").select(F.lit("deleted").alias("change"), "path", none.alias("target"), F.col("h0").alias("hash")))
-    rows = rows.unionByName(came.join(moved.select(F.col("dst").alias("path")), "path", "left_anti").select(F.lit("added").alias("change"), "path", none.alias("target"), F.col("h1").alias("hash")))
-    return rows.unionByName(j.where("h0 <> h1").select(F.lit("modified").alias("change"), "path", none.alias("target"), F.col("h1").alias("hash")))
+
+    def rows(df: DataFrame, kind: str, path: str, hash_: str, target: Column | None = None, old: Column | None = None) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return df.select(F.lit(kind).alias("change"), F.col(path).alias("path"), (target if target is not None else none).alias("target"), F.col(hash_).alias("hash"), (old if old is not None else none).alias("before"))
+
+    out = rows(moved, "moved", "src", "hash", F.col("dst"))
+    out = out.unionByName(rows(gone.join(moved.select(F.col("src").alias("path")), "path", "left_anti"), "deleted", "path", "h0"))
+    out = out.unionByName(rows(came.join(moved.select(F.col("dst").alias("path")), "path", "left_anti"), "added", "path", "h1"))
+    return out.unionByName(rows(j.where("h0 <> h1"), "modified", "path", "h1", old=F.col("h0")))
 
 
 def change_plan(changes: DataFrame) -> DataFrame:
@@ -240,19 +270,58 @@ def organization_plan(files: DataFrame, root: str = "20_Entities") -> DataFrame:
     return f.select(act.alias("action"), F.col("path").alias("source"), "target", "entity_type", F.col("hash").alias("file_hash"), "reason")
 
 
-def consistency(notes: DataFrame, entities: DataFrame, documents: DataFrame | None = None, aliases: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
-    """class, domain, key: entity notes against the tables, by (domain, folded name); aliases and relation ends that
-    no table entity has; documents without hash."""
+def consistency(
+    notes: DataFrame, entities: DataFrame, documents: DataFrame | None = None, aliases: DataFrame | None = None, relations: DataFrame | None = None,
+    document_entities: DataFrame | None = None, entity_sources: DataFrame | None = None, files: DataFrame | None = None,
+) -> DataFrame:
+    """class, domain, key: entity notes against the tables, by (domain, folded name), as far as tables are given.
+
+    vault_only, table_only and both; table_without_note (table_only with aliases); vault_without_provenance (no source
+    row); links of the notes to entities the tables lack; links of documents and sources to entities or documents that
+    are not there; relation ends without a table entity or a note; aliases without entity; invalid types; documents
+    without hash. Each fact once."""
     v = notes.select(F.col("domain"), F.col("normalized").alias("key"), F.lit(True).alias("in_vault")).where("domain is not null").distinct()
-    t = entities.select(known_type(F.col("entity_type")).alias("domain"), norm_name("name").alias("key"), F.lit(True).alias("in_table")).where("domain is not null").distinct()
-    out = v.join(t, ["domain", "key"], "full").select(F.when(F.col("in_table").isNull(), "vault_only").when(F.col("in_vault").isNull(), "table_only").otherwise("both").alias("class"), "domain", "key")
+    packed = F.size(F.coalesce(F.col("aliases"), F.array().cast("array<string>"))) > 0 if dict(entities.dtypes).get("aliases") == "array<string>" else F.coalesce(F.trim("aliases"), F.lit("")) != "" if "aliases" in entities.columns else F.lit(False)
+    t = entities.select(known_type(F.col("entity_type")).alias("domain"), norm_name("name").alias("key"), "name", packed.alias("packed")).where("domain is not null")
+    t = t.groupBy("domain", "key").agg(F.max("packed").alias("packed"), F.lit(True).alias("in_table"))
+    side = F.when(F.col("in_table").isNull(), "vault_only").when(F.col("in_vault").isNull(), "table_only").otherwise("both")
+    joined = v.join(t, ["domain", "key"], "full")
+    out = joined.select(side.alias("class"), "domain", "key")
+
+    def add(df: DataFrame, name: str, domain: Column, key: Column) -> None:
+        nonlocal out
+        out = out.unionByName(df.select(F.lit(name).alias("class"), F.coalesce(domain, F.lit("")).alias("domain"), key.alias("key")).distinct())
+
+    add(joined.where("in_vault is null and packed"), "table_without_note", F.col("domain"), F.col("key"))
+    add(entities.where(~F.coalesce(F.col("entity_type"), F.lit("")).isin(ENTITY_TYPES)), "table_invalid_type", F.col("entity_type"), F.col("name"))
+    there = t.select("domain", "key")
     named = entities.select(norm_name("name").alias("key")).distinct()
-    out = out.unionByName(entities.where(~F.coalesce(F.col("entity_type"), F.lit("")).isin(ENTITY_TYPES)).select(F.lit("table_invalid_type").alias("class"), F.col("entity_type").alias("domain"), F.col("name").alias("key")))
+    exact = entities.select("name").distinct()
     if aliases is not None:
-        out = out.unionByName(aliases.select(norm_name("canonical_name").alias("key"), "entity_type").join(named, "key", "left_anti").select(F.lit("alias_without_entity").alias("class"), F.col("entity_type").alias("domain"), "key").distinct())
+        lost = aliases.select(norm_name("canonical_name").alias("key"), "entity_type").join(named, "key", "left_anti")
+        add(lost, "alias_without_entity", F.col("entity_type"), F.col("key"))
     if relations is not None:
-        ends = relations.select(F.explode(F.array("source_name", "target_name")).alias("n")).select(norm_name("n").alias("key")).distinct()
-        out = out.unionByName(ends.join(named, "key", "left_anti").select(F.lit("relation_without_entity").alias("class"), F.lit("").alias("domain"), "key"))
+        triple = F.concat_ws("|", "source_name", "relation", "target_name")
+        ends = relations.select(triple.alias("fact"), F.explode(F.array("source_name", "target_name")).alias("name"))
+        add(ends.join(exact, "name", "left_anti"), "relation_without_entity", F.lit(""), F.col("fact"))
+        add(ends.withColumn("key", norm_name("name")).join(v.select("key").distinct(), "key", "left_anti"), "relation_without_note", F.lit(""), F.col("fact"))
     if documents is not None:
-        out = out.unionByName(documents.where("content_hash is null or content_hash = ''").select(F.lit("document_without_hash").alias("class"), F.lit("").alias("domain"), F.col("id").alias("key")))
+        add(documents.where("content_hash is null or content_hash = ''"), "document_without_hash", F.lit(""), F.col("id"))
+    known = documents.select(F.col("id").alias("document_id")).distinct() if documents is not None else None
+    for name, links in (("document_entity", document_entities), ("entity_source", entity_sources)):
+        if links is None:
+            continue
+        rows = links.select("document_id", "entity_name", F.coalesce(migrated_type(F.col("entity_type")), F.lit("")).alias("domain"), norm_name("entity_name").alias("key"))
+        fact = F.concat_ws("|", "document_id", "entity_name")
+        add(rows.join(there, ["domain", "key"], "left_anti"), f"{name}_without_entity", F.col("domain"), fact)
+        if known is not None:
+            add(rows.join(known, "document_id", "left_anti"), f"{name}_without_document", F.col("domain"), fact)
+    if entity_sources is not None:
+        told = entity_sources.select(migrated_type(F.col("entity_type")).alias("domain"), norm_name("entity_name").alias("key")).distinct()
+        both = joined.where("in_vault and in_table").select("domain", "key")
+        add(both.join(told, ["domain", "key"], "left_anti"), "vault_without_provenance", F.col("domain"), F.col("key"))
+    if files is not None:
+        index = target_index(files).groupBy("key").agg(F.min("path").alias("relative"), F.max("path").alias("hi")).where("relative = hi").select(F.col("key").alias("aim"), "relative")
+        aimed = link_rows(files).withColumn("aim", norm_name("target")).join(index, "aim").join(notes.select("relative", "domain", F.col("normalized").alias("key")), "relative")
+        add(aimed.join(there, ["domain", "key"], "left_anti"), "link_without_entity", F.col("domain"), F.concat_ws("|", "file", "target"))
     return out

@@ -228,7 +228,7 @@ def make_plan(changes: list[dict], root: str, snapshot: str) -> dict:
     diff = {k: [c for c in changes if c["kind"] == k] for k in ("added", "deleted", "modified", "moved")}
     diff["moved"] = [{"path": c["source"], "target": c["target"], "hash": c["hash"]} for c in diff["moved"]]
     plan = {
-        "version": PLAN_VERSION, "root": str(root), "status": "CLEAN" if not changes else "PENDING", "auto": auto, "review": review, "skip": [], "diff": diff,
+        "version": PLAN_VERSION, "root": str(root), "status": "REVIEW" if review else "PLANNED" if auto else "CLEAN", "auto": auto, "review": review, "skip": [], "diff": diff,
         "summary": {"auto": len(auto), "review": len(review), "skip": 0}, "unresolved": [c for c in changes if c.get("unresolved")], "protected": PROTECTED_DIRS, "created_from": "snapshot", "snapshot": snapshot,
     }
     return sign(plan)
