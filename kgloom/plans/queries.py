@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import engine
 from ..functions import lookup, text
 from ..operators import canonical, graph, inference, qa, upsert, vocabulary
-from ..schemas import RELATION_TYPES, TYPE_WORDS, empty
+from ..schemas import EVIDENCE_STATUS, RELATION_TYPES, TYPE_WORDS, empty
 from ..session import table
 from ..sources import readers, sinks
 from ..vault import notes
@@ -37,6 +37,12 @@ def name_sql(c: str) -> str:
     return f"trim(regexp_replace({low(WIDE.replace('§', c))}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
+#: The aliases of a row of entities as a list.
+ALIASES_SQL = f"""list_filter(list_transform(case when aliases is null then [] when ltrim(aliases)[1] = '[' then cast(json(aliases) as varchar[]) when contains(aliases, '|') then string_split(aliases, '|')
+    else string_split(aliases, ',') end, lambda x: {strip_sql('x')}), lambda x: x is not null and x <> '')"""
+HALF_TIME = "2024-07-01 00:00:00"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -190,42 +196,55 @@ _INCOMING = f"""(select record_id * 4096 + p - 1 as seq, id as document_id, {str
     from (select record_id, id, unnest(entities) as e, generate_subscripts(entities, 1) as p from export_records) where {strip_sql('e.name')} <> '')"""
 
 
-@query(f"""with i as {_INCOMING}, a as (select distinct name, entity_type, {strip_sql('x')} as a from (select name, entity_type, unnest(aliases) as x from i) where {strip_sql('x')} <> '' and {strip_sql('x')} <> name),
+@query(f"""with i as (select name, entity_type, confidence, aliases from {_INCOMING} union all select name, entity_type, case when isnan(confidence) then null else confidence end, {ALIASES_SQL} from entities where name is not null and entity_type is not null),
+    a as (select distinct name, entity_type, {strip_sql('x')} as a from (select name, entity_type, unnest(aliases) as x from i) where {strip_sql('x')} <> '' and {strip_sql('x')} <> name),
     l as (select name, entity_type, string_agg(a, '|' order by {alias_sql('a')}, a) as aliases from a group by 1, 2)
     select i.name, i.entity_type, max(i.confidence) as confidence, coalesce(any_value(l.aliases), '') as aliases from i left join l on l.name = i.name and l.entity_type = i.entity_type group by 1, 2""")
 def entity_upsert(spark, root):
     i = _incoming(spark, root).select("name", "entity_type", "aliases", "confidence")
-    return upsert.merge_entities(i.limit(0), i).withColumn("aliases", F.array_join("aliases", "|"))
+    return upsert.merge_entities(_listed_entities(spark, root).where("entity_type is not null"), i).withColumn("aliases", F.array_join("aliases", "|"))
 
 
-@query("select l_suppkey, l_partkey, arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity)) as l_quantity from lineitem group by 1, 2")
+@query("""with old as (select l_suppkey, l_partkey, max(l_quantity) as q from lineitem where l_returnflag = 'R' group by 1, 2),
+    new as (select l_suppkey, l_partkey, arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity)) as q from lineitem where l_returnflag <> 'R' group by 1, 2)
+    select l_suppkey, l_partkey, coalesce(new.q, old.q) as l_quantity from old full join new using (l_suppkey, l_partkey)""")
 def last_writer_relation(spark, root):
-    li = T(spark, root, "lineitem").select("l_suppkey", "l_partkey", "l_quantity", (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("seq"))
-    return upsert.last_wins(li.drop("seq").limit(0), li, ["l_suppkey", "l_partkey"])
+    old, new = T(spark, root, "lineitem").where("l_returnflag = 'R'"), T(spark, root, "lineitem").where("l_returnflag <> 'R'")
+    seq = F.struct("l_orderkey", "l_linenumber").alias("seq")
+    old = old.groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("l_quantity"))
+    return upsert.last_wins(old, new.select("l_suppkey", "l_partkey", "l_quantity", seq), ["l_suppkey", "l_partkey"])
+
 
+_HALF = "recorded_at < timestamptz '2024-07-01 00:00:00+00'"
 
-@query(f"select {alias_sql('alias')} as alias, entity_type, arg_min(coalesce(canonical_name, '?'), alias_id) as canonical_name from entity_aliases where {alias_sql('alias')} <> '' group by 1, 2")
+
+@query(f"""with a as (select {alias_sql('alias')} as alias, entity_type, coalesce(canonical_name, '?') as c, alias_id, coalesce({_HALF}, false) as old from entity_aliases where {alias_sql('alias')} <> ''),
+    o as (select alias, entity_type, max(c) as c from a where old group by 1, 2), n as (select alias, entity_type, arg_min(c, alias_id) as c from a where not old group by 1, 2)
+    select * from (select alias, entity_type, c as canonical_name from o union all select alias, entity_type, c from n where not exists (select 1 from o where o.alias = n.alias and o.entity_type is not distinct from n.entity_type))""")
 def first_writer_alias(spark, root):
-    a = T(spark, root, "entity_aliases").select(text.norm_alias(F.col("alias")).alias("alias"), "entity_type", F.coalesce("canonical_name", F.lit("?")).alias("canonical_name"), F.col("alias_id").alias("seq")).where("alias <> ''")
-    return upsert.first_wins(a.drop("seq").limit(0), a, ["alias", "entity_type"])
+    a = T(spark, root, "entity_aliases").select(text.norm_alias(F.col("alias")).alias("alias"), "entity_type", F.coalesce("canonical_name", F.lit("?")).alias("canonical_name"), F.col("alias_id").alias("seq"), F.coalesce(F.col("recorded_at") < F.lit(HALF_TIME).cast("timestamp"), F.lit(False)).alias("old")).where("alias <> ''")
+    old = a.where("old").groupBy("alias", "entity_type").agg(F.max("canonical_name").alias("canonical_name")).select("alias", "entity_type", "canonical_name")
+    return upsert.first_wins(old, a.where("not old").drop("old"), ["alias", "entity_type"])
 
 
 def _sources(spark, root):
-    d = T(spark, root, "document_sources").select("source", "source_id", "document_id", "metadata", F.col("first_seen_at").alias("seen_at"), F.col("link_id").alias("seq"))
-    old = d.limit(0).select("source", "source_id", "document_id", "metadata", F.col("seen_at").alias("first_seen_at"), F.col("seen_at").alias("last_seen_at"))
-    return upsert.register_sources(old, d)
+    """Identities of the first half of the time as they stand in the table, those of the second arriving."""
+    d = T(spark, root, "document_sources").withColumn("old", F.coalesce(F.col("first_seen_at") < F.lit(HALF_TIME).cast("timestamp"), F.lit(False)))
+    cols = ["source", "source_id", "document_id", "metadata", F.col("first_seen_at").alias("seen_at"), F.col("link_id").alias("seq")]
+    none = d.select(*cols[:4], F.col("first_seen_at"), F.col("first_seen_at").alias("last_seen_at")).limit(0)
+    return upsert.register_sources(upsert.register_sources(none, d.where("old").select(*cols))[0], d.where("not old").select(*cols))
 
 
-_SRC = f"""with b as (select lower({strip_sql('source')}) as source, {strip_sql('source_id')} as source_id, document_id, metadata, first_seen_at as s, link_id from document_sources),
-    k as (select * from b where source <> '' and source_id <> '' and document_id is not null), o as (select *, first(document_id) over (partition by source, source_id order by link_id) as owner from k)"""
+_SRC = f"""with b as (select lower({strip_sql('source')}) as source, {strip_sql('source_id')} as source_id, document_id, metadata, first_seen_at as s, link_id, coalesce(first_seen_at < timestamptz '2024-07-01 00:00:00+00', false) as old from document_sources),
+    k as (select * from b where source <> '' and source_id <> '' and document_id is not null), o as (select *, first(document_id) over (partition by source, source_id order by not old, link_id) as owner from k)"""
 
 
-@query(_SRC + " select source, source_id, owner as document_id, arg_max(metadata, link_id) as metadata, epoch_us(min(s)) as first_seen, epoch_us(max(s)) as last_seen from o where document_id = owner group by 1, 2, 3")
+@query(_SRC + " select source, source_id, owner as document_id, arg_max(metadata, (not old, link_id)) as metadata, epoch_us(min(s)) as first_seen, epoch_us(max(s)) as last_seen from o where document_id = owner group by 1, 2, 3")
 def identity_owner(spark, root):
     return _sources(spark, root)[0].withColumn("first_seen", F.unix_micros("first_seen_at")).withColumn("last_seen", F.unix_micros("last_seen_at")).drop("first_seen_at", "last_seen_at")
 
 
-@query(_SRC + " select document_id, source as existing_source, owner as existing_value, 'review' as resolution from o where document_id <> owner")
+@query(_SRC + " select document_id, source as existing_source, owner as existing_value, 'review' as resolution from o where document_id <> owner and not old")
 def identity_conflicts(spark, root):
     return _sources(spark, root)[1].select("document_id", "existing_source", "existing_value", "resolution")
 
@@ -246,19 +265,23 @@ def delete_then_insert(spark, root):
 
 
 def _failures(spark, root) -> DataFrame:
+    """Errors of the first half of the time as they stand in the table, those of the second arriving."""
     i = T(spark, root, "run_items").where("outcome = 'error'").select(F.lower("document_id").alias("document_id"), F.concat_ws(":", "run_id", "item_id").alias("error"), F.col("finished_at").alias("at"), F.col("item_id").alias("seq"))
-    return upsert.record_failures(empty(spark, "processing_failures"), i)
+    old = F.coalesce(F.col("at") < F.lit(HALF_TIME).cast("timestamp"), F.lit(False))
+    return upsert.record_failures(upsert.record_failures(empty(spark, "processing_failures"), i.where(old)), i.where(~old))
 
 
-_FAIL = "select lower(document_id) as document_id, cast(least(count(*), 5) as integer) as attempts, arg_max(run_id || ':' || item_id, item_id) as last_error, epoch_us(max(finished_at)) as updated from run_items where outcome = 'error' group by 1"
+_FAIL = """(with e as (select lower(document_id) as document_id, run_id || ':' || item_id as error, item_id, finished_at, coalesce(finished_at < timestamptz '2024-07-01 00:00:00+00', false) as old from run_items where outcome = 'error')
+    select document_id, cast(least(least(count(*) filter (where old), 5) + count(*) filter (where not old), 5) as integer) as attempts, arg_max(error, (not old, item_id)) as last_error,
+    coalesce(epoch_us(max(finished_at) filter (where not old)), epoch_us(max(finished_at))) as updated from e group by 1)"""
 
 
-@query(_FAIL)
+@query(f"select * from {_FAIL}")
 def failure_queue(spark, root):
     return _failures(spark, root).select("document_id", "attempts", "last_error", F.unix_micros("updated_at").alias("updated"))
 
 
-@query(f"select document_id, attempts from ({_FAIL}) where attempts < 5")
+@query(f"select document_id, attempts from {_FAIL} where attempts < 5")
 def retry_list(spark, root):
     return upsert.retryable(_failures(spark, root)).select("document_id", "attempts")
 
@@ -315,11 +338,12 @@ def vocabulary_merge(spark, root):
     return out.select("id", "word", F.coalesce("pinyin", F.lit("")).alias("pinyin"), F.coalesce("pos", F.lit("")).alias("pos"), F.array_join("hsk_levels", "|").alias("levels"))
 
 
-@query("""select name, case when entity_type in ('Companies', 'Brands') then 'Organizations' else entity_type end as entity_type, max(case when isnan(confidence) then null else confidence end) as confidence
-    from entities where entity_type is not null group by 1, 2""")
+@query(f"""with e as (select name, case when entity_type in ('Companies', 'Brands') then 'Organizations' else entity_type end as t, case when isnan(confidence) then null else confidence end as c, {ALIASES_SQL} as l from entities where entity_type is not null),
+    a as (select distinct name, t, {strip_sql('x')} as a from (select name, t, unnest(l) as x from e) where {strip_sql('x')} <> '' and {strip_sql('x')} <> name),
+    l as (select name, t, string_agg(a, '|' order by {alias_sql('a')}, a) as aliases from a group by 1, 2)
+    select e.name, e.t as entity_type, max(e.c) as confidence, coalesce(any_value(l.aliases), '') as aliases from e left join l on l.name = e.name and l.t = e.t group by 1, 2""")
 def legacy_type_migration(spark, root):
-    e = T(spark, root, "entities").where("entity_type is not null").select("name", "entity_type", F.array().cast("array<string>").alias("aliases"), F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence"))
-    return upsert.migrate_types(e).select("name", "entity_type", "confidence")
+    return upsert.migrate_types(_listed_entities(spark, root).where("entity_type is not null")).withColumn("aliases", F.array_join("aliases", "|"))
 
 
 # --- canonicalization and vocabulary ------------------------------------------------------------------------------
@@ -347,13 +371,17 @@ def unique_names(spark, root):
     return canonical.unique_names(e, _claims(spark, root).where("entity_type is not null"))
 
 
-@query(f"with r as {_REL} select r.seq as record_id, r.source_name, coalesce(u.name, r.source_name) as canonical from r left join {_UNIQUE} u on u.alias = {alias_sql('r.source_name')}")
+@query(f"""with r as {_REL}, o as (select seq // 4096 as rec, seq, document_id, name, upper(name) as canonical from {_INCOMING}),
+    ex as (select document_id, name, arg_max(canonical, seq) as c from o group by 1, 2), lo as (select document_id, {alias_sql('name')} as alias, arg_min(canonical, seq) as c from o group by 1, 2)
+    select r.seq as record_id, r.source_name, coalesce(ex.c, lo.c, u.name, r.source_name) as canonical from r left join ex on ex.document_id = r.document_id and ex.name = r.source_name
+    left join lo on lo.document_id = r.document_id and lo.alias = {alias_sql('r.source_name')} left join {_UNIQUE} u on u.alias = {alias_sql('r.source_name')}""")
 def endpoint_resolution(spark, root):
+    """Ends of relations by the entities of their own record (here known by upper case), then by the tables."""
     e = T(spark, root, "entities").where("entity_type is not null")
     names = canonical.unique_names(e, _claims(spark, root).where("entity_type is not null"))
     r = _relations(spark, root).select("seq", "document_id", F.col("source_name").alias("name"))
-    none = spark.createDataFrame([], "document_id string, name string, canonical string, seq long")
-    return canonical.resolve_endpoints(r, none, names).select(F.col("seq").alias("record_id"), F.col("name").alias("source_name"), "canonical")
+    own = _incoming(spark, root).select("document_id", "name", F.upper("name").alias("canonical"), "seq")
+    return canonical.resolve_endpoints(r, own, names).select(F.col("seq").alias("record_id"), F.col("name").alias("source_name"), "canonical")
 
 
 @query()
@@ -384,10 +412,15 @@ def vocabulary_contains(spark, root):
     return vocabulary.contains_links(T(spark, root, "documents"), T(spark, root, "vocabularies")).select("doc_id", "vocabulary_id")
 
 
-@query("""select distinct e.entity_name, e.entity_type, v.id as vocabulary_id from document_entities e join vocabularies v on e.entity_name = v.word
-    union select distinct e.entity_name, e.entity_type, v.id from document_entities e join vocabularies v on e.entity_name = v.traditional""")
+_TITLED = "(select distinct title as name, coalesce(document_type, '') as entity_type from documents where title is not null union select name, entity_type from entities where name is not null)"
+
+
+@query(f"""select e.name as entity_name, e.entity_type, v.id as vocabulary_id from {_TITLED} e join vocabularies v on e.name = v.word
+    union select e.name, e.entity_type, v.id from {_TITLED} e join vocabularies v on e.name = v.traditional""")
 def entity_vocabulary_exact(spark, root):
-    e = T(spark, root, "document_entities").select(F.col("entity_name").alias("name"), "entity_type")
+    """Titles of vocabulary cards and names of entities that are a word."""
+    d = T(spark, root, "documents").where("title is not null").select(F.col("title").alias("name"), F.coalesce("document_type", F.lit("")).alias("entity_type"))
+    e = d.unionByName(T(spark, root, "entities").where("name is not null").select("name", "entity_type"))
     return vocabulary.link_entities(e, T(spark, root, "vocabularies")).select("entity_name", "entity_type", "vocabulary_id")
 
 
@@ -417,24 +450,34 @@ def _roles(spark, root) -> tuple[str, str]:
     return top.source if top else "", music.s if music else ""
 
 
+def _sourced(spark, root) -> DataFrame:
+    return T(spark, root, "documents").withColumn("source", F.lower(F.trim("source")))
+
+
 _TOP = "(select source from source_list order by priority desc, source limit 1)"
 _MUSIC = "(select lower(trim(source)) from documents where document_type = 'track' group by 1 order by count(*) desc, 1 limit 1)"
 
 
 def _doc_links(spark, root) -> DataFrame:
+    """Words of documents: those their texts hold, and those an alias of one of their entities stands for."""
     d = T(spark, root, "documents").select("id", "text")
     m = vocabulary.match_counts(d, T(spark, root, "vocabularies"), "text", "id")
-    return m.select(F.col("id").alias("document_id"), "vocabulary_id", vocabulary.match_confidence(F.col("matches")).alias("confidence"))
+    m = m.select(F.col("id").alias("document_id"), "vocabulary_id", vocabulary.match_confidence(F.col("matches")).alias("confidence"))
+    v = T(spark, root, "entity_vocabulary_links").where("match_type = 'alias' and vocabulary_id is not null").select("entity_name", "vocabulary_id").distinct()
+    e = T(spark, root, "document_entities").where("document_id is not null").select("document_id", "entity_name").distinct()
+    return m.unionByName(e.join(v, "entity_name").select("document_id", "vocabulary_id", F.lit(0.8).alias("confidence")))
 
 
-_LINKS = f"(select o.id as document_id, m.vocabulary_id, round(least(1.0, 0.8 + least(m.matches, 4) * 0.05), 6) as cv from {_MATCH} m join documents o using (doc_id))"
+_LINKS = f"""(select document_id, vocabulary_id, max(cv) as cv from (select o.id as document_id, m.vocabulary_id, round(least(1.0, 0.8 + least(m.matches, 4) * 0.05), 6) as cv from {_MATCH} m join documents o using (doc_id)
+    union all select e.document_id, v.vocabulary_id, 0.8 from (select distinct document_id, entity_name from document_entities where document_id is not null) e
+    join (select distinct entity_name, vocabulary_id from entity_vocabulary_links where match_type = 'alias' and vocabulary_id is not null) v using (entity_name)) group by 1, 2)"""
 
 
-@query(f"""with e as (select d.document_id, d.entity_name, d.entity_type, max(coalesce(d.confidence, 0)) as c from document_entities d join documents o on o.id = d.document_id where o.source = {_TOP} group by 1, 2, 3),
+@query(f"""with e as (select d.document_id, d.entity_name, d.entity_type, max(coalesce(d.confidence, 0)) as c from document_entities d join documents o on o.id = d.document_id where lower(trim(o.source)) = {_TOP} group by 1, 2, 3),
     j as (select e.*, v.vocabulary_id, v.cv from e join {_LINKS} v using (document_id))
     select entity_name as left_name, entity_type as left_type, vocabulary_id as right_id, round(least(arg_max(c, document_id), arg_max(cv, document_id)) * 0.9, 6) as confidence, max(document_id) as document_id from j group by 1, 2, 3""")
 def same_document_link(spark, root):
-    de, d = T(spark, root, "document_entities", "documents")
+    de, d = T(spark, root, "document_entities"), _sourced(spark, root)
     de = de.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     return inference.same_document_links(de, d, _doc_links(spark, root), _roles(spark, root)[0]).select("left_name", "left_type", "right_id", "confidence", "document_id")
 
@@ -450,7 +493,7 @@ _TRACKS = "(select id as document_id, string_split(text, chr(10)) as l from docu
 
 
 def _bridges(spark, root) -> DataFrame:
-    de, d = T(spark, root, "document_entities", "documents")
+    de, d = T(spark, root, "document_entities"), _sourced(spark, root)
     top, music = _roles(spark, root)
     de = de.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     t = _tracks(spark, root)
@@ -458,7 +501,7 @@ def _bridges(spark, root) -> DataFrame:
     return inference.three_way_links(de, d, _doc_links(spark, root), t, titles, top, music)
 
 
-_BRIDGE = f"""e as (select d.document_id, d.entity_name, d.entity_type, max(coalesce(d.confidence, 0)) as c, any_value(o.source) as s from document_entities d join documents o on o.id = d.document_id group by 1, 2, 3),
+_BRIDGE = f"""e as (select d.document_id, d.entity_name, d.entity_type, max(coalesce(d.confidence, 0)) as c, any_value(lower(trim(o.source))) as s from document_entities d join documents o on o.id = d.document_id group by 1, 2, 3),
     l as (select e.entity_name, e.entity_type, v.vocabulary_id, e.document_id as d1, e.c as c1, v.cv from e join {_LINKS} v using (document_id) where e.s = {_TOP}),
     p as (select document_id, unnest(string_split(l[2], ', ')) as entity_name, l[1] as track from {_TRACKS}),
     r as (select e.entity_name, e.entity_type, p.track, e.document_id as d2, e.c as c3 from e join p using (document_id, entity_name) where e.s = {_MUSIC}),
@@ -472,20 +515,28 @@ def three_way_bridge(spark, root):
 
 
 @query(f"""with {_BRIDGE}, b as (select vocabulary_id, track, round(arg_max(low, (d1, d2, entity_name, low)) * 0.81, 6) as c from j group by 1, 2), a as (select distinct l[1] as track, l[3] as album from {_TRACKS})
-    select vocabulary_id as left_name, album as right_id, round(least(arg_max(c, (track, c)), 1.0) * 0.95, 6) as confidence from b join a using (track) group by 1, 2""")
+    select vocabulary_id as left_name, album as right_id, cast(round(cast(cast(least(arg_max(c, (track, c)), 1.0) * 0.95 as varchar) as decimal(18, 15)), 6) as double) as confidence from b join a using (track) group by 1, 2""")
 def album_extension(spark, root):
     t = _tracks(spark, root)
     rel = t.select("source_name", "relation", "target_name", "confidence").distinct()
     return inference.album_links(_bridges(spark, root), rel, t).select("left_name", "right_id", "confidence")
 
 
-_PER = "(select entity_name, entity_type, source, string_agg(distinct document_id, '|' order by document_id) as docs from entity_sources where document_id is not null and source is not null group by 1, 2, 3)"
+_PER = """(select entity_name, entity_type, source, count(distinct document_id) as n from entity_sources
+    where document_id is not null and source is not null and entity_name is not null group by 1, 2, 3)"""
+_PAIRED = f"""(select a.entity_name, a.entity_type, a.source as source_a, b.source as source_b, a.n as documents_a, b.n as documents_b from {_PER} a
+    join {_PER} b on a.entity_name = b.entity_name and a.entity_type is not distinct from b.entity_type and a.source < b.source)"""
 
 
-@query(f"""with p as {_PER} select a.entity_name, a.entity_type, a.source as source_a, b.source as source_b, a.docs as documents_a, b.docs as documents_b from p a join p b on a.entity_name = b.entity_name and a.entity_type is not distinct from b.entity_type and a.source < b.source""")
+@query(f"select * from {_PAIRED}")
 def source_bridges(spark, root):
-    b = inference.source_bridges(T(spark, root, "entity_sources"))
-    return b.select("entity_name", "entity_type", "source_a", "source_b", F.array_join("documents_a", "|").alias("documents_a"), F.array_join("documents_b", "|").alias("documents_b"))
+    return inference.source_bridges(T(spark, root, "entity_sources")).drop("confidence", "rule")
+
+
+@query("""select distinct entity_name, entity_type, source, document_id from (select *, min(source) over (partition by entity_name, entity_type) as lo, max(source) over (partition by entity_name, entity_type) as hi
+    from entity_sources where document_id is not null and source is not null and entity_name is not null) where lo < hi""")
+def bridge_documents(spark, root):
+    return inference.bridge_documents(T(spark, root, "entity_sources"))
 
 
 @query("""with p as (select distinct entity_name, entity_type, source from entity_sources where source is not null)
@@ -494,8 +545,16 @@ def bridge_pair_counts(spark, root):
     return inference.bridge_pairs(T(spark, root, "entity_sources"))
 
 
+def unpacked(c) -> "F.Column":
+    """Alias lists as the tables pack them: a JSON array, with pipes or with commas; blanks are left out."""
+    plain = F.when(F.contains(c, F.lit("|")), F.split(c, r"\|")).otherwise(F.split(c, ","))
+    parts = F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>")).otherwise(plain)
+    parts = F.coalesce(parts, F.array().cast("array<string>"))
+    return F.filter(F.transform(parts, lambda x: text.strip_space(x)), lambda x: x.isNotNull() & (x != ""))
+
+
 def _listed_entities(spark, root) -> DataFrame:
-    return T(spark, root, "entities").where("name is not null").select("name", "entity_type", F.array().cast("array<string>").alias("aliases"), F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence"))
+    return T(spark, root, "entities").where("name is not null").select("name", "entity_type", unpacked(F.col("aliases")).alias("aliases"), F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence"))
 
 
 @query("""select coalesce(entity_type, '') || ':' || name as id, name as label, max(case when isnan(confidence) then null else confidence end) as confidence from entities where name is not null group by entity_type, name
@@ -507,7 +566,8 @@ def graph_nodes(spark, root):
     return graph.nodes(_listed_entities(spark, root), _vocab(spark, root), inference.source_bridges(s), s).select("id", "label", "confidence")
 
 
-_INDEX = """(select key, min(id) as id from (select name as key, coalesce(entity_type, '') || ':' || name as id from entities where name is not null
+_INDEX = f"""(select key, min(id) as id from (select name as key, coalesce(entity_type, '') || ':' || name as id from entities where name is not null
+    union select unnest({ALIASES_SQL}), coalesce(entity_type, '') || ':' || name from entities where name is not null
     union select alias, coalesce(entity_type, '') || ':' || canonical_name from entity_aliases where canonical_name is not null and alias is not null) group by 1 having count(distinct id) = 1)"""
 
 
@@ -516,14 +576,25 @@ def name_index(spark, root):
     return graph.name_index(_listed_entities(spark, root), T(spark, root, "entity_aliases"))
 
 
-@query(f"""with r as {_REL}, d as (select source_name, relation, target_name, max(confidence) as confidence, string_agg(distinct document_id, '|' order by document_id) as docs from r group by 1, 2, 3),
-    x as (select a.id as source, relation, b.id as target, confidence, docs, row_number() over (partition by a.id, relation, b.id order by source_name, target_name) as k from d join {_INDEX} a on a.key = source_name join {_INDEX} b on b.key = target_name)
-    select source, relation, target, confidence, docs as documents from x where k = 1""")
+def _evidence(spark, root) -> DataFrame:
+    """One piece of evidence for each stated relation, by the record that states it."""
+    status = F.element_at(F.array(*[F.lit(x) for x in EVIDENCE_STATUS]), (F.col("seq") % 3 + 1).cast("int"))
+    return _relations(spark, root).select("document_id", "source_name", "relation", "target_name", F.concat(F.lit("ev-"), F.col("seq").cast("string")).alias("evidence_document_id"), status.alias("status"), "seq")
+
+
+_EVID = f"(select document_id, source_name, relation, target_name, 'ev-' || seq as evidence_document_id, ['checked', 'contradicted', 'unverified'][cast(seq % 3 + 1 as integer)] as status, seq from {_REL})"
+
+
+@query(f"""with r as {_REL}, v as (select source_name, relation, target_name, string_agg(distinct status || ':' || evidence_document_id, '|' order by status || ':' || evidence_document_id) as ev from {_EVID} group by 1, 2, 3),
+    d as (select source_name, relation, target_name, max(confidence) as confidence, string_agg(distinct document_id, '|' order by document_id) as docs from r group by 1, 2, 3),
+    x as (select a.id as source, relation, b.id as target, confidence, docs, ev, row_number() over (partition by a.id, relation, b.id order by source_name, target_name) as k from d join v using (source_name, relation, target_name) join {_INDEX} a on a.key = source_name join {_INDEX} b on b.key = target_name)
+    select source, relation, target, confidence, docs as documents, ev as evidence from x where k = 1""")
 def graph_edges(spark, root):
     r = _relations(spark, root)
     one = r.groupBy("source_name", "relation", "target_name").agg(F.max("confidence").alias("confidence"))
     index = graph.name_index(_listed_entities(spark, root), T(spark, root, "entity_aliases"))
-    return graph.relation_edges(one, index, None, r).select("source", "relation", "target", "confidence", F.array_join("documents", "|").alias("documents"))
+    e = graph.relation_edges(one, index, _evidence(spark, root), r)
+    return e.select("source", "relation", "target", "confidence", F.array_join("documents", "|").alias("documents"), F.array_join("evidence", "|").alias("evidence"))
 
 
 @query("""select 'document' as kind, substr(sha256('document:' || id), 1, 32) as page_id, coalesce(title, id) as title from documents
@@ -609,8 +680,8 @@ _DIFF = """b as (select coalesce(source, 'none') || '/' || coalesce(lower(trim(s
     a as (select case when lower(trim(status)) = 'deleted' then 'trash/' || id || '.md' else coalesce(source, 'none') || '/' || coalesce(lower(trim(status)), 'none') || '/' || id || '.md' end as path, sha256(text) as hash from documents),
     gone as (select * from b where path not in (select path from a)), came as (select * from a where path not in (select path from b)),
     mv as (select g.path, c.path as target, g.hash from (select hash, min(path) as path from gone group by 1 having count(*) = 1) g join (select hash, min(path) as path from came group by 1 having count(*) = 1) c using (hash)),
-    x as (select 'moved' as change, path, target, hash from mv union all select 'deleted', path, null, hash from gone where path not in (select path from mv) union all select 'added', path, null, hash from came where path not in (select target from mv)
-      union all select 'modified', a.path, null, a.hash from a join b using (path) where a.hash <> b.hash)"""
+    x as (select 'moved' as change, path, target, hash, null as old from mv union all select 'deleted', path, null, hash, null from gone where path not in (select path from mv) union all select 'added', path, null, hash, null from came where path not in (select target from mv)
+      union all select 'modified', a.path, null, a.hash, b.hash from a join b using (path) where a.hash <> b.hash)"""
 
 
 @query(f"with {_DIFF} select change, path, target, hash from x")
@@ -619,10 +690,12 @@ def snapshot_diff(spark, root):
 
 
 @query(f"""with {_DIFF}, h as (select sha256(text) as hash, count(distinct id) as n, min(id) as id from documents group by 1)
-    select case when change = 'moved' and n = 1 then 'AUTO' else 'REVIEW' end as action, change as kind, path as source, case when n = 1 then h.id end as document_id, case when n = 1 then 'unique' when n > 1 then 'ambiguous' else 'unknown' end as identity from x left join h using (hash)""")
+    select case when change = 'moved' and h.n = 1 then 'AUTO' else 'REVIEW' end as action, change as kind, path as source, case when change = 'modified' then p.id when h.n = 1 then h.id end as document_id, case when h.n = 1 then 'unique' when h.n > 1 then 'ambiguous' else 'unknown' end as identity,
+      case when change <> 'modified' then null when p.n is null then 'unknown' when p.n > 1 then 'ambiguous' when h.n is null then 'stale' when h.n > 1 then 'ambiguous' when h.id = p.id then 'stable' else 'conflict' end as identity_status
+    from x left join h on x.hash = h.hash left join (select hash, n, case when n = 1 then id end as id from h) p on p.hash = x.old""")
 def reconcile_plan(spark, root):
     d = T(spark, root, "documents").select("id", text.content_hash(F.col("text")).alias("content_hash"))
-    return reconcile.classify(notes.diff(*_snapshots(spark, root)), d).select("action", "kind", "source", "document_id", "identity")
+    return reconcile.classify(notes.diff(*_snapshots(spark, root)), d).select("action", "kind", "source", "document_id", "identity", "identity_status")
 
 
 def _vault(spark, root) -> DataFrame:
@@ -669,12 +742,14 @@ def multiset_difference(spark, root):
     return one(a.exceptAll(b), "entities_not_linked").unionByName(one(b.exceptAll(a), "links_not_entities"))
 
 
-@query("""select 'documents' as name, count(*) as n from documents union all select 'entities', count(*) from entities union all select 'entity_aliases', count(*) from entity_aliases
-    union all select 'document_entities', count(*) from document_entities union all select 'vocabularies', count(*) from vocabularies""")
+#: All tables of the data.
+EVERY = "documents entities entity_aliases document_entities entity_sources document_sources entity_vocabulary_links vocabularies export_records entity_type_list source_list container_list run_log run_items subject_list subject_labels lineitem orders part supplier customer nation region events embeddings".split()
+
+
+@query(" union all ".join(f"select '{n}' as name, count(*) as n from {n}" for n in EVERY))
 def table_status(spark, root):
-    names = ["documents", "entities", "entity_aliases", "document_entities", "vocabularies"]
     out = None
-    for n, t in zip(names, T(spark, root, *names)):
-        one = t.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
+    for n in EVERY:
+        one = T(spark, root, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
         out = one if out is None else out.unionByName(one)
     return out
