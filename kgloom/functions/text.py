@@ -143,11 +143,12 @@ def valid_confidence(c: Column) -> Column:
 
 
 def parse_wikilink(c: Column) -> Column:
-    """``[[target#heading|display]]`` without the brackets, as a struct; parts that are absent are null."""
+    """``[[target#heading|display]]`` without the brackets, as a struct; target and heading are trimmed, the display
+    stays as typed; parts that are absent are null."""
     left = F.split_part(c, F.lit("|"), F.lit(1))
-    display = F.when(F.contains(c, F.lit("|")), F.trim(F.regexp_replace(c, r"^[^|]*\|", "")))
-    target = F.trim(F.split_part(left, F.lit("#"), F.lit(1)))
-    heading = F.when(F.contains(left, F.lit("#")), F.trim(F.regexp_replace(left, r"^[^#]*#", "")))
+    display = F.when(F.contains(c, F.lit("|")), F.regexp_replace(c, r"(?s)^[^|]*\|", ""))
+    target = strip_space(F.split_part(left, F.lit("#"), F.lit(1)))
+    heading = F.when(F.contains(left, F.lit("#")), strip_space(F.regexp_replace(left, r"(?s)^[^#]*#", "")))
     return F.struct(target.alias("target"), heading.alias("heading"), display.alias("display"))
 
 

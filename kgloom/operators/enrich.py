@@ -116,7 +116,7 @@ def parse_payload(documents: DataFrame, column: str = "payload") -> DataFrame:
     keep = [c for c in documents.columns if c != column]
     return d.select(
         *keep, valid.alias("valid"), F.coalesce(_text(_get(v, "summary")), F.substring("content", 1, 500)).alias("summary"),
-        F.when(F.size(tags) > 0, tags).otherwise(F.array(F.concat(F.lit("source/"), "source"))).alias("tags"), _words(_get(v, "related_ids")).alias("related_ids"),
+        F.when(F.size(tags) > 0, tags).otherwise(F.array(F.concat(F.lit("source/"), F.coalesce("source", F.lit("unknown"))))).alias("tags"), _words(_get(v, "related_ids")).alias("related_ids"),
         _number(_get(v, "importance"), 0.5).alias("importance"), F.coalesce(_text(_get(v, "document_type")), F.lit("note")).alias("document_type"),
         F.coalesce(_text(_get(v, "translation_ko")), F.lit("")).alias("translation_ko"), F.filter(ents, lambda e: e["name"] != "").cast(ENTITIES).alias("entities"),
         F.filter(rels, lambda r: (r["source"] != "") & (r["relation"] != "") & (r["target"] != "")).cast(RELATIONS).alias("relations"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.lookup import migrated_type
 from ..functions.text import casefold, norm_alias, strip_space
 from ..schemas import EVIDENCE_STATUS, MERGE_REASONS, RESOLUTIONS
-from ..session import materialize_counted
+from ..session import discard, materialize_counted
 
 
 def _pick(df: DataFrame, keys: list[str], order: list[Column], last: bool) -> DataFrame:
@@ -225,18 +225,25 @@ NAMED_ENDS = {
 
 def effective_merges(entities: DataFrame, mapping: DataFrame) -> DataFrame:
     """The mappings (duplicate, canonical, entity_type, reason) that do something: complete, to another name, with a
-    known reason, of an entity that is there. A chain of merges leads to its last name, as far as it is no circle."""
+    known reason, of an entity that is there. A chain of merges leads to its last name; merges in a circle, which has
+    none, and those that lead into one do nothing."""
     m = mapping.where("duplicate <> '' and canonical <> '' and entity_type <> '' and duplicate <> canonical")
     m = validated(m, "reason", MERGE_REASONS, "entity merge reason")
     m = m.groupBy("duplicate", "entity_type").agg(F.min(F.struct("canonical", "reason")).alias("x")).select("duplicate", "entity_type", "x.*")
     m = m.join(entities.select(F.col("name").alias("duplicate"), "entity_type").distinct(), ["duplicate", "entity_type"], "left_semi")
-    while True:
+    m, seen = materialize_counted(m.select("duplicate", "entity_type", "canonical", "reason"), "merges", n=F.count(F.lit(1)))
+    # pointer jumping doubles the reach each round; what still moves after that many rounds goes round in a circle
+    for _ in range(int(seen["n"]).bit_length() + 1):
         up = m.select(F.col("duplicate").alias("canonical"), "entity_type", F.col("canonical").alias("up"))
-        step = m.join(up, ["canonical", "entity_type"], "left").withColumn("up", F.when(F.col("up") != F.col("duplicate"), F.col("up")))
-        step, seen = materialize_counted(step.select("duplicate", "entity_type", F.coalesce("up", "canonical").alias("canonical"), "reason", F.col("up").isNotNull().alias("moved")), "merges", moved=F.count_if("moved"))
+        step = m.join(up, ["canonical", "entity_type"], "left").withColumn("moved", F.coalesce(F.col("up") != F.col("canonical"), F.lit(False)))
+        step, seen = materialize_counted(step.select("duplicate", "entity_type", F.coalesce("up", "canonical").alias("canonical"), "reason", "moved"), "merges", moved=F.count_if("moved"))
+        discard(m)
         m = step.drop("moved")
+        m._kgloom_path = step._kgloom_path
         if not seen["moved"]:
-            return m
+            break
+    ends = m.select(F.col("duplicate").alias("canonical"), "entity_type")
+    return m.join(ends, ["canonical", "entity_type"], "left_anti").select("duplicate", "entity_type", "canonical", "reason")
 
 
 def merge_entities_everywhere(t: dict[str, DataFrame], mapping: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
@@ -261,7 +268,7 @@ def merge_entities_everywhere(t: dict[str, DataFrame], mapping: DataFrame, now:
         gone = m.select(F.col("duplicate").alias("canonical_name"), "entity_type")
         kept = t["entity_aliases"].join(gone, ["canonical_name", "entity_type"], "left_anti").select("alias", "canonical_name", "entity_type")
         changed = out["entities"].join(m.select(F.col("canonical").alias("name"), "entity_type").distinct(), ["name", "entity_type"], "left_semi")
-        new = changed.select(casefold(F.explode("aliases")).alias("alias"), F.col("name").alias("canonical_name"), "entity_type", F.col("name").alias("seq"))
+        new = changed.select(F.explode("aliases").alias("alias"), F.col("name").alias("canonical_name"), "entity_type", F.col("name").alias("seq")).withColumn("alias", casefold(F.col("alias")))
         out["entity_aliases"] = first_wins(kept, new, ["alias", "entity_type"])
     log = m.select(F.xxhash64("canonical", "duplicate", "entity_type").alias("id"), F.col("canonical").alias("canonical_name"), F.col("duplicate").alias("duplicate_name"), "entity_type", "reason", (now if now is not None else F.current_timestamp()).alias("created_at"))
     out["entity_merge_log"] = t["entity_merge_log"].unionByName(log) if "entity_merge_log" in t else log

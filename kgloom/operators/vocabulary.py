@@ -107,7 +107,7 @@ def explicit_entity_links(explicit: DataFrame, aliases: DataFrame) -> DataFrame:
 def vocabulary_aliases(vocabularies: DataFrame, old: DataFrame, seq: str = "seq") -> DataFrame:
     """Folded id, word and traditional form, each claimed by the first vocabulary that has it."""
     rows = vocabularies.select(F.col(seq).alias("s"), F.col("id").alias("canonical_id"), F.posexplode(F.array("id", "word", "traditional")).alias("p", "a"))
-    rows = rows.select(norm_alias(blank_to_null(F.col("a"))).alias("alias"), "canonical_id", (F.col("s") * 3 + F.col("p")).alias("seq")).where("alias is not null")
+    rows = rows.select(norm_alias(blank_to_null(F.col("a"))).alias("alias"), "canonical_id", F.struct("s", "p").alias("seq")).where("alias is not null")
     return first_wins(old, rows, ["alias"])
 
 

@@ -515,7 +515,7 @@ def three_way_bridge(spark, root):
 
 
 @query(f"""with {_BRIDGE}, b as (select vocabulary_id, track, round(arg_max(low, (d1, d2, entity_name, low)) * 0.81, 6) as c from j group by 1, 2), a as (select distinct l[1] as track, l[3] as album from {_TRACKS})
-    select vocabulary_id as left_name, album as right_id, cast(round(cast(cast(least(arg_max(c, (track, c)), 1.0) * 0.95 as varchar) as decimal(18, 15)), 6) as double) as confidence from b join a using (track) group by 1, 2""")
+    select vocabulary_id as left_name, album as right_id, cast(round(cast(cast(least(arg_max(c, (track, c)), 1.0) * 0.95 as varchar) as decimal(30, 20)), 6) as double) as confidence from b join a using (track) group by 1, 2""")
 def album_extension(spark, root):
     t = _tracks(spark, root)
     rel = t.select("source_name", "relation", "target_name", "confidence").distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lookup import known_type, migrated_type
-from ..functions.text import folded, norm_name
+from ..functions.text import folded, norm_name, parse_wikilink
 from ..schemas import ENTITY_TYPES, LEGACY_TYPES, PROTECTED_DIRS
 
 # What a link and a fence look like.
@@ -158,10 +158,7 @@ def target_index(files: DataFrame) -> DataFrame:
 def link_rows(files: DataFrame) -> DataFrame:
     """file, raw, target, heading, display of every link."""
     rows = files.select(F.col("path").alias("file"), F.explode(find_links("text")).alias("l")).select("file", F.col("l.raw").alias("raw"))
-    left = F.split_part(F.col("raw"), F.lit("|"), F.lit(1))
-    display = F.when(F.contains("raw", F.lit("|")), F.trim(F.regexp_replace("raw", r"^[^|]*\|", "")))
-    heading = F.when(F.contains(left, F.lit("#")), F.trim(F.regexp_replace(left, "^[^#]*#", "")))
-    return rows.select("file", "raw", F.trim(F.split_part(left, F.lit("#"), F.lit(1))).alias("target"), heading.alias("heading"), display.alias("display"))
+    return rows.withColumn("p", parse_wikilink(F.col("raw"))).select("file", "raw", "p.*")
 
 
 def audit(files: DataFrame) -> DataFrame:
