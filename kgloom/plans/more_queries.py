@@ -527,7 +527,7 @@ def link_targets(spark, root):
     return notes.target_index(base._vault(spark, root))
 
 
-@query(f"""select path as file, name || ' ' || entity_id as target, '' as heading, '' as display from {_VAULT} where not regexp_matches(name, '[\[\]|#\r\n`]')
+@query(f"""select path as file, {strip_sql("(name || ' ' || entity_id)")} as target, '' as heading, '' as display from {_VAULT} where not regexp_matches(name, '[\[\]|#\r\n`]')
     union all select path, 'nowhere', '', '' from {_VAULT} where not regexp_matches(name, '[\[\]|#\r\n`]')""")
 def vault_links(spark, root):
     """Links of all notes; names with marks that belong to links or code are held against fixtures in the tests."""

@@ -152,10 +152,10 @@ def test_readers_and_engine(spark, tmp_path):
     assert [x.name for x in t.first().entities] == ["A", "B", "Song", "LP"] and len(t.first().relations) == 3
 
     store = engine.TableStore(spark, str(tmp_path / "db"))
-    assert engine.ingest_generic(spark, store, d) == {"processed": 2, "skipped": 0}
-    assert engine.ingest_enriched(spark, store, en) == {"processed": 1, "skipped": 0}
-    assert engine.ingest_enriched(spark, store, en) == {"processed": 0, "skipped": 1}
-    assert engine.ingest_enriched(spark, store, t) == {"processed": 1, "skipped": 0}
+    assert engine.ingest_generic(spark, store, d) == {"processed": 2, "skipped": 0, "errors": 0}
+    assert engine.ingest_enriched(spark, store, en) == {"processed": 1, "skipped": 0, "errors": 0}
+    assert engine.ingest_enriched(spark, store, en) == {"processed": 0, "skipped": 1, "errors": 0}
+    assert engine.ingest_enriched(spark, store, t) == {"processed": 1, "skipped": 0, "errors": 0}
     assert [(x.source_name, x.target_name) for x in store.read("relations").where("relation = 'owns'").collect()] == [("Apple Inc.", "Beats")]
     engine.ingest_vocabulary(spark, store, readers.read_vocabulary(spark, str(c)))
     engine.derive(store, "enriched", "music")
