@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -50,10 +51,11 @@ class TableStore:
     def commit(self, tables: dict[str, DataFrame]) -> None:
         now = self._pointer()
         version = now["version"] + 1
-        for name, df in tables.items():
-            at = f"{name}/v={version}"
-            conform(df, name).write.mode("overwrite").parquet(f"{self.root}/{at}")
-            now["tables"][name] = at
+        at = {name: f"{name}/v={version}" for name in tables}
+        # the jobs share the cluster; none is long enough to fill it
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda name: conform(tables[name], name).write.mode("overwrite").parquet(f"{self.root}/{at[name]}"), tables))
+        now["tables"] |= at
         now["version"] = version
         write_text(self.spark, f"{self.root}/current.json", json.dumps(now))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -45,8 +46,8 @@ def is_ascii(c: Column) -> Column:
 
 def casefold(c: Column) -> Column:
     """Full Unicode case folding. Strings without a special character (nearly all) take plain ``lower``."""
-    pairs = [F.lit(x) for kv in sorted(_fold_specials().items()) for x in kv]
-    table = F.create_map(*pairs)
+    # one constant, folded when the query is planned
+    table = F.from_json(F.lit(json.dumps(_fold_specials())), "map<string,string>")
     slow = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(table[ch], F.lower(ch))), "")
     return F.when(is_ascii(c), F.lower(c)).when(c.rlike(_special_class()), slow).otherwise(F.lower(c))
 

@@ -1,6 +1,6 @@
 """Processing only new or changed records.
 
-Records fall into a fixed number of partitions by key. A partition's fingerprint is the number of its rows and the sum
+Records fall into partitions by key, so many that one holds some ten thousand; their number stays with the state. A partition's fingerprint is the number of its rows and the sum
 of their hashes, which no order or file layout changes. A run recomputes the partitions whose fingerprint differs from
 the stored one and replaces each by dynamic partition overwrite; the fingerprints follow after the results, so a run
 that dies in between is repeated in full for those partitions and neither skips nor repeats a record."""
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_space
-from ..session import discard, materialize, path_exists
+from ..session import discard, materialize, materialize_counted, path_exists
 
 
 def _part(key: str, partitions: int):
@@ -37,23 +37,33 @@ def _pending(docs: DataFrame, items: DataFrame) -> DataFrame:
     return joined.where(F.coalesce(F.col("sha") != F.col("last_hash"), F.lit(True))).select("doc_id", "part")
 
 
-def refresh(spark: SparkSession, documents: DataFrame, run_log: DataFrame, run_items: DataFrame, state: str, partitions: int = 32) -> DataFrame:
+def _partitions(spark: SparkSession, seen: str, rows: int, size: int) -> int:
+    """The number of partitions of the state, or for a new one as many as hold ``size`` rows each."""
+    if path_exists(spark, seen):
+        # one row per partition
+        return spark.read.parquet(seen).count()
+    return max(32, -(-rows // size))
+
+
+def refresh(spark: SparkSession, documents: DataFrame, run_log: DataFrame, run_items: DataFrame, state: str, size: int = 20_000) -> DataFrame:
     """The doc_id of each document that the next run has to process; brings the state under ``state`` up to date.
 
     A document is due unless its status is deleted or the SHA-256 of its present text equals the content_hash of its
     last processing. A missing text counts as the empty one; a document without id was never processed; a missing hash
     equals none. Stored content_hash and updated_at of documents are not trusted: only the text decides. Repeated rows
-    each come out. Empty tables give an empty result. ``partitions`` must stay the same for one state."""
+    each come out. Empty tables give an empty result. A new state takes partitions of about ``size`` documents; what is
+    written for one are the ids that are due, so a partition is small for the one task that writes it."""
     key = F.lower(strip_space(F.col("id")))
     docs = documents.select("doc_id", key.alias("key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), (F.coalesce(F.lower(F.trim("status")), F.lit("")) == "deleted").alias("deleted"))
-    docs = docs.withColumn("part", _part("key", partitions)).withColumn("row_hash", F.xxhash64("doc_id", "key", "sha", "deleted"))
-    docs = materialize(docs, "docs")
+    seen = f"{state}/fingerprints"
+    hashed, found = materialize_counted(docs.withColumn("row_hash", F.xxhash64("doc_id", "key", "sha", "deleted")), "docs", n=F.count(F.lit(1)))
+    partitions = _partitions(spark, seen, found["n"], size)
+    docs = hashed.withColumn("part", _part("key", partitions))
     items = last_processing(run_log, run_items)
     items = materialize(items.withColumn("part", _part("key", partitions)).withColumn("row_hash", F.xxhash64("key", "last_hash")), "items")
 
     now = fingerprints(docs).select("part", F.col("n_rows").alias("doc_rows"), F.col("hash_sum").alias("doc_hash"))
     now = now.join(fingerprints(items).select("part", F.col("n_rows").alias("item_rows"), F.col("hash_sum").alias("item_hash")), "part", "full")
-    seen = f"{state}/fingerprints"
     every = spark.range(partitions).select(F.col("id").cast("int").alias("part"))
     # one row per partition of the state, also for those that lost their last row
     now = materialize(every.join(now, "part", "left"), "fingerprints")
@@ -65,12 +75,12 @@ def refresh(spark: SparkSession, documents: DataFrame, run_log: DataFrame, run_i
         changed = now.join(old.withColumn("known", F.lit(True)), "part", "left").where(F.col("known").isNull() | differs)
     changed = materialize(changed.select(*now.columns), "changed")
 
-    # ``partitions`` rows at most, a parameter: small enough to broadcast
-    only = F.broadcast(changed.select("part"))
+    # one number per ``size`` documents
+    only = changed.select("part")
     due = _pending(docs.join(only, "part", "left_semi"), items.join(only, "part", "left_semi").drop("part", "row_hash"))
     # an empty row per partition lets the overwrite clear partitions that have nothing due any more
     rows = due.unionByName(changed.select(F.lit(None).cast("long").alias("doc_id"), "part"))
     rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{state}/due")
     changed.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(seen)
-    discard(docs, items, now, changed)
+    discard(hashed, items, now, changed)
     return spark.read.schema("doc_id long, part int").parquet(f"{state}/due").where("doc_id is not null").select("doc_id")

@@ -13,8 +13,14 @@ from ..session import scratch_path, table
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Two runs over one state: up to the last but one succeeded run, then with the last one, which recomputes only the
+    partitions whose fingerprints it changed and keeps what the first found for the others."""
     t = partial(table, spark, root)
-    return refresh(spark, t("documents"), t("run_log"), t("run_items"), scratch_path(spark, "p4state"))
+    documents, runs, items = t("documents"), t("run_log"), t("run_items")
+    state = scratch_path(spark, "p4state")
+    last = runs.where("status = 'succeeded'").agg(F.max_by("run_id", F.struct("finished_at", "run_id")).alias("run_id"))
+    refresh(spark, documents, runs, items.join(F.broadcast(last), "run_id", "left_anti"), state)
+    return refresh(spark, documents, runs, items, state)
 
 
 def _links(spark: SparkSession, root: str) -> dict[str, DataFrame]:
