@@ -128,7 +128,7 @@ def clear_lines(e: np.ndarray, sure: float, lead: float) -> tuple[np.ndarray, np
     """Per line the subject with most evidence, whether that is enough, and whether it also leads the next clearly."""
     at = e.argmax(axis=1)
     top = e[np.arange(len(e)), at]
-    gap = top - np.sort(e, axis=1)[:, -2] if e.shape[1] > 1 else top
+    gap = top - np.partition(e, -2, axis=1)[:, -2] if e.shape[1] > 1 else top
     return at, top >= sure, (top >= sure) & (gap >= lead)
 
 
@@ -176,6 +176,12 @@ def _counts(total: np.ndarray, k: int) -> pa.RecordBatch:
 COUNTS = "item long, c int, n double"
 
 
+def _lines_evidence(w: np.ndarray, told: np.ndarray, b: Batch) -> np.ndarray:
+    """``top_two`` over the items that tell something."""
+    have = told[b.items]
+    return top_two(w[b.items[have]], b.line[have], b.lines)
+
+
 def recount(coded: DataFrame, weights: np.ndarray, sure: float, lead: float, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How often each item comes with each subject and at all, over all documents, and the subjects' shares; summed per
     task before anything is shuffled. ``whole`` counts a document's items for its main subject, which words of every
@@ -185,11 +191,12 @@ def recount(coded: DataFrame, weights: np.ndarray, sure: float, lead: float, who
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = wb.value
+        told = w.max(axis=1) > 0
         # the last row counts documents or lines
         total = np.zeros((size + 1) * (k + 1))
         for raw in batches:
             b = Batch(raw)
-            each, main = settle(top_two(w[b.items], b.line, b.lines), b.doc, b.docs, sure, lead)
+            each, main = settle(_lines_evidence(w, told, b), b.doc, b.docs, sure, lead)
             if whole:
                 at = np.unique(b.doc[b.line] * size + b.items)
                 code, units = at % size * (k + 1) + main[at // size], main[b.per_doc > 0]
@@ -256,9 +263,10 @@ def mine_rules(coded: DataFrame, weights: np.ndarray, sure: float, lead: float,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, keep = wb.value
+        some = w.max(axis=1) > 0
         for raw in batches:
             b = Batch(raw)
-            each, _ = settle(top_two(w[b.items], b.line, b.lines), b.doc, b.docs, sure, lead)
+            each, _ = settle(_lines_evidence(w, some, b), b.doc, b.docs, sure, lead)
             have = keep[b.items]
             items, line = b.items[have], b.line[have]
             x, y, at = pairs_of(items, line)
