@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import strip_space
+from ..functions.text import is_ascii, strip_space
 from ..operators.skew import salted_join
 from ..session import materialize
 from .edits import deletes, edit_bound, osa
@@ -41,7 +41,8 @@ def folded_tokens(c: Column) -> Column:
 
 
 def plural(c: Column) -> Column:
-    return F.when(c.rlike("[^aeiou]y$"), F.concat(F.expr("substr(term, 1, length(term) - 1)"), F.lit("ies"))).when(c.rlike("(s|x|ch|sh)$"), F.concat(c, F.lit("es"))).otherwise(F.concat(c, F.lit("s")))
+    return F.when(c.rlike("[^aeiou]y$"), F.concat(F.expr("substr(term, 1, length(term) - 1)"), F.lit("ies"))).when(c.rlike("(s|x|ch|sh)$"),
+        F.concat(c, F.lit("es"))).otherwise(F.concat(c, F.lit("s")))
 
 
 def type_vocabulary(types: DataFrame, terms: dict[str, str] | None = None, learned: DataFrame | None = None) -> DataFrame:
@@ -49,10 +50,13 @@ def type_vocabulary(types: DataFrame, terms: dict[str, str] | None = None, learn
     list), with regular plurals of Latin words, then what ``learned`` (type_id, term) adds. Its size is that of the
     list, of the parameter ``terms``, and of the words people use for types."""
     spark = types.sparkSession
-    listed = types.select("type_id", F.explode(F.concat(F.array("type_name"), F.coalesce("known_aliases", F.array().cast("array<string>")))).alias("term"))
+    listed = types.select("type_id", F.explode(F.concat(F.array("type_name"),
+        F.coalesce("known_aliases", F.array().cast("array<string>")))).alias("term"))
     given = [(k, w) for k, v in (TERMS if terms is None else terms).items() for w in _words(v)]
-    more = spark.createDataFrame(given, "type_name string, term string").join(types.select("type_id", "type_name"), "type_name").select("type_id", "term")
-    every = listed.unionByName(more).where("term is not null").withColumn("term", F.array_join(folded_tokens(F.col("term")), " ")).where("term <> ''")
+    more = spark.createDataFrame(given, "type_name string, term string").join(types.select("type_id", "type_name"),
+        "type_name").select("type_id", "term")
+    every = listed.unionByName(more).where("term is not null").withColumn("term",
+        F.array_join(folded_tokens(F.col("term")), " ")).where("term <> ''")
     both = every.unionByName(every.where(F.col("term").rlike("^[a-z ]{3,}$")).withColumn("term", plural(F.col("term"))))
     out = both.groupBy(F.col("term").alias("phrase")).agg(F.min("type_id").alias("type_id"))
     if learned is None:
@@ -86,10 +90,12 @@ def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def _typed(records: DataFrame) -> DataFrame:
-    return records.select(F.explode("entities").alias("e")).select(nfkc(F.col("e.name")).alias("name"), F.col("e.entity_type").alias("value"))
+    return records.select(F.explode("entities").alias("e")).select(nfkc(F.col("e.name")).alias("name"),
+        F.col("e.entity_type").alias("value"))
 
 
-def learned_terms(records: DataFrame, entities: DataFrame, types: DataFrame, least: int = 5, purity: float = 0.9, mixed: float = 0.6) -> DataFrame:
+def learned_terms(records: DataFrame, entities: DataFrame, types: DataFrame, least: int = 5, purity: float = 0.9,
+    mixed: float = 0.6) -> DataFrame:
     """type_id, term: the typed-in values whose meaning the data show. An entity often stands in several records, once
     with a listed type and elsewhere with a typed one: a value is a term of a type if the entities it was given to,
     ``least`` of them at least, have that listed type elsewhere in a share of ``purity``. Values that say nothing
@@ -97,9 +103,12 @@ def learned_terms(records: DataFrame, entities: DataFrame, types: DataFrame, lea
     several listed types do not vote."""
     name = F.array_join(folded_tokens(F.col("name")), " ").alias("name")
     listed = types.select(F.col("type_name").alias("value"), "type_id").where("value is not null")
-    every = _typed(records).unionByName(entities.select(nfkc(F.col("name")).alias("name"), F.col("entity_type").alias("value"))).select(name, "value")
-    known = every.join(F.broadcast(listed), "value").groupBy("name").agg(F.min("type_id").alias("type_id"), F.max("type_id").alias("hi")).where("name <> '' and type_id = hi").select("name", "type_id")
-    free = every.join(F.broadcast(listed.select("value")), "value", "left_anti").select("name", F.array_join(folded_tokens(nfkc(F.col("value"))), " ").alias("term")).where("name <> '' and term <> ''").distinct()
+    every = _typed(records).unionByName(entities.select(nfkc(F.col("name")).alias("name"), F.col("entity_type").alias("value"))).select(
+        name, "value")
+    known = every.join(F.broadcast(listed), "value").groupBy("name").agg(F.min("type_id").alias("type_id"),
+        F.max("type_id").alias("hi")).where("name <> '' and type_id = hi").select("name", "type_id")
+    free = every.join(F.broadcast(listed.select("value")), "value", "left_anti").select("name",
+        F.array_join(folded_tokens(nfkc(F.col("value"))), " ").alias("term")).where("name <> '' and term <> ''").distinct()
     per = free.join(known, "name").groupBy("term", "type_id").agg(F.count("*").alias("n"))
     best = per.groupBy("term").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("type_id")).alias("neg"))).alias("x"))
     share = F.col("x.n") / F.col("all")
@@ -107,7 +116,8 @@ def learned_terms(records: DataFrame, entities: DataFrame, types: DataFrame, lea
     return best.select(F.when(share >= purity, -F.col("x.neg")).otherwise(0).alias("type_id"), "term")
 
 
-def map_values(values: DataFrame, types: DataFrame, terms: dict[str, str] | None = None, learned: DataFrame | None = None, accept: float = 0.41) -> DataFrame:
+def map_values(values: DataFrame, types: DataFrame, terms: dict[str, str] | None = None, learned: DataFrame | None = None,
+    accept: float = 0.41) -> DataFrame:
     """value, type_id, score for each distinct non-blank value: the entry it stands for, 0 if none reaches ``accept``.
 
     Each distinct token is repaired against the reference words by edit distance; the repaired tokens rank the entries
@@ -127,7 +137,8 @@ def map_values(values: DataFrame, types: DataFrame, terms: dict[str, str] | None
 
     # written once: each branch below reads it
     phrases = materialize(type_vocabulary(types, terms, learned), "vocabulary")
-    vocab = phrases.select("phrase", "type_id", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word")).where(~F.col("word").isin(_words(STOP)))
+    vocab = phrases.select("phrase", "type_id", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word")).where(
+        ~F.col("word").isin(_words(STOP)))
     idf = vocab.groupBy("word").agg((1 / F.log(1.0 + F.countDistinct("phrase") + 1)).alias("idf"))
     vocab = vocab.join(idf, "word")
     norm = vocab.groupBy("phrase").agg(F.sum("idf").alias("norm"))
@@ -135,12 +146,15 @@ def map_values(values: DataFrame, types: DataFrame, terms: dict[str, str] | None
 
     repaired = repair_tokens(rows.select("token").distinct(), vocab)
     hit = rows.join(repaired, "token").join(vocab.select("word", "phrase", "type_id", "share"), "word")
-    hit = hit.groupBy("value", "phrase", "type_id", "word").agg(F.max(F.col("sim") * F.col("place") * F.col("share")).alias("part"), F.max("place").alias("place"))
+    hit = hit.groupBy("value", "phrase", "type_id", "word").agg(F.max(F.col("sim") * F.col("place") * F.col("share")).alias("part"),
+        F.max("place").alias("place"))
     # words of one phrase count at the place of its best placed word
     scored = hit.groupBy("value", "phrase", "type_id").agg((F.sum(F.col("part") / F.col("place")) * F.max("place")).alias("score"))
     best = scored.groupBy("value").agg(F.max(F.struct(F.round("score", 6).alias("score"), (-F.col("type_id")).alias("neg"))).alias("x"))
-    best = best.where(F.col("x.score") >= accept).select("value", (-F.col("x.neg")).cast("int").alias("type_id"), F.col("x.score").alias("score"))
-    return clean.join(best, "value", "left").select("value", F.coalesce("type_id", F.lit(0)).alias("type_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    best = best.where(F.col("x.score") >= accept).select("value", (-F.col("x.neg")).cast("int").alias("type_id"),
+        F.col("x.score").alias("score"))
+    return clean.join(best, "value", "left").select("value", F.coalesce("type_id", F.lit(0)).alias("type_id"),
+        F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 @F.pandas_udf(T.StringType())
@@ -151,23 +165,27 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column) -> Column:
-    return _nfkc(c)
+    """ASCII strings are as they are; only the others go to Python."""
+    return F.when(is_ascii(c), c).otherwise(_nfkc(F.when(~is_ascii(c), c)))
 
 
 def free_types(records: DataFrame, types: DataFrame) -> DataFrame:
     """record_id, entity_pos, value: entities whose entity_type is given, not blank and not exactly a listed name.
     Records without entities, and null entities, give no rows; repeated records each count."""
     names = types.select(F.col("type_name").alias("value")).where("value is not null").distinct()
-    rows = records.select("record_id", F.posexplode("entities").alias("entity_pos", "e")).select("record_id", "entity_pos", F.col("e.entity_type").alias("value"))
+    rows = records.select("record_id", F.posexplode("entities").alias("entity_pos", "e")).select("record_id", "entity_pos",
+        F.col("e.entity_type").alias("value"))
     rows = rows.where(strip_space(F.col("value")) != "")
     # the list is a parameter of fixed size, small enough to broadcast
     return rows.join(F.broadcast(names), "value", "left_anti")
 
 
-def map_entity_types(records: DataFrame, types: DataFrame, terms: dict[str, str] | None = None, entities: DataFrame | None = None) -> DataFrame:
+def map_entity_types(records: DataFrame, types: DataFrame, terms: dict[str, str] | None = None,
+    entities: DataFrame | None = None) -> DataFrame:
     """record_id, entity_pos, type_id for every row of ``free_types``. With ``entities`` the reference vocabulary also
     takes the terms that these and the records' own entities show (``learned_terms``)."""
     rows = free_types(records, types)
     learned = materialize(learned_terms(records, entities, types), "learned") if entities is not None else None
     mapped = map_values(rows.select("value"), types, terms, learned).select("value", "type_id")
-    return salted_join(rows, mapped, "value", F.struct("record_id", "entity_pos")).select("record_id", "entity_pos", F.coalesce("type_id", F.lit(0)).alias("type_id"))
+    return salted_join(rows, mapped, "value", F.struct("record_id", "entity_pos")).select("record_id", "entity_pos",
+        F.coalesce("type_id", F.lit(0)).alias("type_id"))

@@ -17,7 +17,8 @@ OTHER = "(other)"
 
 def keyed_rows(entities: DataFrame, sources: DataFrame, types: DataFrame) -> DataFrame:
     """One slim row per entity: folded name, usable type, aliases and confidence, source with its priority."""
-    listed = sources.select(F.lower(strip_space(F.col("source"))).alias("src"), F.col("priority").alias("prio")).where("src is not null").groupBy("src").agg(F.max("prio").alias("prio"))
+    listed = sources.select(F.lower(strip_space(F.col("source"))).alias("src"),
+        F.col("priority").alias("prio")).where("src is not null").groupBy("src").agg(F.max("prio").alias("prio"))
     names = types.select(F.col("type_name").alias("entity_type"), F.lit(True).alias("listed")).where("entity_type is not null").distinct()
     rows = entities.select(
         "entity_id", norm_name("name").alias("key"), "entity_type", alias_keys("name", "aliases").alias("alias_list"),
@@ -27,7 +28,8 @@ def keyed_rows(entities: DataFrame, sources: DataFrame, types: DataFrame) -> Dat
     rows = rows.join(listed, "src", "left").join(names, "entity_type", "left")
     return rows.select(
         "entity_id", "key", F.when(F.col("listed"), F.col("entity_type")).alias("type"), "alias_list", "conf",
-        F.when(F.col("prio").isNotNull(), F.col("src")).otherwise(OTHER).alias("src"), F.coalesce("prio", F.lit(0)).alias("prio"), "updated_at",
+        F.when(F.col("prio").isNotNull(), F.col("src")).otherwise(OTHER).alias("src"), F.coalesce("prio", F.lit(0)).alias("prio"),
+            "updated_at",
     )
 
 
@@ -139,7 +141,8 @@ def source_model(patterns: DataFrame, rounds: int = 5) -> tuple[dict[str, dict],
                                 y[2] += w
             yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["field", "s", "t", "x", "y", "z"])
 
-        got = patterns.mapInPandas(stats, "field string, s string, t string, x double, y double, z double").groupBy("field", "s", "t").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z")).collect()
+        got = patterns.mapInPandas(stats, "field string, s string, t string, x double, y double, z double").groupBy("field", "s",
+            "t").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z")).collect()
         accuracy = {f: {} for f in FALSE_VALUES}
         for r in got:
             if not r.t:
@@ -153,7 +156,8 @@ def source_model(patterns: DataFrame, rounds: int = 5) -> tuple[dict[str, dict],
                 free = r.x * math.log(pt) + r.y * math.log(pf) + r.z * math.log(pd_)
                 for s, t, own in ((r.s, r.t, b), (r.t, r.s, a)):
                     # s copies from t: with the copy rate it repeats what t says
-                    dep = r.x * math.log(own * COPY_RATE + pt * (1 - COPY_RATE)) + r.y * math.log((1 - own) * COPY_RATE + pf * (1 - COPY_RATE)) + r.z * math.log(pd_ * (1 - COPY_RATE))
+                    dep = r.x * math.log(own * COPY_RATE + pt * (1 - COPY_RATE)) + r.y * math.log(
+                        (1 - own) * COPY_RATE + pf * (1 - COPY_RATE)) + r.z * math.log(pd_ * (1 - COPY_RATE))
                     odds = math.log(COPY_PRIOR / (1 - COPY_PRIOR)) + dep - free
                     copies[r.field][(s, t)] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
     return accuracy, copies
@@ -184,20 +188,25 @@ def fuse(entities: DataFrame, sources: DataFrame, types: DataFrame, rounds: int
                 out.append((field, [tuple(c.values()) if isinstance(c, dict) else (c["s"], c["v"]) for c in claims_], v, round(p[v], 6)))
             yield pd.DataFrame(out, columns=["field", "claims", "value", "posterior"])
 
-    made = patterns.select("field", "claims").mapInPandas(decide, "field string, claims array<struct<s:string,v:string>>, value string, posterior double")
+    made = patterns.select("field", "claims").mapInPandas(decide,
+        "field string, claims array<struct<s:string,v:string>>, value string, posterior double")
     won = claims.join(made, ["field", "claims"]).select("key", "field", "item", "value", "posterior")
     base = rows.groupBy("key").agg(F.min("entity_id").alias("group_id"), F.count("*").alias("n_rows")).where("n_rows > 1")
     weigh = F.lit(0.0)
     for s, a in sorted(accuracy["confidence"].items()):
         weigh = F.when(F.col("src") == s, F.lit(a)).otherwise(weigh)
     tenth = won.where("field = 'confidence'").select("key", F.col("value").alias("tenth"))
-    told = rows.where("conf is not null").select("key", _bucket("conf").alias("tenth"), weigh.alias("accuracy"), "updated_at", (-F.col("conf")).alias("neg"))
-    given = told.join(tenth, ["key", "tenth"]).groupBy("key").agg((-F.max(F.struct("accuracy", "updated_at", "neg")).getField("neg")).alias("confidence"))
+    told = rows.where("conf is not null").select("key", _bucket("conf").alias("tenth"), weigh.alias("accuracy"), "updated_at",
+        (-F.col("conf")).alias("neg"))
+    given = told.join(tenth, ["key", "tenth"]).groupBy("key").agg(
+        (-F.max(F.struct("accuracy", "updated_at", "neg")).getField("neg")).alias("confidence"))
     # a group has one type row, one confidence row and its distinct aliases
     fields = won.groupBy("key").agg(
-        F.max(F.when(F.col("field") == "type", F.col("value"))).alias("entity_type"), F.max(F.when(F.col("field") == "type", F.col("posterior"))).alias("type_posterior"),
+        F.max(F.when(F.col("field") == "type", F.col("value"))).alias("entity_type"),
+            F.max(F.when(F.col("field") == "type", F.col("posterior"))).alias("type_posterior"),
         F.max(F.when(F.col("field") == "confidence", F.col("posterior"))).alias("confidence_posterior"),
-        F.array_join(F.array_sort(F.collect_set(F.when((F.col("field") == "alias") & (F.col("value") == "yes"), F.col("item")))), "|").alias("aliases"),
+        F.array_join(F.array_sort(F.collect_set(F.when((F.col("field") == "alias") & (F.col("value") == "yes"), F.col("item")))),
+            "|").alias("aliases"),
     )
     out = base.join(fields, "key", "left").join(given, "key", "left").withColumn("aliases", F.coalesce("aliases", F.lit("")))
     out = out.select("group_id", "n_rows", "entity_type", "type_posterior", "confidence", "confidence_posterior", "aliases")

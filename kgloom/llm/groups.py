@@ -20,8 +20,10 @@ def _jump(parents: DataFrame, label: str) -> DataFrame:
     partition where it is skewed."""
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
-        one = parents.select("node", "parent").join(up, "parent", "left").select("node", F.coalesce("up", "parent").alias("parent"), (F.coalesce("up", "parent") != F.col("parent")).alias("moved"))
-        two = one.join(up, "parent", "left").select("node", F.coalesce("up", "parent").alias("parent"), (F.col("moved") | (F.coalesce("up", "parent") != F.col("parent"))).alias("moved"))
+        one = parents.select("node", "parent").join(up, "parent", "left").select("node", F.coalesce("up", "parent").alias("parent"),
+            (F.coalesce("up", "parent") != F.col("parent")).alias("moved"))
+        two = one.join(up, "parent", "left").select("node", F.coalesce("up", "parent").alias("parent"),
+            (F.col("moved") | (F.coalesce("up", "parent") != F.col("parent"))).alias("moved"))
         step, seen = materialize_counted(two, f"{label}-jump", moved=F.count_if("moved"))
         discard(parents)
         parents = step
@@ -37,7 +39,8 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", label: str =
     are rewritten between roots; each round at least halves the roots that are left, whatever the diameter. All steps
     are written to the shared folder and deleted when nothing needs them. Nulls are no nodes; repeated edges and loops
     change nothing; no edges, no rows."""
-    e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(
+        F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e, seen = materialize_counted(e.distinct(), f"{label}-edges", n=F.count(F.lit(1)))
     rounds: list[DataFrame] = []
     while seen["n"]:
@@ -49,7 +52,8 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", label: str =
         hot_a, hot_b = (hot_keys(e, "a"), hot_keys(e, "b")) if seen["n"] >= SALT_FROM else ([], [])
         left = salted_join(e, root.toDF("a", "ra"), "a", F.col("b"), hot=hot_a)
         pair = salted_join(left.select("ra", "b"), root.toDF("b", "rb"), "b", F.col("ra"), hot=hot_b).where("ra <> rb")
-        nxt, seen = materialize_counted(pair.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{label}-edges", n=F.count(F.lit(1)))
+        nxt, seen = materialize_counted(pair.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
+            f"{label}-edges", n=F.count(F.lit(1)))
         discard(e)
         e = nxt
     discard(e)
@@ -60,7 +64,8 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", label: str =
     top = done.select("node", F.col("parent").alias("group_id"))
     for forest in reversed(rounds[:-1]):
         above = top.select(F.col("node").alias("parent"), "group_id")
-        step = materialize(forest.select("node", "parent").join(above, "parent", "left").select("node", F.coalesce("group_id", "parent").alias("group_id")), f"{label}-compose")
+        step = materialize(forest.select("node", "parent").join(above, "parent", "left").select("node",
+            F.coalesce("group_id", "parent").alias("group_id")), f"{label}-compose")
         discard(done, forest)
         done = top = step
     out = top.select("node", "group_id")
@@ -86,4 +91,5 @@ def alias_groups(aliases: DataFrame) -> DataFrame:
     stars = salted_join(uses, first, "name", F.col("alias_id"), hot=hot).where("alias_id <> first").select("alias_id", "first")
     groups = connected_groups(stars, "alias_id", "first", "aliases")
     discard(uses)
-    return aliases.select("alias_id").join(groups.withColumnRenamed("node", "alias_id"), "alias_id", "left").select("alias_id", F.coalesce("group_id", "alias_id").alias("group_id"))
+    return aliases.select("alias_id").join(groups.withColumnRenamed("node", "alias_id"), "alias_id", "left").select("alias_id",
+        F.coalesce("group_id", "alias_id").alias("group_id"))

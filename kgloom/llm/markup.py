@@ -39,7 +39,8 @@ _INLINE_MATH = re.compile(r"\$([^$\n]*[^$\s])\$(?!\d)")
 _MATHY = re.compile(r"[\\^_=+*/<>{}|-]|^[A-Za-z]$")
 _TAG = re.compile(rf"</?(?P<name>h[1-6]|li|pre|script|style|syntaxhighlight|source|math|{'|'.join((INLINE_TAGS + ' ' + BLOCK_TAGS).split())})\b(?:\s[^<>\n]*|/)?(?:>|$)", re.M | re.I)
 _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});")
-_SECTION = re.compile(rf"\\(?:{'|'.join(SECTION_COMMANDS.split())})\*?\s*(?:\[[^\]\n]*\])?\{{([^{{}}\n]*(?:\{{[^{{}}\n]*\}}[^{{}}\n]*)*)\}}")
+_SECTION = re.compile(
+    rf"\\(?:{'|'.join(SECTION_COMMANDS.split())})\*?\s*(?:\[[^\]\n]*\])?\{{([^{{}}\n]*(?:\{{[^{{}}\n]*\}}[^{{}}\n]*)*)\}}")
 _LATEX = re.compile(rf"\\(?:begin|end)\{{[A-Za-z]+\*?\}}|\\(?:{'|'.join((SECTION_COMMANDS + ' ' + DROPPED_COMMANDS).split())}|item|textbf|emph|textit|texttt|textsc|underline|href|url|footnote|title|author|maketitle)\b")
 _DROP = re.compile(rf"~?\\(?:{'|'.join(DROPPED_COMMANDS.split())})\*?\s*(?:\[[^\]\n]*\])?(?:\{{[^{{}}\n]*\}})?")
 _HREF = re.compile(r"\\href\{[^{}\n]*\}\{([^{}\n]*)\}")
@@ -53,7 +54,8 @@ _WIKI_ITEM = re.compile(r"^(?:[*#]+[:;]?|[:;]*[*#]+)[ \t]*(\S.*)$")
 _HASHES = re.compile(r"^#[ \t]+\S")
 _SETEXT = re.compile(r"^ {0,3}(?:={3,}|-{3,})[ \t]*$")
 _FRONT = re.compile(r"\A---[ \t]*\n(?:[\w-]+:[^\n]*\n|[ \t-][^\n]*\n)*---[ \t]*(?:\n|\Z)")
-_MD_INLINE = re.compile(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])([^*\n]*[^\s*\n])\1(?![\w*])|(?<![\w\\])(_{1,3})(?=[^\s_])((?:[^_\n]|(?<=\w)_(?=\w))*[^\s_\n])\3(?!\w)|~~(?=\S)([^~\n]+)~~")
+_MD_INLINE = re.compile(
+    r"(?<![\w*\\])(\*{1,3})(?=[^\s*])([^*\n]*[^\s*\n])\1(?![\w*])|(?<![\w\\])(_{1,3})(?=[^\s_])((?:[^_\n]|(?<=\w)_(?=\w))*[^\s_\n])\3(?!\w)|~~(?=\S)([^~\n]+)~~")
 _MD_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\((?:<[^<>\n]*>|[^()\s]*)(?:\s+\"[^\"\n]*\")?\)")
 _WIKI_LINK = re.compile(r"\[\[([^\[\]\n]*)\]\]")
 _EXT_LINK = re.compile(r"\[(?:https?:)?//[^\s\]]+(?:[ \t]+([^\]\n]*))?\]")
@@ -219,7 +221,8 @@ def _lines(lines: list[str], furniture: frozenset[str]) -> tuple[list[tuple[str,
             if blocks and blocks[-1][0] == "text" and i and lines[i - 1].strip():
                 blocks[-1] = ("heading", blocks[-1][1])
             found = True
-        elif (m := _BULLET.match(line)) or ((line[0] in "*#" or re.match(r"[:;]+[*#]", line)) and (m := _WIKI_ITEM.match(line)) and (line[0] != "#" or listed)):
+        elif (m := _BULLET.match(line)) or ((line[0] in "*#" or re.match(r"[:;]+[*#]", line)) and (m := _WIKI_ITEM.match(line)) and (
+            line[0] != "#" or listed)):
             blocks.append(("list_item", m.group(1)))
         elif m := re.match(r"^[:;]+[ \t]+(\S.*)$", line):
             found = True
@@ -334,7 +337,8 @@ def _crossing(at: pd.Series) -> pd.Series:
     return pd.Series([crossing([(x["rank"], x["vec"], x["pos"]) for x in a]) for a in at], dtype=object)
 
 
-def page_template(pages: DataFrame, site: str, page: str, text: str, min_pages: int = 5, min_tokens: int = 2, min_share: float = 0.2) -> DataFrame:
+def page_template(pages: DataFrame, site: str, page: str, text: str, min_pages: int = 5, min_tokens: int = 2,
+    min_share: float = 0.2) -> DataFrame:
     """page, furniture: the lines of each page that belong to the template of its site.
 
     Lines are the tokens. Lines of a site with the same occurrence vector (the same pages, as often on each) form an
@@ -346,17 +350,23 @@ def page_template(pages: DataFrame, site: str, page: str, text: str, min_pages:
     on fewer pages is no template. The slots are left to the markup grammar. Pages with equal text count once; null
     texts and sites take no part."""
     texts = pages.select(site, page, text).where(f"{text} is not null and {site} is not null")
-    once = texts.groupBy(F.col(site).alias("site"), F.xxhash64(text).alias("h")).agg(F.min(F.struct(F.col(page), F.col(text))).alias("x")).select("site", F.col(f"x.{page}").alias("page"), F.col(f"x.{text}").alias("text"))
-    lines = once.select("site", "page", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    once = texts.groupBy(F.col(site).alias("site"), F.xxhash64(text).alias("h")).agg(
+        F.min(F.struct(F.col(page), F.col(text))).alias("x")).select("site", F.col(f"x.{page}").alias("page"),
+            F.col(f"x.{text}").alias("text"))
+    lines = once.select("site", "page", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line")).withColumn("line",
+        F.trim("line")).where("line <> ''")
     per = lines.groupBy("site", "page", "line").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     per = materialize(per, "template-lines")
-    vector = per.groupBy("site", "line").agg(F.count("*").alias("pages"), F.max("n").alias("n"), F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vec")).where(F.col("pages") >= min_pages)
+    vector = per.groupBy("site", "line").agg(F.count("*").alias("pages"), F.max("n").alias("n"),
+        F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vec")).where(F.col("pages") >= min_pages)
     classes = vector.where("n = 1").groupBy("site", "pages", "vec").agg(F.count("*").alias("tokens")).where(F.col("tokens") >= min_tokens)
     sites = per.groupBy("site").agg(F.countDistinct("page").alias("all"))
     classes = classes.join(sites, "site").where(F.col("pages") >= min_share * F.col("all"))
-    members = vector.join(classes.select("site", "pages", "vec"), ["site", "pages", "vec"], "left_semi").select("site", "line", "vec", "pages")
+    members = vector.join(classes.select("site", "pages", "vec"), ["site", "pages", "vec"], "left_semi").select("site", "line", "vec",
+        "pages")
     placed = per.join(members, ["site", "line"]).select("site", "page", "vec", "pages", "pos", "line")
-    order = placed.groupBy("site", "page", "vec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.xxhash64(x.line).cast("string")), ",").alias("seq"))
+    order = placed.groupBy("site", "page", "vec").agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.xxhash64(x.line).cast("string")), ",").alias("seq"))
     valid = order.groupBy("site", "vec").agg(F.countDistinct("seq").alias("orders")).where("orders = 1").select("site", "vec")
     # lines a page has besides those of the class
     length = per.groupBy("site", "page").agg(F.count("*").alias("length"))
@@ -364,13 +374,17 @@ def page_template(pages: DataFrame, site: str, page: str, text: str, min_pages:
     own = own.groupBy("site", "vec").agg(F.avg(F.col("length") - F.col("tokens")).alias("own"), F.max("tokens").alias("tokens"))
     valid = valid.join(own.where(F.col("own") >= F.greatest(F.lit(2), 0.25 * F.col("tokens"))), ["site", "vec"], "left_semi")
     placed = placed.join(valid, ["site", "vec"], "left_semi")
-    crossed = placed.groupBy("site", "page").agg(F.collect_list(F.struct((-F.col("pages")).alias("rank"), F.col("vec").cast("string").alias("vec"), "pos")).alias("at")).where(F.size(F.array_distinct(F.transform("at", lambda x: x.vec))) > 1)
+    crossed = placed.groupBy("site", "page").agg(F.collect_list(
+        F.struct((-F.col("pages")).alias("rank"), F.col("vec").cast("string").alias("vec"), "pos")).alias("at")).where(
+            F.size(F.array_distinct(F.transform("at", lambda x: x.vec))) > 1)
     crossed = crossed.select("site", F.explode(_crossing("at")).alias("v"))
     valid = valid.join(crossed.select("site", F.col("v").cast("decimal(38,0)").alias("vec")).distinct(), ["site", "vec"], "left_anti")
     lines_of = members.join(valid, ["site", "vec"], "left_semi").select("site", "line").distinct()
     # back to every page, copies too
-    hits = texts.select(F.col(site).alias("site"), F.col(page).alias("page"), F.explode(F.array_distinct(F.transform(F.split(F.col(text), r"\r?\n"), lambda x: F.trim(x)))).alias("line")).where("line <> ''")
-    out = materialize(hits.join(lines_of, ["site", "line"], "left_semi").groupBy("page").agg(F.collect_set("line").alias("furniture")), "template")
+    hits = texts.select(F.col(site).alias("site"), F.col(page).alias("page"),
+        F.explode(F.array_distinct(F.transform(F.split(F.col(text), r"\r?\n"), lambda x: F.trim(x)))).alias("line")).where("line <> ''")
+    out = materialize(hits.join(lines_of, ["site", "line"], "left_semi").groupBy("page").agg(F.collect_set("line").alias("furniture")),
+        "template")
     discard(per)
     return out
 
@@ -412,5 +426,6 @@ def clean_markup(records: DataFrame, site: str = "source", template: bool = True
 def markup_rows(cleaned: DataFrame) -> DataFrame:
     """record_id, kind, pos: residue 0 for each record with markup, and each element its clean text keeps."""
     marked = cleaned.where("marked")
-    kinds = F.concat(F.array(F.struct(F.lit("residue").alias("kind"), F.lit(0).alias("pos"))), F.transform("elements", lambda e: F.struct(e.kind.alias("kind"), e.pos.alias("pos"))))
+    kinds = F.concat(F.array(F.struct(F.lit("residue").alias("kind"), F.lit(0).alias("pos"))),
+        F.transform("elements", lambda e: F.struct(e.kind.alias("kind"), e.pos.alias("pos"))))
     return marked.select("record_id", F.explode(kinds).alias("x")).select("record_id", "x.kind", "x.pos")

@@ -34,4 +34,5 @@ def folded_aliases(name: str | None, packed: str | None) -> list[str]:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def alias_keys(name: pd.Series, packed: pd.Series) -> pd.Series:
-    return pd.Series([folded_aliases(n if isinstance(n, str) else None, p if isinstance(p, str) else None) for n, p in zip(name, packed)], index=name.index)
+    return pd.Series([folded_aliases(n if isinstance(n, str) else None, p if isinstance(p, str) else None) for n, p in zip(name, packed)],
+        index=name.index)

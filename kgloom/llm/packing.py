@@ -55,7 +55,8 @@ def split_items(sized: DataFrame, containers: list[tuple[str, int]]) -> DataFram
     kinds = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity_tokens")) for k, c in containers])
     both = sized.withColumn("kind", F.explode(kinds)).select(*sized.columns, "kind.*")
     n = F.greatest(F.ceil(F.col("n_tokens") / cap), F.lit(1)).cast("int")
-    return both.withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("token_start", F.col("part").cast("long") * cap).withColumn("size", F.least(F.col("n_tokens") - F.col("token_start"), cap).cast("long"))
+    return both.withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("token_start",
+        F.col("part").cast("long") * cap).withColumn("size", F.least(F.col("n_tokens") - F.col("token_start"), cap).cast("long"))
 
 
 def pack(
@@ -88,7 +89,8 @@ def pack(
     against = {s: sum(bit[b if a == s else a] for a, b in conflicts if s in (a, b)) for s in names}
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "part", "cluster"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "doc_id", "part", "cluster"], ascending=[False, True, True, True],
+            kind="stable").reset_index(drop=True)
         cap = int(pdf.capacity_tokens.iloc[0])
         count = pdf.cluster.value_counts()
         twice = {c: 1 << k for k, c in enumerate(sorted(count[count > 1].index))} if separate_copies else {}
@@ -96,9 +98,11 @@ def pack(
         apart = [(bit.get(s, 0) << 64) | against.get(s, 0) for s in pdf.source]
         where = best_fit(pdf["size"].tolist(), cap, copies, apart)
         ids = [f"{k}-{s}-{b}" for k, s, b in zip(pdf.container_kind, pdf.shard, where)]
-        return pd.DataFrame({"container_kind": pdf.container_kind, "container_id": ids, "doc_id": pdf.doc_id, "part": pdf.part, "token_start": pdf.token_start, "n_tokens": pdf["size"]})
+        return pd.DataFrame({"container_kind": pdf.container_kind, "container_id": ids, "doc_id": pdf.doc_id, "part": pdf.part,
+            "token_start": pdf.token_start, "n_tokens": pdf["size"]})
 
-    return items.select("container_kind", "capacity_tokens", "shard", "doc_id", "source", "cluster", "part", "token_start", "size").groupBy("container_kind", "shard").applyInPandas(fill, PACKED)
+    return items.select("container_kind", "capacity_tokens", "shard", "doc_id", "source", "cluster", "part", "token_start",
+        "size").groupBy("container_kind", "shard").applyInPandas(fill, PACKED)
 
 
 def container_faults(packed: DataFrame, documents: DataFrame, containers: DataFrame, conflicts: list[tuple[str, str]] = ()) -> DataFrame:
@@ -108,13 +112,19 @@ def container_faults(packed: DataFrame, documents: DataFrame, containers: DataFr
     rows = packed.join(d, "doc_id").join(F.broadcast(containers.select("container_kind", "capacity_tokens")), "container_kind")
     pairs = [F.max(F.col("source") == a) & F.max(F.col("source") == b) for a, b in conflicts]
     per = rows.groupBy("container_kind", "container_id", "capacity_tokens").agg(
-        F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"), F.countDistinct("cluster").alias("texts"), (F.count_if(F.lit(False)) + sum((p.cast("long") for p in pairs), F.lit(0))).alias("conflicts"))
-    per = per.groupBy("container_kind").agg(F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("overfull"), F.count_if(F.col("n") > F.col("texts")).alias("copies_together"), F.sum("conflicts").alias("conflicts"))
-    docs = rows.groupBy("container_kind", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"), F.countDistinct("part").alias("parts"), F.max("part").alias("last"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"))
+        F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"), F.countDistinct("cluster").alias("texts"),
+            (F.count_if(F.lit(False)) + sum((p.cast("long") for p in pairs), F.lit(0))).alias("conflicts"))
+    per = per.groupBy("container_kind").agg(F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("overfull"),
+        F.count_if(F.col("n") > F.col("texts")).alias("copies_together"), F.sum("conflicts").alias("conflicts"))
+    docs = rows.groupBy("container_kind", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"),
+        F.countDistinct("part").alias("parts"), F.max("part").alias("last"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"))
     docs = docs.groupBy("container_kind").agg(
-        F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("split_in_vain"),
-        F.count_if((F.col("pieces") != F.col("parts")) | (F.col("parts") != F.col("last") + 1) | (F.col("end") != F.col("tokens"))).alias("pieces_wrong"))
-    return docs.join(per, "container_kind").select("container_kind", "documents", "overfull", "copies_together", "conflicts", "split_in_vain", "pieces_wrong")
+        F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias(
+            "split_in_vain"),
+        F.count_if((F.col("pieces") != F.col("parts")) | (F.col("parts") != F.col("last") + 1) | (F.col("end") != F.col("tokens"))).alias(
+            "pieces_wrong"))
+    return docs.join(per, "container_kind").select("container_kind", "documents", "overfull", "copies_together", "conflicts",
+        "split_in_vain", "pieces_wrong")
 
 
 def container_fill(packed: DataFrame, containers: DataFrame) -> DataFrame:
@@ -122,4 +132,5 @@ def container_fill(packed: DataFrame, containers: DataFrame) -> DataFrame:
     per = packed.groupBy("container_kind").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
     cap = F.col("containers") * F.col("capacity_tokens")
     return per.join(F.broadcast(containers.select("container_kind", "capacity_tokens")), "container_kind").select(
-        "container_kind", "containers", "tokens", (cap - F.col("tokens")).alias("unused_tokens"), F.round(F.col("tokens") / cap, 6).alias("fill"))
+        "container_kind", "containers", "tokens", (cap - F.col("tokens")).alias("unused_tokens"),
+            F.round(F.col("tokens") / cap, 6).alias("fill"))

@@ -37,17 +37,20 @@ def sentence_items(s: Column) -> Column:
 
     def words(letter: str) -> Column:
         found = F.regexp_extract_all(F.lower(s), F.lit(f"({letter}+(?:-{letter}+)*)"), F.lit(1))
-        return F.transform(F.filter(found, lambda w: F.length(w) >= 3), lambda w: F.when(w.endswith("s"), F.regexp_replace(w, f"(?<={letter}{{2}}[^s])s$", "")).otherwise(w))
+        return F.transform(F.filter(found, lambda w: F.length(w) >= 3),
+            lambda w: F.when(w.endswith("s"), F.regexp_replace(w, f"(?<={letter}{{2}}[^s])s$", "")).otherwise(w))
 
     runs = F.regexp_extract_all(s, F.lit(r"(\p{IsHangul}{2,}|\p{IsHan}{2,})"), F.lit(1))
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1),
+        lambda i: F.substring(r, i, F.lit(2)))))
     return F.array_distinct(F.when(is_ascii(s), words("[a-z]")).otherwise(F.concat(words(r"\p{IsLatin}"), pairs)))
 
 
 def document_bags(documents: DataFrame) -> DataFrame:
     """doc_id, kind, bag: the items of each sentence, sentences on lines of their own; the whole text is read."""
     bag = F.array_join(F.transform(sentences(F.col("text")), lambda s: F.array_join(sentence_items(s), " ")), "\n")
-    return documents.select("doc_id", F.coalesce(F.lower(F.trim("document_type")), F.lit("")).alias("kind"), F.coalesce(bag, F.lit("")).alias("bag"))
+    return documents.select("doc_id", F.coalesce(F.lower(F.trim("document_type")), F.lit("")).alias("kind"),
+        F.coalesce(bag, F.lit("")).alias("bag"))
 
 
 # --- documents as numbers ------------------------------------------------------------------------------------------
@@ -170,7 +173,8 @@ def _summed(rows: DataFrame, size: int, k: int) -> np.ndarray:
 
 def _counts(total: np.ndarray, k: int) -> pa.RecordBatch:
     at = np.flatnonzero(total)
-    return pa.RecordBatch.from_arrays([pa.array(at // (k + 1), pa.int64()), pa.array(at % (k + 1), pa.int32()), pa.array(total[at], pa.float64())], ["item", "c", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(at // (k + 1), pa.int64()), pa.array(at % (k + 1), pa.int32()),
+        pa.array(total[at], pa.float64())], ["item", "c", "n"])
 
 
 COUNTS = "item long, c int, n double"
@@ -248,7 +252,8 @@ def pairs_of(items: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def mine_rules(coded: DataFrame, weights: np.ndarray, sure: float, lead: float, n_t: np.ndarray | None = None, least_count: int = 5, least_share: float = 2e-5) -> DataFrame:
+def mine_rules(coded: DataFrame, weights: np.ndarray, sure: float, lead: float, n_t: np.ndarray | None = None, least_count: int = 5,
+    least_share: float = 2e-5) -> DataFrame:
     """x, y (-1: none), subject, support, confidence: class-association rules with antecedents of one or two items.
 
     A transaction is the informative items of a sentence with the subject it is surely about, if any. Every item and
@@ -278,20 +283,25 @@ def mine_rules(coded: DataFrame, weights: np.ndarray, sure: float, lead: float,
             c = np.concatenate([each[at], each[line], np.full(len(lines), k)])
             code, n = np.unique(((x + 1) * (size + 1) + y + 1) * (k + 1) + c, return_counts=True)
             c, code = code % (k + 1), code // (k + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(code // (size + 1) - 1, pa.int32()), pa.array(code % (size + 1) - 1, pa.int32()), pa.array(c, pa.int32()), pa.array(n, pa.int64())], ["x", "y", "c", "freq"])
+            yield pa.RecordBatch.from_arrays([pa.array(code // (size + 1) - 1, pa.int32()), pa.array(code % (size + 1) - 1, pa.int32()),
+                pa.array(c, pa.int32()), pa.array(n, pa.int64())], ["x", "y", "c", "freq"])
 
     per = coded.mapInArrow(run, "x int, y int, c int, freq long").groupBy("x", "y", "c").agg(F.sum("freq").alias("freq"))
     # few sets come with more than one subject often enough, so a set's list has at most k entries
-    per = per.groupBy("x", "y").agg(F.sum("freq").alias("n"), F.collect_list(F.when((F.col("c") < k) & (F.col("freq") >= least_count), F.struct("c", "freq"))).alias("s"))
+    per = per.groupBy("x", "y").agg(F.sum("freq").alias("n"),
+        F.collect_list(F.when((F.col("c") < k) & (F.col("freq") >= least_count), F.struct("c", "freq"))).alias("s"))
     sets = materialize(per.where("size(s) > 0 or x < 0"), "itemsets")
     n = sets.where("x < 0").select("n").first()
     # the lowest support still frequent: an absolute least count, then a share, which bounds the number of rules
     least = max(least_count, least_share * (n[0] if n else 0))
-    rules = sets.select("x", "y", "n", F.explode("s").alias("s")).where(F.col("s.freq") >= least).select("x", "y", F.col("s.c").alias("subject"), F.col("s.freq").alias("support"), "n")
-    rules = rules.withColumn("confidence", (F.col("support") + 0.1) / (F.col("n") + 0.1 * (k + 1))).select("x", "y", "subject", "support", "confidence")
+    rules = sets.select("x", "y", "n", F.explode("s").alias("s")).where(F.col("s.freq") >= least).select("x", "y",
+        F.col("s.c").alias("subject"), F.col("s.freq").alias("support"), "n")
+    rules = rules.withColumn("confidence", (F.col("support") + 0.1) / (F.col("n") + 0.1 * (k + 1))).select("x", "y", "subject", "support",
+        "confidence")
     single = rules.where("y < 0")
     part = single.select(F.col("x").alias("p"), "subject", F.col("confidence").alias("pc"))
-    double = rules.where("y >= 0").join(part.withColumnRenamed("p", "x").withColumnRenamed("pc", "cx"), ["x", "subject"], "left").join(part.withColumnRenamed("p", "y").withColumnRenamed("pc", "cy"), ["y", "subject"], "left")
+    double = rules.where("y >= 0").join(part.withColumnRenamed("p", "x").withColumnRenamed("pc", "cx"), ["x", "subject"],
+        "left").join(part.withColumnRenamed("p", "y").withColumnRenamed("pc", "cy"), ["y", "subject"], "left")
     useful = double.where(F.col("confidence") > F.greatest(F.coalesce("cx", F.lit(0.0)), F.coalesce("cy", F.lit(0.0))) + 0.05)
     kept = single.where("confidence >= 0.05").unionByName(useful.where("confidence >= 0.5").select(*single.columns))
     out = materialize(kept, "rules")
@@ -358,10 +368,12 @@ def calibrate(book: Broadcast, taught: DataFrame, shares_at: float = 0.2) -> tup
             out = []
             for sure in SURE:
                 share = b_.shares(b, e, sure)
-                out += [(sure, cut, int((mine & truth).sum()), int(mine.sum()), int(truth.sum())) for cut in CUTS for mine in [share >= cut - 1e-9]]
+                out += [(sure, cut, int((mine & truth).sum()), int(mine.sum()),
+                    int(truth.sum())) for cut in CUTS for mine in [share >= cut - 1e-9]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["sure", "cut", "hit", "got", "want"])
 
-    got = taught.mapInArrow(run, "sure double, cut double, hit long, got long, want long").groupBy("sure", "cut").agg(*[F.sum(c).alias(c) for c in ("hit", "got", "want")]).collect()
+    got = taught.mapInArrow(run, "sure double, cut double, hit long, got long, want long").groupBy("sure",
+        "cut").agg(*[F.sum(c).alias(c) for c in ("hit", "got", "want")]).collect()
     best = (-1.0, 0.0, 1.5, shares_at)
     for r in got:
         near = -abs(r.cut - shares_at) - 0.01 * abs(r.sure - 1.5)
@@ -369,7 +381,8 @@ def calibrate(book: Broadcast, taught: DataFrame, shares_at: float = 0.2) -> tup
     return best[2], best[3]
 
 
-def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame, label_limit: int = 20_000, passes: int = 3, least_items: int = 3, item_share: float = 5e-6) -> DataFrame:
+def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame, label_limit: int = 20_000, passes: int = 3,
+    least_items: int = 3, item_share: float = 5e-6) -> DataFrame:
     """doc_id, subject_id, share: the subjects that at least about a fifth of a document's sentences or lines are about.
 
     Items of labelled documents (at most ``label_limit``, the bounded training sample) and the words of the subject
@@ -380,7 +393,8 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
     Documents of any status, null or empty text (no rows), repeated rows (each comes out) and wrong labels are fine;
     without labels the subject list alone gives the evidence; without subjects the result is empty."""
     spark = documents.sparkSession
-    listed = sorted((r.subject_id, f"{r.subject_name or ''} {r.description or ''}") for r in subjects.where("subject_id is not null").collect())
+    listed = sorted((r.subject_id, f"{r.subject_name or ''} {r.description or ''}") for r in subjects.where(
+        "subject_id is not null").collect())
     out = "doc_id long, subject_id int, share double"
     if not listed:
         return spark.createDataFrame([], out)
@@ -390,8 +404,10 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
     bags = materialize(document_bags(documents), "bags")
     n_lines = bags.select(F.sum(F.size(F.split("bag", "\n")))).first()[0] or 0
     least = max(least_items, int(item_share * n_lines))
-    counted = bags.select(F.explode(F.split("bag", "[ \n]")).alias("item")).where("item <> ''").groupBy("item").count().where(F.col("count") >= least).select("item")
-    marks = bags.where("kind <> ''").select(F.concat(F.lit("@"), F.replace("kind", F.lit(" "), F.lit("_"))).alias("item")).groupBy("item").count().where(F.col("count") >= least).select("item")
+    counted = bags.select(F.explode(F.split("bag", "[ \n]")).alias("item")).where("item <> ''").groupBy("item").count().where(
+        F.col("count") >= least).select("item")
+    marks = bags.where("kind <> ''").select(F.concat(F.lit("@"), F.replace("kind", F.lit(" "), F.lit("_"))).alias("item")).groupBy(
+        "item").count().where(F.col("count") >= least).select("item")
     vocabulary = sorted({w for w in counted.unionByName(marks).toArrow()["item"].to_pylist()})
     number = {w: i for i, w in enumerate(vocabulary)}
     size = len(vocabulary)
@@ -399,7 +415,8 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
     discard(bags)
 
     # the labelled sample has a bounded number of rows, and only their numbers are sent
-    taught = labelled(labels, label_limit).select("doc_id", F.array_compact(F.transform("subjects", lambda s: F.create_map(*[F.lit(x) for kv in at.items() for x in kv])[s])).alias("told"))
+    taught = labelled(labels, label_limit).select("doc_id",
+        F.array_compact(F.transform("subjects", lambda s: F.create_map(*[F.lit(x) for kv in at.items() for x in kv])[s])).alias("told"))
     taught = materialize(coded.join(F.broadcast(taught), "doc_id").select("items", "sizes", "told"), "taught")
     n_tc, n_t, every = label_counts(taught, size, k)
     words = spark.createDataFrame(listed, "i int, d string").select("i", sentence_items(F.col("d")).alias("w")).collect()
@@ -424,6 +441,7 @@ def assign_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame
             b = Batch(raw)
             share = b_.shares(b, b_.evidence(b), need)
             doc, c = np.nonzero((share >= cut - 1e-9) & (b.per_doc > 0)[:, None])
-            yield pa.RecordBatch.from_arrays([raw.column("doc_id").take(pa.array(doc)), pa.array(np.array(ids, np.int32)[c]), pa.array(share[doc, c])], ["doc_id", "subject_id", "share"])
+            yield pa.RecordBatch.from_arrays([raw.column("doc_id").take(pa.array(doc)), pa.array(np.array(ids, np.int32)[c]),
+                pa.array(share[doc, c])], ["doc_id", "subject_id", "share"])
 
     return coded.mapInArrow(score, out)

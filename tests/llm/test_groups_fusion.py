@@ -12,7 +12,8 @@ def test_components_equal_union_find(spark):
     import random
 
     random.seed(2)
-    edges = [(i, i + 1) for i in range(1, 60)] + [(500, x) for x in range(501, 640)] + [(random.randrange(1000, 1200), random.randrange(1000, 1200)) for _ in range(90)] + [(7, 7), (3, 4), (4, 3), (None, 5)]
+    edges = [(i, i + 1) for i in range(1, 60)] + [(500, x) for x in range(501, 640)] + [
+        (random.randrange(1000, 1200), random.randrange(1000, 1200)) for _ in range(90)] + [(7, 7), (3, 4), (4, 3), (None, 5)]
     up: dict[int, int] = {}
 
     def find(x):
@@ -30,7 +31,8 @@ def test_components_equal_union_find(spark):
 
 
 def test_alias_groups(spark):
-    rows = [(1, "A ", "B", "T", 9), (2, "b", "C", "T", 9), (3, "a", "x", "U", 9), (4, "q", None, "T", 9), (5, "q", " ", "T", 9), (6, "z", None, None, 9), (7, "Z", "k", None, 9), (8, None, None, "T", 9), (9, "L" * 50_000, "c", "T", 9), (1, "A ", "B", "T", 9)]
+    rows = [(1, "A ", "B", "T", 9), (2, "b", "C", "T", 9), (3, "a", "x", "U", 9), (4, "q", None, "T", 9), (5, "q", " ", "T", 9),
+        (6, "z", None, None, 9), (7, "Z", "k", None, 9), (8, None, None, "T", 9), (9, "L" * 50_000, "c", "T", 9), (1, "A ", "B", "T", 9)]
     got = sorted((r.alias_id, r.group_id) for r in groups.alias_groups(spark.createDataFrame(rows, A)).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6), (7, 6), (8, 8), (9, 1)]
     assert groups.alias_groups(spark.createDataFrame([], A)).count() == 0
@@ -40,13 +42,19 @@ E = "entity_id long, name string, entity_type string, aliases string, confidence
 
 
 def tables(spark, rows):
-    return (spark.createDataFrame([(*r, "clash", "clash") for r in rows], E), spark.createDataFrame([("hi", 100), ("lo", 10)], "source string, priority int"), spark.createDataFrame([("People",), ("Places",)], "type_name string"))
+    return (spark.createDataFrame([(*r, "clash", "clash") for r in rows], E),
+        spark.createDataFrame([("hi", 100), ("lo", 10)], "source string, priority int"),
+            spark.createDataFrame([("People",), ("Places",)], "type_name string"))
 
 
 ROWS = [
-    (1, "Ann  Lee", "People", '["A. Lee", "a lee", "Ann Lee", ""]', 0.5, " HI", D(1)), (2, "ann lee", "Places", "x|y", 0.9, "lo", D(5)), (3, "ANN-LEE", "person", "p,q", float("nan"), None, None), (4, "Ａｎｎ Lee", None, None, 1.5, "hi", D(9)),
-    (5, "Solo", "People", "a", 0.1, "hi", D(1)), (6, None, "People", "a", 0.1, "hi", D(1)), (7, "?!", "People", "a", 0.1, "hi", D(1)), (8, "--", "People", "a", 0.1, "hi", D(1)),
-    (9, "Tie", "People", "b", 0.3, "lo", D(2)), (10, "tie", "Places", "c", 0.3, "lo", D(2)), (9, "Tie", "People", "b", 0.3, "lo", D(2)), (11, "none", "zz", None, None, "q", None), (12, "None", None, "[]", -1.0, "q", None), (13, "W" * 40_000, None, None, None, None, None),
+    (1, "Ann  Lee", "People", '["A. Lee", "a lee", "Ann Lee", ""]', 0.5, " HI", D(1)), (2, "ann lee", "Places", "x|y", 0.9, "lo", D(5)),
+        (3, "ANN-LEE", "person", "p,q", float("nan"), None, None), (4, "Ａｎｎ Lee", None, None, 1.5, "hi", D(9)),
+    (5, "Solo", "People", "a", 0.1, "hi", D(1)), (6, None, "People", "a", 0.1, "hi", D(1)), (7, "?!", "People", "a", 0.1, "hi", D(1)),
+        (8, "--", "People", "a", 0.1, "hi", D(1)),
+    (9, "Tie", "People", "b", 0.3, "lo", D(2)), (10, "tie", "Places", "c", 0.3, "lo", D(2)), (9, "Tie", "People", "b", 0.3, "lo", D(2)),
+        (11, "none", "zz", None, None, "q", None), (12, "None", None, "[]", -1.0, "q", None),
+            (13, "W" * 40_000, None, None, None, None, None),
 ]
 
 
@@ -77,6 +85,7 @@ def test_fusion_discounts_copies(spark):
 
 
 def test_fused_confidence_is_a_claimed_value(spark):
-    rows = [(1, "Ann", "People", "", 0.764, "hi", D(1)), (2, "ann", "People", "", 0.81, "lo", D(2)), (3, "ANN", "People", "", 0.79, "q", D(3)), (4, "Bo", "People", "", None, "hi", D(1)), (5, "bo", "People", "", None, "lo", D(1))]
+    rows = [(1, "Ann", "People", "", 0.764, "hi", D(1)), (2, "ann", "People", "", 0.81, "lo", D(2)),
+        (3, "ANN", "People", "", 0.79, "q", D(3)), (4, "Bo", "People", "", None, "hi", D(1)), (5, "bo", "People", "", None, "lo", D(1))]
     got = {r.group_id: r.confidence for r in fusion.fuse(*tables(spark, rows)).collect()}
     assert got[1] in (0.764, 0.81, 0.79) and got[4] is None

@@ -32,7 +32,8 @@ def test_markup_kinds():
 
 def test_markup_operator(spark):
     shell = "\\documentclass{article}\n\\begin{document}\n{}\n\\end{document}\nFiled by the desk\nOne of many"
-    rows = [(i, shell.replace("{}", f"Body {i}\n\n\\section{{H{i}}}", 1).replace("{article}", "{article}"), "s") for i in range(8)] + [(90, None, "s"), (91, "", None), (92, "plain", "s"), (92, "plain", "s")]
+    rows = [(i, shell.replace("{}", f"Body {i}\n\n\\section{{H{i}}}", 1).replace("{article}", "{article}"), "s") for i in range(8)] + [
+        (90, None, "s"), (91, "", None), (92, "plain", "s"), (92, "plain", "s")]
     df = spark.createDataFrame(rows, "record_id long, content string, source string")
     out = {r.record_id: r for r in markup.clean_markup(df).collect()}
     assert out[3].clean == "Body 3\n\n# H3" and out[90].clean is None and out[91].clean == ""
@@ -61,7 +62,8 @@ def docs(spark, rows):
 
 
 def test_packing(spark):
-    rows = [(i, f"word {i} " * (i % 40 + 1), "s") for i in range(200)] + [(900, "long text " * 3000, "t"), (901, None, None), (902, "", "s"), (903, "same", "s"), (904, "same", "s"), (903, "same", "s")]
+    rows = [(i, f"word {i} " * (i % 40 + 1), "s") for i in range(200)] + [(900, "long text " * 3000, "t"), (901, None, None),
+        (902, "", "s"), (903, "same", "s"), (904, "same", "s"), (903, "same", "s")]
     box = spark.createDataFrame([("small", 64), ("big", 512), ("none", 0)], "container_kind string, capacity_tokens int")
     got = packing.pack(docs(spark, rows), box, shard_rows=60).collect()
     size = {i: len(tokens.encode(t)) for i, t, _ in rows}
@@ -87,8 +89,11 @@ def test_permutation():
 
 
 def test_mix(spark):
-    rows = [(i, f"some words here {i} " * 40, "Big") for i in range(120)] + [(500 + i, f"rare text {i} " * 40, " small ") for i in range(30)] + [(900, None, "big"), (901, "x", None), (902, "y", "other"), (903, "", "small")]
-    src = spark.createDataFrame([("big", 0.6, 1), ("small", 0.4, 3), ("zero", 0.0, 1)], "source string, target_share double, max_repeats int")
+    rows = [(i, f"some words here {i} " * 40, "Big") for i in range(120)] + [
+        (500 + i, f"rare text {i} " * 40, " small ") for i in range(30)] + [(900, None, "big"), (901, "x", None), (902, "y", "other"),
+            (903, "", "small")]
+    src = spark.createDataFrame([("big", 0.6, 1), ("small", 0.4, 3), ("zero", 0.0, 1)],
+        "source string, target_share double, max_repeats int")
     d = docs(spark, rows)
     got = mixing.mix(d, src, length=32, shard_slots=16).collect()
     text = {i: tokens.encode(t) for i, t, _ in rows}
@@ -109,8 +114,10 @@ def test_long_texts_encode_whole():
 
 def test_subjects(spark):
     random.seed(5)
-    words = {1: "atom cell lens probe enzyme crystal".split(), 2: "court judge statute clause verdict jury".split(), 3: "goal match coach league stadium referee".split()}
-    frame = ["The {} came before the {}.", "Nobody expected the {} or the {}.", "A second {} joined this {}.", "Notes on the {} mention the {}."]
+    words = {1: "atom cell lens probe enzyme crystal".split(), 2: "court judge statute clause verdict jury".split(),
+        3: "goal match coach league stadium referee".split()}
+    frame = ["The {} came before the {}.", "Nobody expected the {} or the {}.", "A second {} joined this {}.",
+        "Notes on the {} mention the {}."]
     rows, truth, labels = [], {}, []
     for i in range(360):
         s = i % 3 + 1
@@ -125,7 +132,8 @@ def test_subjects(spark):
         if i < 120:
             labels += [(i, x, "a") for x in truth[i]]
     rows += [(900, None, "s"), (901, "", "s"), (902, "Nothing to see here.", "s"), (903, "atom enzyme " * 20_000, "s")]
-    listed = spark.createDataFrame([(1, "science", "atoms and cells"), (2, "law", "courts"), (3, "sport", None)], "subject_id int, subject_name string, description string")
+    listed = spark.createDataFrame([(1, "science", "atoms and cells"), (2, "law", "courts"), (3, "sport", None)],
+        "subject_id int, subject_name string, description string")
     lab = spark.createDataFrame(labels + [(5, None, "b")], "doc_id long, subject_id int, labeler string")
     out = subjects.assign_subjects(docs(spark, rows), listed, lab)
     got = defaultdict(set)
@@ -178,9 +186,12 @@ def test_template_keeps_body_text(spark):
     assert markup.parse("one\ntwo", frozenset(["one"])) == (False, [], "one\ntwo")
     body = [f"A sentence number {j} of the record" for j in range(9)]
     # near-copies, with markup and without, and a rare group of pages
-    rows = [(i, "\n".join([*body, f"# Edited {i}"]), "a") for i in range(8)] + [(20 + i, "\n".join([*body, f"edited {i}"]), "b") for i in range(8)]
-    rows += [(100 + i, f"# H{i}\nfirst {i}\nFoot one\nsecond {i}\nFoot two", "c") for i in range(6)] + [(200 + i, f"# other {i}", "c") for i in range(60)]
-    out = {r.record_id: r for r in markup.clean_markup(spark.createDataFrame(rows, "record_id long, content string, source string")).collect()}
+    rows = [(i, "\n".join([*body, f"# Edited {i}"]), "a") for i in range(8)] + [
+        (20 + i, "\n".join([*body, f"edited {i}"]), "b") for i in range(8)]
+    rows += [(100 + i, f"# H{i}\nfirst {i}\nFoot one\nsecond {i}\nFoot two", "c") for i in range(6)] + [
+        (200 + i, f"# other {i}", "c") for i in range(60)]
+    out = {r.record_id: r for r in markup.clean_markup(spark.createDataFrame(rows,
+        "record_id long, content string, source string")).collect()}
     assert all(s in out[3].clean for s in body) and out[3].marked
     assert out[23].clean == rows[11][1] and not out[23].marked
     assert "Foot one" in out[102].clean
@@ -194,7 +205,8 @@ def test_file_splits_change_nothing(spark, rows):
     texts = [(i, " ".join(random.choice(words) for _ in range(random.randrange(1, 60))), random.choice("ab")) for i in range(60)]
     texts += [texts[3]] * 5
     kinds = spark.createDataFrame([("k", 64)], "container_kind string, capacity_tokens int")
-    given = spark.createDataFrame([("a", 0.6, 3), ("b", 0.4, 3), ("missing", 0.2, 2)], "source string, target_share double, max_repeats int")
+    given = spark.createDataFrame([("a", 0.6, 3), ("b", 0.4, 3), ("missing", 0.2, 2)],
+        "source string, target_share double, max_repeats int")
     one, many = docs(spark, texts).coalesce(1), docs(spark, texts[::-1]).repartition(7)
     got = [rows(packing.pack(d, kinds).drop("container_id")) for d in (one, many)]
     assert got[0] == got[1] and len(got[0]) >= 65
