@@ -16,7 +16,8 @@ from .sources import readers, sinks
 from .vault import notes, transactions
 
 COMMANDS = [
-    "status", "process", "retry-failed", "qa", "vault-audit", "vault-normalize", "entity-merge-plan", "entity-merge-apply", "vault-organization-plan", "vault-organization-apply",
+    "status", "process", "retry-failed", "qa", "vault-audit", "vault-normalize", "entity-merge-plan", "entity-merge-apply",
+        "vault-organization-plan", "vault-organization-apply",
     "db-reconcile-plan", "db-reconcile-verify", "db-reconcile-apply", "db-reconcile-result-verify", "db-reconcile-finalize", "maintenance",
 ]
 
@@ -36,7 +37,8 @@ def _process(engine: Engine, a) -> dict:
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="kgloom")
     p.add_argument("command", choices=COMMANDS)
-    for name, default in (("--input", ""), ("--db", Settings().state_path), ("--output", Settings().output_path), ("--snapshot", "snapshot"), ("--plan", "plan.json")):
+    for name, default in (("--input", ""), ("--db", Settings().state_path), ("--output", Settings().output_path),
+        ("--snapshot", "snapshot"), ("--plan", "plan.json")):
         p.add_argument(name, default=default)
     p.add_argument("--source", choices=["jsonl", "enriched", "vocabulary", "music"], default="jsonl")
     for name, default in (("--offset", 0), ("--limit", 0), ("--max-attempts", 5)):
@@ -67,7 +69,9 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "maintenance":
             e = notes.entity_files(vault())
             out["merges"] = {r.action: r.n for r in notes.merge_plan(e).groupBy("action").agg(F.count("*").alias("n")).collect()}
-            out["consistency"] = {r[0]: r[1] for r in notes.consistency(e, *[store.read(n) for n in ("entities", "documents", "entity_aliases", "relations", "document_entities", "entity_sources")], vault()).groupBy("class").count().collect()}
+            out["consistency"] = {r[0]: r[1] for r in notes.consistency(e,
+                *[store.read(n) for n in ("entities", "documents", "entity_aliases", "relations", "document_entities", "entity_sources")],
+                    vault()).groupBy("class").count().collect()}
             out["status"] = "FAIL" if errors else "REVIEW" if out["merges"].get("REVIEW") else "PASS"
         failed = out["status"] == "FAIL"
     elif a.command == "vault-normalize":
@@ -80,9 +84,11 @@ def main(argv: list[str] | None = None) -> int:
         else:
             root = Path(a.output)
             for x in plan:
-                x["duplicates"] = [{"path": d, "hash": transactions.sha256((root / d).read_bytes())} for d in x["duplicates"].split(",") if d]
+                x["duplicates"] = [{"path": d, "hash": transactions.sha256((root / d).read_bytes())} for d in x["duplicates"].split(
+                    ",") if d]
             out = transactions.apply_merges(plan, a.output, backup, a.apply)
-            pairs = [(Path(d["path"]).stem, Path(x["canonical"]).stem, x["domain"], "exact_name") for x in plan if x["action"] == "AUTO" for d in x["duplicates"]]
+            pairs = [(Path(d["path"]).stem, Path(x["canonical"]).stem, x["domain"],
+                "exact_name") for x in plan if x["action"] == "AUTO" for d in x["duplicates"]]
             if a.apply and pairs:
                 # the tables follow the vault, once all its files are in place
                 mapping = spark.createDataFrame(pairs, "duplicate string, canonical string, entity_type string, reason string")
@@ -99,7 +105,8 @@ def main(argv: list[str] | None = None) -> int:
             out = {"status": "BASELINE"}
         else:
             files = vault()
-            c = reconcile.classify(notes.diff(spark.read.parquet(a.snapshot), snap), store.read("documents"), files, notes.entity_files(files), *[store.read(n) for n in ("entity_aliases", "document_entities", "entities")])
+            c = reconcile.classify(notes.diff(spark.read.parquet(a.snapshot), snap), store.read("documents"), files,
+                notes.entity_files(files), *[store.read(n) for n in ("entity_aliases", "document_entities", "entities")])
             out = transactions.make_plan(_rows(c), a.output, a.snapshot)
             sinks.write_report(a.plan, out)
             if out["status"] == "CLEAN":
@@ -119,7 +126,10 @@ def main(argv: list[str] | None = None) -> int:
             bad = transactions.verify_applied(done, a.output)
             out, failed = {"status": "FAIL" if bad else "VERIFIED", "reasons": bad}, bool(bad)
             if a.command == "db-reconcile-finalize" and not bad:
-                rows = spark.createDataFrame([(x["document_id"], x["hash"], x["source"], x["target"], done["backup_manifest"]) for x in done["applied"]], "document_id string, content_hash string, old_path string, new_path string, manifest_path string").withColumn("verified_at", F.current_timestamp())
+                rows = spark.createDataFrame([(x["document_id"], x["hash"], x["source"], x["target"],
+                    done["backup_manifest"]) for x in done["applied"]],
+                        "document_id string, content_hash string, old_path string, new_path string, manifest_path string").withColumn(
+                            "verified_at", F.current_timestamp())
                 table, wrong = reconcile.finalize(store.read("reconciliation_provenance"), rows, store.read("documents"))
                 failed = not wrong.isEmpty()
                 if not failed and a.apply:

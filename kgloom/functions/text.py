@@ -24,7 +24,8 @@ ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 def _fold_specials() -> dict[str, str]:
     """Characters whose case folding is not their lower case, by rule from the Unicode database, and the capital sigma,
     whose lower case depends on its place."""
-    return {"Σ": "σ"} | {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if not 0xD800 <= ord(c) <= 0xDFFF and c.casefold() != c.lower()}
+    return {"Σ": "σ"} | {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if not 0xD800 <= ord(
+        c) <= 0xDFFF and c.casefold() != c.lower()}
 
 
 @lru_cache(maxsize=1)

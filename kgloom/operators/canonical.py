@@ -14,8 +14,10 @@ from .upsert import first_wins
 def _flatten(hooks: DataFrame) -> DataFrame:
     """root, parent with every parent a top: four steps up at a time until none is left."""
     while True:
-        one = hooks.join(hooks.toDF("parent", "up"), "parent", "left").select("root", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved"))
-        two = one.join(hooks.toDF("parent", "up"), "parent", "left").select("root", F.coalesce("up", "parent").alias("parent"), (F.col("moved") | F.col("up").isNotNull()).alias("moved"))
+        one = hooks.join(hooks.toDF("parent", "up"), "parent", "left").select("root", F.coalesce("up", "parent").alias("parent"),
+            F.col("up").isNotNull().alias("moved"))
+        two = one.join(hooks.toDF("parent", "up"), "parent", "left").select("root", F.coalesce("up", "parent").alias("parent"),
+            (F.col("moved") | F.col("up").isNotNull()).alias("moved"))
         step, seen = materialize_counted(two, "hooks", moved=F.count_if("moved"))
         discard(hooks)
         hooks = step.select("root", "parent")
@@ -33,7 +35,8 @@ def _spread(keys: DataFrame) -> DataFrame:
     while True:
         at = keys.join(low, "key").select("node", "low")
         least = at.groupBy("node").agg(F.min("low").alias("parent"))
-        hooks, seen = materialize_counted(at.join(least, "node").where("low > parent").groupBy(F.col("low").alias("root")).agg(F.min("parent").alias("parent")), "hooks", n=F.count(F.lit(1)))
+        hooks, seen = materialize_counted(at.join(least, "node").where("low > parent").groupBy(F.col("low").alias("root")).agg(
+            F.min("parent").alias("parent")), "hooks", n=F.count(F.lit(1)))
         if not seen["n"]:
             discard(hooks)
             return least.select("node", F.col("parent").alias("part"))
@@ -100,9 +103,12 @@ def resolve_entities(batch: DataFrame, entities: DataFrame, aliases: DataFrame)
     none = F.lit(None)
     order = batch.schema["seq"].dataType
     incoming = materialize(batch.withColumn("node", F.monotonically_increasing_id()), "batch")
-    new = incoming.select("node", F.lit(2).alias("kind"), "seq", "name", "entity_type", F.coalesce("aliases", empty).alias("aliases"), none.cast("string").alias("to"))
-    old = entities.select(F.lit(0).alias("kind"), none.cast(order).alias("seq"), "name", "entity_type", F.coalesce("aliases", empty).alias("aliases"), none.cast("string").alias("to"))
-    claim = aliases.select(F.lit(1).alias("kind"), none.cast(order).alias("seq"), F.col("alias").alias("name"), "entity_type", empty.alias("aliases"), F.col("canonical_name").alias("to"))
+    new = incoming.select("node", F.lit(2).alias("kind"), "seq", "name", "entity_type", F.coalesce("aliases", empty).alias("aliases"),
+        none.cast("string").alias("to"))
+    old = entities.select(F.lit(0).alias("kind"), none.cast(order).alias("seq"), "name", "entity_type",
+        F.coalesce("aliases", empty).alias("aliases"), none.cast("string").alias("to"))
+    claim = aliases.select(F.lit(1).alias("kind"), none.cast(order).alias("seq"), F.col("alias").alias("name"), "entity_type",
+        empty.alias("aliases"), F.col("canonical_name").alias("to"))
     state = old.unionByName(claim).withColumn("node", -1 - F.monotonically_increasing_id())
     rows = materialize(new.unionByName(state.select(*new.columns)), "incoming")
     words = rows.select("node", "entity_type", F.explode(F.concat(F.array("name"), "aliases", F.array_compact(F.array("to")))).alias("w"))
@@ -127,7 +133,8 @@ def resolve_entities(batch: DataFrame, entities: DataFrame, aliases: DataFrame)
             yield pd.DataFrame(out, columns=["node", "canonical", "aliases"])
 
     cols = ["part", "kind", "node", "name", "aliases", "to"]
-    done = rows.join(part, "node").repartition("part").sortWithinPartitions("part", "kind", "seq", "name").select(*cols).mapInPandas(resolve, RESOLVED)
+    done = rows.join(part, "node").repartition("part").sortWithinPartitions("part", "kind", "seq",
+        "name").select(*cols).mapInPandas(resolve, RESOLVED)
     out = materialize(incoming.drop("aliases").join(done, "node").drop("node"), "resolved")
     discard(rows, keys, incoming)
     return out
@@ -142,13 +149,15 @@ def claimed(resolved: DataFrame) -> DataFrame:
     """alias, canonical_name, entity_type, seq: every claim of the batch, the canonical name before its aliases."""
     order = F.posexplode(F.concat(F.array("canonical"), "aliases"))
     rows = resolved.select("seq", "entity_type", F.col("canonical").alias("canonical_name"), order.alias("pos", "a"))
-    return rows.select(norm_alias(F.col("a")).alias("alias"), "canonical_name", "entity_type", F.struct("seq", "pos").alias("seq")).where("alias <> ''")
+    return rows.select(norm_alias(F.col("a")).alias("alias"), "canonical_name", "entity_type",
+        F.struct("seq", "pos").alias("seq")).where("alias <> ''")
 
 
 def unique_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """alias, name: keys that lead to exactly one (name, type): by claimed aliases, else by the names themselves."""
     by_alias = aliases.select("alias", F.struct(F.col("canonical_name").alias("n"), F.col("entity_type").alias("t")).alias("x"))
-    by_name = entities.select(norm_alias(F.col("name")).alias("alias"), F.struct(F.col("name").alias("n"), F.col("entity_type").alias("t")).alias("x"))
+    by_name = entities.select(norm_alias(F.col("name")).alias("alias"),
+        F.struct(F.col("name").alias("n"), F.col("entity_type").alias("t")).alias("x"))
     a = by_alias.groupBy("alias").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     b = by_name.join(a.select("alias"), "alias", "left_anti").groupBy("alias").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     return a.unionByName(b).where("lo = hi").select("alias", F.col("lo.n").alias("name"))
@@ -169,28 +178,34 @@ def own_endpoints(ends: DataFrame, resolved: DataFrame) -> DataFrame:
     return e.join(exact, ["document_id", "name"], "left").join(loose, ["document_id", "alias"], "left")
 
 
-def resolve_endpoints_in_order(ends: DataFrame, resolved: DataFrame, entities: DataFrame, aliases: DataFrame, reached: DataFrame) -> DataFrame:
+def resolve_endpoints_in_order(ends: DataFrame, resolved: DataFrame, entities: DataFrame, aliases: DataFrame,
+    reached: DataFrame) -> DataFrame:
     """``resolve_endpoints`` as of each document's turn: a claim or a name counts only if it is in the old tables or
     comes from a document up to the end's own. ends: document_id, name; reached: document_id, doc_seq; resolved also
     has doc_seq and entity_type. Each alias keeps its first and its second different (name, type) with the document
     that brought it: what was unique until then is what a later document no longer sees as such."""
     first = F.lit(None).cast(resolved.schema["doc_seq"].dataType)
     keys = ["alias", "entity_type"]
-    new = claimed(resolved.withColumn("seq", F.struct("doc_seq", "seq"))).select(*keys, "canonical_name", F.col("seq.seq.doc_seq").alias("at"), F.col("seq").alias("order"))
+    new = claimed(resolved.withColumn("seq", F.struct("doc_seq", "seq"))).select(*keys, "canonical_name",
+        F.col("seq.seq.doc_seq").alias("at"), F.col("seq").alias("order"))
     new = new.groupBy(*keys).agg(F.min_by(F.struct("canonical_name", "at"), "order").alias("x")).select(*keys, "x.canonical_name", "x.at")
     old = aliases.select(*keys, "canonical_name", first.alias("at"))
     claims = old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
-    named = entities.select("name", "entity_type", first.alias("at")).unionByName(resolved.select(F.col("canonical").alias("name"), "entity_type", F.col("doc_seq").alias("at")))
+    named = entities.select("name", "entity_type", first.alias("at")).unionByName(
+        resolved.select(F.col("canonical").alias("name"), "entity_type", F.col("doc_seq").alias("at")))
     named = named.groupBy("name", "entity_type").agg(F.min(F.struct(F.col("at").isNotNull().alias("new"), "at")).getField("at").alias("at"))
     e = own_endpoints(ends, resolved).join(reached, "document_id")
 
     def seen(rows: DataFrame, value: str, label: str) -> DataFrame:
         hit = e.select("document_id", "name", "alias", "doc_seq").join(rows, "alias").where("at is null or at <= doc_seq")
-        per = hit.groupBy("document_id", "name").agg(F.min(F.struct(value, "entity_type")).alias("lo"), F.max(F.struct(value, "entity_type")).alias("hi"))
-        return per.select("document_id", "name", F.lit(True).alias(f"{label}_any"), F.when(F.col("lo") == F.col("hi"), F.col(f"lo.{value}")).alias(label))
+        per = hit.groupBy("document_id", "name").agg(F.min(F.struct(value, "entity_type")).alias("lo"),
+            F.max(F.struct(value, "entity_type")).alias("hi"))
+        return per.select("document_id", "name", F.lit(True).alias(f"{label}_any"),
+            F.when(F.col("lo") == F.col("hi"), F.col(f"lo.{value}")).alias(label))
 
     by_claim = seen(claims.select("alias", "canonical_name", "entity_type", "at"), "canonical_name", "claim")
-    by_name = seen(named.select(norm_alias(F.col("name")).alias("alias"), F.col("name").alias("other"), "entity_type", "at"), "other", "entity")
+    by_name = seen(named.select(norm_alias(F.col("name")).alias("alias"), F.col("name").alias("other"), "entity_type", "at"), "other",
+        "entity")
     e = e.join(by_claim, ["document_id", "name"], "left").join(by_name, ["document_id", "name"], "left")
     late = F.when(F.col("claim_any"), F.col("claim")).otherwise(F.col("entity"))
     return e.select("document_id", "name", F.coalesce("by_name", "by_alias", late, "name").alias("canonical"))

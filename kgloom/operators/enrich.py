@@ -69,7 +69,8 @@ def answers(documents: DataFrame, cache: DataFrame, provider: Callable[[str, str
     new = keyed.join(known, "cache_key", "left_anti").groupBy("cache_key").agg(F.min(F.struct("id", "title", "content")).alias("x"))
     asked = ask(new.select("x.*"), provider, model, wait).select("cache_key", "payload", "error")
     both = held.join(asked, "cache_key", "left")
-    return both.select("id", "cache_key", F.coalesce("stored", "payload").alias("payload"), "error", F.col("stored").isNotNull().alias("cached"))
+    return both.select("id", "cache_key", F.coalesce("stored", "payload").alias("payload"), "error",
+        F.col("stored").isNotNull().alias("cached"))
 
 
 def _kind(v: Column) -> Column:
@@ -116,10 +117,14 @@ def parse_payload(documents: DataFrame, column: str = "payload") -> DataFrame:
     keep = [c for c in documents.columns if c != column]
     return d.select(
         *keep, valid.alias("valid"), F.coalesce(_text(_get(v, "summary")), F.substring("content", 1, 500)).alias("summary"),
-        F.when(F.size(tags) > 0, tags).otherwise(F.array(F.concat(F.lit("source/"), F.coalesce("source", F.lit("unknown"))))).alias("tags"), _words(_get(v, "related_ids")).alias("related_ids"),
-        _number(_get(v, "importance"), 0.5).alias("importance"), F.coalesce(_text(_get(v, "document_type")), F.lit("note")).alias("document_type"),
-        F.coalesce(_text(_get(v, "translation_ko")), F.lit("")).alias("translation_ko"), F.filter(ents, lambda e: e["name"] != "").cast(ENTITIES).alias("entities"),
-        F.filter(rels, lambda r: (r["source"] != "") & (r["relation"] != "") & (r["target"] != "")).cast(RELATIONS).alias("relations"))
+        F.when(F.size(tags) > 0, tags).otherwise(F.array(F.concat(F.lit("source/"), F.coalesce("source", F.lit("unknown"))))).alias("tags"),
+            _words(_get(v, "related_ids")).alias("related_ids"),
+        _number(_get(v, "importance"), 0.5).alias("importance"),
+            F.coalesce(_text(_get(v, "document_type")), F.lit("note")).alias("document_type"),
+        F.coalesce(_text(_get(v, "translation_ko")), F.lit("")).alias("translation_ko"),
+            F.filter(ents, lambda e: e["name"] != "").cast(ENTITIES).alias("entities"),
+        F.filter(rels, lambda r: (r["source"] != "") & (r["relation"] != "") & (r["target"] != "")).cast(RELATIONS).alias(
+            "relations"))
 
 
 def fetch_evidence(ids: DataFrame, client: Callable[[str], dict | None], source: str) -> DataFrame:
@@ -132,8 +137,10 @@ def fetch_evidence(ids: DataFrame, client: Callable[[str], dict | None], source:
             for i in b.document_id:
                 got = client(i)
                 if got:
-                    rows.append((str(got.get("id") or i), source, str(got.get("title") or i), str(got.get("content") or ""), str(got.get("url") or "")))
+                    rows.append((str(got.get("id") or i), source, str(got.get("title") or i), str(got.get("content") or ""),
+                        str(got.get("url") or "")))
             yield pd.DataFrame(rows, columns=["document_id", "source", "title", "content", "url"])
 
-    found = ids.select("document_id").distinct().mapInPandas(run, "document_id string, source string, title string, content string, url string")
+    found = ids.select("document_id").distinct().mapInPandas(run,
+        "document_id string, source string, title string, content string, url string")
     return found.withColumn("checked_at", F.current_timestamp())

@@ -29,7 +29,8 @@ def last_processing(run_log: DataFrame, run_items: DataFrame) -> DataFrame:
     good = run_log.where(F.col("status") == "succeeded").select("run_id").distinct()
     items = run_items.where((F.col("outcome") == "done") & F.col("document_id").isNotNull()).join(good, "run_id", "left_semi")
     last = F.max(F.struct(F.col("finished_at"), F.col("item_id"), F.lower(strip_space(F.col("content_hash"))).alias("h")))
-    return items.groupBy(F.lower(strip_space(F.col("document_id"))).alias("key")).agg(last.alias("x")).select("key", F.col("x.h").alias("last_hash"))
+    return items.groupBy(F.lower(strip_space(F.col("document_id"))).alias("key")).agg(last.alias("x")).select("key",
+        F.col("x.h").alias("last_hash"))
 
 
 def _pending(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -45,7 +46,8 @@ def _partitions(spark: SparkSession, seen: str, rows: int, size: int) -> int:
     return max(32, -(-rows // size))
 
 
-def refresh(spark: SparkSession, documents: DataFrame, run_log: DataFrame, run_items: DataFrame, state: str, size: int = 20_000) -> DataFrame:
+def refresh(spark: SparkSession, documents: DataFrame, run_log: DataFrame, run_items: DataFrame, state: str,
+    size: int = 20_000) -> DataFrame:
     """The doc_id of each document that the next run has to process; brings the state under ``state`` up to date.
 
     A document is due unless its status is deleted or the SHA-256 of its present text equals the content_hash of its
@@ -54,16 +56,19 @@ def refresh(spark: SparkSession, documents: DataFrame, run_log: DataFrame, run_i
     each come out. Empty tables give an empty result. A new state takes partitions of about ``size`` documents; what is
     written for one are the ids that are due, so a partition is small for the one task that writes it."""
     key = F.lower(strip_space(F.col("id")))
-    docs = documents.select("doc_id", key.alias("key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), (F.coalesce(F.lower(F.trim("status")), F.lit("")) == "deleted").alias("deleted"))
+    docs = documents.select("doc_id", key.alias("key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"),
+        (F.coalesce(F.lower(F.trim("status")), F.lit("")) == "deleted").alias("deleted"))
     seen = f"{state}/fingerprints"
-    hashed, found = materialize_counted(docs.withColumn("row_hash", F.xxhash64("doc_id", "key", "sha", "deleted")), "docs", n=F.count(F.lit(1)))
+    hashed, found = materialize_counted(docs.withColumn("row_hash", F.xxhash64("doc_id", "key", "sha", "deleted")), "docs",
+        n=F.count(F.lit(1)))
     partitions = _partitions(spark, seen, found["n"], size)
     docs = hashed.withColumn("part", _part("key", partitions))
     items = last_processing(run_log, run_items)
     items = materialize(items.withColumn("part", _part("key", partitions)).withColumn("row_hash", F.xxhash64("key", "last_hash")), "items")
 
     now = fingerprints(docs).select("part", F.col("n_rows").alias("doc_rows"), F.col("hash_sum").alias("doc_hash"))
-    now = now.join(fingerprints(items).select("part", F.col("n_rows").alias("item_rows"), F.col("hash_sum").alias("item_hash")), "part", "full")
+    now = now.join(fingerprints(items).select("part", F.col("n_rows").alias("item_rows"), F.col("hash_sum").alias("item_hash")), "part",
+        "full")
     every = spark.range(partitions).select(F.col("id").cast("int").alias("part"))
     # one row per partition of the state, also for those that lost their last row
     now = materialize(every.join(now, "part", "left"), "fingerprints")

@@ -60,12 +60,15 @@ def live_documents(documents: DataFrame) -> DataFrame:
 
 def _parents(parent: DataFrame, ref: Reference) -> DataFrame:
     made = F.min(ref.parent_time) if ref.parent_time else F.lit(None).cast("timestamp")
-    return parent.select(ref.key(F.col(ref.parent_key)).alias("__key"), *([ref.parent_time] if ref.parent_time else [])).where("__key is not null").groupBy("__key").agg(made.alias("__made"), F.lit(True).alias("__there"))
+    return parent.select(ref.key(F.col(ref.parent_key)).alias("__key"),
+        *([ref.parent_time] if ref.parent_time else [])).where("__key is not null").groupBy("__key").agg(made.alias("__made"),
+            F.lit(True).alias("__there"))
 
 
 def _children(child: DataFrame, ref: Reference) -> DataFrame:
     own = F.col(ref.time) if ref.time else F.lit(None).cast("timestamp")
-    return child.select(F.col(ref.row_id).alias("link_id"), own.alias("__at"), ref.key(F.col(ref.column)).alias("__key")).where("__key is not null")
+    return child.select(F.col(ref.row_id).alias("link_id"), own.alias("__at"),
+        ref.key(F.col(ref.column)).alias("__key")).where("__key is not null")
 
 
 def direct_orphans(child: DataFrame, parent: DataFrame, ref: Reference) -> DataFrame:
@@ -77,7 +80,8 @@ def direct_orphans(child: DataFrame, parent: DataFrame, ref: Reference) -> DataF
     joined = salted_join(rows, keys, "__key", F.col("link_id")) if ref.skewed else rows.join(keys, "__key", "left")
     late = F.coalesce(F.col("__made") > F.col("__at"), F.lit(False))
     return joined.where(F.col("__there").isNull() | late).select(
-        "link_id", F.date_format("__at", "yyyy-MM").alias("ref_month"), F.when(F.col("__there").isNull(), "missing").otherwise("late").alias("reason")
+        "link_id", F.date_format("__at", "yyyy-MM").alias("ref_month"),
+            F.when(F.col("__there").isNull(), "missing").otherwise("late").alias("reason")
     )
 
 
@@ -91,7 +95,8 @@ def orphan_references(tables: dict[str, DataFrame], references: tuple[Reference,
     live = {n: live_documents(df) if n == "documents" and "status" in df.columns else df for n, df in tables.items()}
 
     def tag(df: DataFrame, ref: Reference, depth: int) -> DataFrame:
-        return df.select(F.lit(ref.child).alias("ref_table"), F.lit(ref.column).alias("ref_column"), "link_id", "ref_month", "reason", F.lit(depth).alias("depth"))
+        return df.select(F.lit(ref.child).alias("ref_table"), F.lit(ref.column).alias("ref_column"), "link_id", "ref_month", "reason",
+            F.lit(depth).alias("depth"))
 
     direct = [tag(direct_orphans(live[r.child], live[r.parent], r), r, 1) for r in references if not r.inherit_only]
     found = reduce(DataFrame.unionByName, direct)
@@ -102,7 +107,8 @@ def orphan_references(tables: dict[str, DataFrame], references: tuple[Reference,
     # the keys as compared are worked out once for all rounds
     sides = {}
     for i, r in enumerate(inner):
-        parent = live[r.parent].select(F.col(row_ids[r.parent]).alias("rid"), r.key(F.col(r.parent_key)).alias("__key")).where("__key is not null")
+        parent = live[r.parent].select(F.col(row_ids[r.parent]).alias("rid"),
+            r.key(F.col(r.parent_key)).alias("__key")).where("__key is not null")
         sides[i] = materialize(parent, f"parents{i}"), materialize(_children(live[r.child], r), f"children{i}")
     level = materialize(found, "orphans")
     levels = [level]
@@ -120,7 +126,8 @@ def orphan_references(tables: dict[str, DataFrame], references: tuple[Reference,
             hit = salted_join(rows, keys, "__key", F.col("link_id"), "left_semi") if r.skewed else rows.join(keys, "__key", "left_semi")
             known = dead.where(F.col("ref_table") == r.child).select("link_id")
             hit = hit.join(known, "link_id", "left_anti")
-            fresh.append(tag(hit.select("link_id", F.date_format("__at", "yyyy-MM").alias("ref_month"), F.lit("inherited").alias("reason")), r, len(levels) + 1))
+            fresh.append(tag(hit.select("link_id", F.date_format("__at", "yyyy-MM").alias("ref_month"), F.lit("inherited").alias("reason")),
+                r, len(levels) + 1))
         level, seen = materialize_counted(reduce(DataFrame.unionByName, fresh), f"orphans{len(levels) + 1}", n=F.count(F.lit(1)))
         if not seen["n"]:
             discard(level, dead, *[x for pair in sides.values() for x in pair])

@@ -18,7 +18,8 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.005) -> list:
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left", salts: int = 32, share: float = 0.005, hot: list | None = None
+    left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left", salts: int = 32, share: float = 0.005,
+        hot: list | None = None
 ) -> DataFrame:
     """Equi-join on ``key``: rows of ``left`` with a hot key are dealt by ``spread`` over ``salts`` parts, and only
     the few matching rows of ``right`` are repeated. ``how`` is inner, left, left_semi or left_anti."""

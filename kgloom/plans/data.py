@@ -24,7 +24,8 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {n: table(spark, root, n) for n in ("documents", "entities", "vocabularies", "document_sources", "entity_sources", "document_entities", "entity_vocabulary_links")}
+    return {n: table(spark, root, n) for n in ("documents", "entities", "vocabularies", "document_sources", "entity_sources",
+        "document_entities", "entity_vocabulary_links")}
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
@@ -64,7 +65,8 @@ def _found_sql(child: str, column: str, time: str, parent: str, key: str, norm:
 
 
 _P5 = " union all ".join((
-    _found_sql("document_sources", "document_id", "first_seen_at", "documents", "id", _ID, "coalesce(lower(trim(status)), '') <> 'deleted'"),
+    _found_sql("document_sources", "document_id", "first_seen_at", "documents", "id", _ID,
+        "coalesce(lower(trim(status)), '') <> 'deleted'"),
     _found_sql("entity_sources", "document_id", "recorded_at", "documents", "id", _ID, "coalesce(lower(trim(status)), '') <> 'deleted'"),
     _found_sql("document_entities", "entity_name", "recorded_at", "entities", "name", _NAME),
     _found_sql("entity_vocabulary_links", "vocabulary_id", "recorded_at", "vocabularies", "id", _ID),
@@ -72,7 +74,8 @@ _P5 = " union all ".join((
 
 _CASCADE_SQL = f"""
 with direct as ({_P5}),
-es as (select entity_name, link_id in (select link_id from direct where ref_table = 'entity_sources') as lost, {_NAME.replace('@', 'entity_name')} as k from entity_sources),
+es as (select entity_name, link_id in (select link_id from direct where ref_table = 'entity_sources') as lost,
+  {_NAME.replace('@', 'entity_name')} as k from entity_sources),
 gone as (select k from es where k is not null group by k having bool_and(lost)),
 ent as (select entity_id, name, {_NAME.replace('@', 'name')} as k from entities),
 ent_lost as (select entity_id, k from ent where k in (select k from gone)),

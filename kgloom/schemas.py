@@ -38,21 +38,31 @@ KEYS = {
     "document_entities": ["document_id", "entity_name", "entity_type"], "relations": ["source_name", "relation", "target_name"],
     "document_relations": ["document_id", "source_name", "relation", "target_name"], "evidence": ["document_id"],
     "relation_evidence": ["document_id", "source_name", "relation", "target_name", "evidence_document_id"], "llm_cache": ["cache_key"],
-    "entity_aliases": ["alias", "entity_type"], "entity_sources": ["entity_name", "entity_type", "source", "document_id"], "entity_merge_log": ["id"], "source_conflicts": ["id"],
-    "processing_failures": ["document_id"], "vocabularies": ["id"], "vocabulary_aliases": ["alias"], "entity_vocabulary_links": ["entity_name", "entity_type", "vocabulary_id"],
+    "entity_aliases": ["alias", "entity_type"], "entity_sources": ["entity_name", "entity_type", "source", "document_id"],
+        "entity_merge_log": ["id"], "source_conflicts": ["id"],
+    "processing_failures": ["document_id"], "vocabularies": ["id"], "vocabulary_aliases": ["alias"],
+        "entity_vocabulary_links": ["entity_name", "entity_type", "vocabulary_id"],
     "document_vocabulary_links": ["document_id", "vocabulary_id"], "vocabulary_sources": ["vocabulary_id", "source_id"],
-    "derived_relations": ["source_name", "relation", "target_name", "rule"], "cross_domain_links": ["left_name", "left_type", "right_id", "right_kind", "rule"],
-    "source_bridge_links": ["entity_name", "entity_type", "source_a", "source_b", "rule"], "reconciliation_provenance": ["document_id", "content_hash", "old_path", "new_path"],
+    "derived_relations": ["source_name", "relation", "target_name", "rule"],
+        "cross_domain_links": ["left_name", "left_type", "right_id", "right_kind", "rule"],
+    "source_bridge_links": ["entity_name", "entity_type", "source_a", "source_b", "rule"],
+        "reconciliation_provenance": ["document_id", "content_hash", "old_path", "new_path"],
 }
 
 # The ontology.
-ENTITY_TYPES = ["People", "Organizations", "Countries", "Places", "Products", "Technologies", "Concepts", "Events", "Institutions", "MusicTracks", "MusicAlbums"]
+ENTITY_TYPES = ["People", "Organizations", "Countries", "Places", "Products", "Technologies", "Concepts", "Events", "Institutions",
+    "MusicTracks", "MusicAlbums"]
 TYPE_WORDS = {
-    "person": "People", "people": "People", "organization": "Organizations", "organizations": "Organizations", "company": "Organizations", "companies": "Organizations",
-    "brand": "Organizations", "brands": "Organizations", "country": "Countries", "countries": "Countries", "place": "Places", "places": "Places",
-    "product": "Products", "products": "Products", "technology": "Technologies", "technologies": "Technologies", "concept": "Concepts", "concepts": "Concepts",
-    "event": "Events", "events": "Events", "institution": "Institutions", "institutions": "Institutions", "musictrack": "MusicTracks", "musictracks": "MusicTracks",
-    "track": "MusicTracks", "tracks": "MusicTracks", "musicalbum": "MusicAlbums", "musicalbums": "MusicAlbums", "album": "MusicAlbums", "albums": "MusicAlbums",
+    "person": "People", "people": "People", "organization": "Organizations", "organizations": "Organizations", "company": "Organizations",
+        "companies": "Organizations",
+    "brand": "Organizations", "brands": "Organizations", "country": "Countries", "countries": "Countries", "place": "Places",
+        "places": "Places",
+    "product": "Products", "products": "Products", "technology": "Technologies", "technologies": "Technologies", "concept": "Concepts",
+        "concepts": "Concepts",
+    "event": "Events", "events": "Events", "institution": "Institutions", "institutions": "Institutions", "musictrack": "MusicTracks",
+        "musictracks": "MusicTracks",
+    "track": "MusicTracks", "tracks": "MusicTracks", "musicalbum": "MusicAlbums", "musicalbums": "MusicAlbums", "album": "MusicAlbums",
+        "albums": "MusicAlbums",
 }
 RELATION_TYPES = ["owns", "owned_by", "operates", "operated_by", "brand_of", "subsidiary_of", "parent_of", "acquired", "acquired_by"]
 LEGACY_TYPES = {"Companies": "Organizations", "Brands": "Organizations"}

@@ -30,7 +30,8 @@ def _front(**fields: Column) -> Column:
 
 def _list(title: str, items: Column) -> Column:
     """A section with one bullet an item; empty lists leave no section."""
-    return F.when(F.size(items) > 0, F.concat(F.lit(f"\n## {title}\n\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    return F.when(F.size(items) > 0, F.concat(F.lit(f"\n## {title}\n\n"),
+        F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n"))).otherwise(F.lit(""))
 
 
 def distinct_paths(notes: DataFrame) -> DataFrame:
@@ -62,53 +63,69 @@ def document_notes(documents: DataFrame, vocabulary_lines: DataFrame | None = No
         d = d.join(vocabulary_lines, "id", "left")
     words = F.coalesce("words", F.array().cast("array<string>")) if vocabulary_lines is not None else F.array().cast("array<string>")
     ents = F.transform("entities", lambda e: F.concat(F.lit("[["), e["name"], F.lit("]] ("), e["entity_type"], F.lit(")")))
-    rels = F.transform("relations", lambda r: F.concat(F.lit("[["), r["source"], F.lit("]] "), r["relation"], F.lit(" [["), r["target"], F.lit("]]")))
+    rels = F.transform("relations", lambda r: F.concat(F.lit("[["), r["source"], F.lit("]] "), r["relation"], F.lit(" [["), r["target"],
+        F.lit("]]")))
     text = F.concat(
-        _front(id=yaml_scalar(F.col("id")), title=yaml_scalar(F.col("title")), source=yaml_scalar(F.col("source")), type=yaml_scalar(F.col("document_type"))),
+        _front(id=yaml_scalar(F.col("id")), title=yaml_scalar(F.col("title")), source=yaml_scalar(F.col("source")),
+            type=yaml_scalar(F.col("document_type"))),
         F.lit("\n# "), F.col("title"), F.lit("\n\n"), F.col("summary"), F.lit("\n"),
-        F.when(F.col("translation_ko") != "", F.concat(F.lit("\n"), F.col("translation_ko"), F.lit("\n"))).otherwise(F.lit("")), _list("Entities", ents), _list("Relations", rels), _list("Vocabulary", words))
+        F.when(F.col("translation_ko") != "", F.concat(F.lit("\n"), F.col("translation_ko"), F.lit("\n"))).otherwise(F.lit("")),
+            _list("Entities", ents), _list("Relations", rels), _list("Vocabulary", words))
     return d.select(F.lit("documents").alias("dir"), F.col("id").alias("name"), text.alias("text"))
 
 
 def vocabulary_lines(links: DataFrame, vocabularies: DataFrame) -> DataFrame:
     """id, words: the sorted vocabulary of each document."""
     v = vocabularies.select(F.col("id").alias("vocabulary_id"), "word")
-    return links.join(v, "vocabulary_id").groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_set(F.concat("word", F.lit(" ("), "match_type", F.lit(")")))).alias("words"))
+    return links.join(v, "vocabulary_id").groupBy(F.col("document_id").alias("id")).agg(
+        F.array_sort(F.collect_set(F.concat("word", F.lit(" ("), "match_type", F.lit(")")))).alias("words"))
 
 
 def record_entity_notes(records: DataFrame) -> DataFrame:
     """dir, name, text of the entities of enriched records, as soon as they arrive: the last statement of each stays."""
-    e = records.select("seq", F.posexplode("entities").alias("pos", "e")).groupBy(F.col("e.name").alias("name"), F.col("e.entity_type").alias("entity_type"))
+    e = records.select("seq", F.posexplode("entities").alias("pos", "e")).groupBy(F.col("e.name").alias("name"),
+        F.col("e.entity_type").alias("entity_type"))
     e = e.agg(F.max_by("e", F.struct("seq", "pos")).alias("e"))
     alias = F.coalesce("e.aliases", F.array().cast("array<string>"))
-    text = F.concat(_front(name=yaml_scalar(F.col("name")), type=yaml_scalar(F.col("entity_type")), confidence=_conf("e.confidence")), F.lit("\n# "), F.col("name"), F.lit("\n"), _list("Aliases", alias))
+    text = F.concat(_front(name=yaml_scalar(F.col("name")), type=yaml_scalar(F.col("entity_type")), confidence=_conf("e.confidence")),
+        F.lit("\n# "), F.col("name"), F.lit("\n"), _list("Aliases", alias))
     return e.select(F.concat(F.lit("entities/"), "entity_type").alias("dir"), "name", text.alias("text"))
 
 
-def entity_notes(entities: DataFrame, entity_sources: DataFrame, document_entities: DataFrame, relations: DataFrame, derived: DataFrame) -> DataFrame:
+def entity_notes(entities: DataFrame, entity_sources: DataFrame, document_entities: DataFrame, relations: DataFrame,
+    derived: DataFrame) -> DataFrame:
     """dir, name, text per entity: aliases, sources, documents, relations and derived relations, pre-aggregated by key."""
     k = ["name", "entity_type"]
     src = entity_sources.groupBy(F.col("entity_name").alias("name"), "entity_type").agg(F.array_sort(F.collect_set("source")).alias("srcs"))
-    docs = document_entities.groupBy(F.col("entity_name").alias("name"), "entity_type").agg(F.array_sort(F.collect_set("document_id")).alias("docs"))
+    docs = document_entities.groupBy(F.col("entity_name").alias("name"),
+        "entity_type").agg(F.array_sort(F.collect_set("document_id")).alias("docs"))
 
     def lines(r: DataFrame, name: str) -> DataFrame:
-        return r.groupBy(F.col("source_name").alias("name")).agg(F.array_sort(F.collect_set(F.concat("relation", F.lit(" [["), "target_name", F.lit("]]")))).alias(name))
+        return r.groupBy(F.col("source_name").alias("name")).agg(
+            F.array_sort(F.collect_set(F.concat("relation", F.lit(" [["), "target_name", F.lit("]]")))).alias(name))
 
-    e = entities.join(src, k, "left").join(docs, k, "left").join(lines(relations, "rels"), "name", "left").join(lines(derived, "more"), "name", "left")
+    e = entities.join(src, k, "left").join(docs, k, "left").join(lines(relations, "rels"), "name", "left").join(lines(derived, "more"),
+        "name", "left")
     none = F.array().cast("array<string>")
     text = F.concat(
-        _front(name=yaml_scalar(F.col("name")), type=yaml_scalar(F.col("entity_type")), confidence=F.format_string("%.3f", F.coalesce("confidence", F.lit(0.0)))), F.lit("\n# "), F.col("name"), F.lit("\n"),
-        _list("Aliases", F.coalesce("aliases", none)), _list("Sources", F.coalesce("srcs", none)), _list("Documents", F.coalesce("docs", none)), _list("Relations", F.coalesce("rels", none)), _list("Derived", F.coalesce("more", none)))
+        _front(name=yaml_scalar(F.col("name")), type=yaml_scalar(F.col("entity_type")),
+            confidence=F.format_string("%.3f", F.coalesce("confidence", F.lit(0.0)))), F.lit("\n# "), F.col("name"), F.lit("\n"),
+        _list("Aliases", F.coalesce("aliases", none)), _list("Sources", F.coalesce("srcs", none)),
+            _list("Documents", F.coalesce("docs", none)), _list("Relations", F.coalesce("rels", none)),
+                _list("Derived", F.coalesce("more", none)))
     return e.select(F.concat(F.lit("entities/"), F.coalesce("entity_type", F.lit("Concepts"))).alias("dir"), "name", text.alias("text"))
 
 
 def vocabulary_notes(vocabularies: DataFrame, entity_links: DataFrame, document_links: DataFrame) -> DataFrame:
-    ents = entity_links.groupBy(F.col("vocabulary_id").alias("id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("[["), "entity_name", F.lit("]]")))).alias("ents"))
+    ents = entity_links.groupBy(F.col("vocabulary_id").alias("id")).agg(
+        F.array_sort(F.collect_set(F.concat(F.lit("[["), "entity_name", F.lit("]]")))).alias("ents"))
     docs = document_links.groupBy(F.col("vocabulary_id").alias("id")).agg(F.array_sort(F.collect_set("document_id")).alias("docs"))
     none = F.array().cast("array<string>")
     v = vocabularies.join(ents, "id", "left").join(docs, "id", "left")
     level = F.coalesce(F.when(F.size("hsk_levels") > 0, F.array_join("hsk_levels", ", ")), F.lit("unclassified"))
-    text = F.concat(_front(id=yaml_scalar(F.col("id")), word=yaml_scalar(F.col("word")), level=yaml_scalar(level)), F.lit("\n# "), F.col("word"), F.lit("\n\n"), F.concat_ws(" · ", "pinyin", "pos", "meaning_ko"), F.lit("\n"), _list("Entities", F.coalesce("ents", none)), _list("Documents", F.coalesce("docs", none)))
+    text = F.concat(_front(id=yaml_scalar(F.col("id")), word=yaml_scalar(F.col("word")), level=yaml_scalar(level)), F.lit("\n# "),
+        F.col("word"), F.lit("\n\n"), F.concat_ws(" · ", "pinyin", "pos", "meaning_ko"), F.lit("\n"),
+            _list("Entities", F.coalesce("ents", none)), _list("Documents", F.coalesce("docs", none)))
     return v.select(F.lit("vocabulary").alias("dir"), F.col("id").alias("name"), text.alias("text"))
 
 
@@ -157,7 +174,8 @@ def level_index(vocabularies: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- [["), "word", F.lit("]] — "), _filled("pinyin", F.lit(NO_TEXT)))
     out = None
     for label, wanted in LEVELS.items():
-        some = _rows(vocabularies.where(level_bucket(F.col("hsk_levels"), wanted)), F.lit(f"vocabulary/{label}/_Index.md"), F.lit(""), ["word", "id"], line)
+        some = _rows(vocabularies.where(level_bucket(F.col("hsk_levels"), wanted)), F.lit(f"vocabulary/{label}/_Index.md"), F.lit(""),
+            ["word", "id"], line)
         out = some if out is None else out.unionByName(some)
     return out
 
@@ -172,18 +190,24 @@ def cross_domain_index(derived: DataFrame, cross: DataFrame, vocabularies: DataF
     file = F.lit("_Cross-Domain Connections.md")
     at = [F.lit(s) for s in CROSS_SECTIONS]
     tail = F.concat(F.lit(" — "), _conf(), F.lit(" — `"), "rule", F.lit("`"))
-    d = _rows(derived, file, at[0], ["source_name", "target_name", "relation"], F.concat(F.lit("- [["), "source_name", F.lit("]] — **"), "relation", F.lit("** → [["), "target_name", F.lit("]]"), tail))
+    d = _rows(derived, file, at[0], ["source_name", "target_name", "relation"],
+        F.concat(F.lit("- [["), "source_name", F.lit("]] — **"), "relation", F.lit("** → [["), "target_name", F.lit("]]"), tail))
     v = vocabularies.select(F.col("id").alias("vid"), "word")
     e = cross.where("right_kind = 'vocabulary' and left_type <> 'Vocabulary'").join(v, F.col("right_id") == F.col("vid"))
-    e = _rows(e, file, at[1], ["left_name", "word"], F.concat(F.lit("- [["), "left_name", F.lit("]] ("), "left_type", F.lit(") ↔ [["), "word", F.lit("]]"), tail))
-    m = cross.where("left_type = 'Vocabulary' and right_kind in ('music_track', 'music_album')").join(v, F.col("left_name") == F.col("vid"), "left")
+    e = _rows(e, file, at[1], ["left_name", "word"], F.concat(F.lit("- [["), "left_name", F.lit("]] ("), "left_type", F.lit(") ↔ [["),
+        "word", F.lit("]]"), tail))
+    m = cross.where("left_type = 'Vocabulary' and right_kind in ('music_track', 'music_album')").join(v, F.col("left_name") == F.col("vid"),
+        "left")
     kind = F.when(F.col("right_kind") == "music_track", "Track").otherwise("Album")
-    m = _rows(m, file, at[2], ["right_kind", "right_id", "left_name"], F.concat(F.lit("- [["), F.coalesce("word", "left_name"), F.lit("]] ↔ [["), "right_id", F.lit("]] ("), kind, F.lit(")"), tail))
+    m = _rows(m, file, at[2], ["right_kind", "right_id", "left_name"],
+        F.concat(F.lit("- [["), F.coalesce("word", "left_name"), F.lit("]] ↔ [["), "right_id", F.lit("]] ("), kind, F.lit(")"), tail))
     pair = F.concat("source_a", F.lit(" ↔ "), "source_b")
     n = bridges.groupBy("source_a", "source_b").agg(F.count("*").alias("n"))
-    n = _rows(n, file, at[3], ["source_a", "source_b"], F.concat(F.lit("- **"), pair, F.lit("** — "), F.col("n").cast("string"), F.lit(" canonical entities")))
+    n = _rows(n, file, at[3], ["source_a", "source_b"], F.concat(F.lit("- **"), pair, F.lit("** — "), F.col("n").cast("string"),
+        F.lit(" canonical entities")))
     count = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—"))
-    b = F.concat(F.lit("- [["), "entity_name", F.lit("]] ("), F.coalesce("entity_type", F.lit("")), F.lit(") — **"), pair, F.lit("**"), tail, F.lit(" — docs: "), count("documents_a"), F.lit("; "), count("documents_b"))
+    b = F.concat(F.lit("- [["), "entity_name", F.lit("]] ("), F.coalesce("entity_type", F.lit("")), F.lit(") — **"), pair, F.lit("**"),
+        tail, F.lit(" — docs: "), count("documents_a"), F.lit("; "), count("documents_b"))
     b = _rows(bridges, file, at[4], ["source_a", "source_b", "entity_type", "entity_name"], b)
     return d.unionByName(e).unionByName(m).unionByName(n).unionByName(b)
 
@@ -198,19 +222,23 @@ def knowledge_index(entities: DataFrame, documents: DataFrame) -> DataFrame:
 
     out = by(entities, "entity_type", "type").unionByName(by(documents, "source", "source"))
     every = F.count("*")
-    return out.unionByName(total(entities, "entities", every)).unionByName(total(documents, "documents", every)).unionByName(total(documents, "sources", F.countDistinct("source")))
+    return out.unionByName(total(entities, "entities", every)).unionByName(total(documents, "documents", every)).unionByName(
+        total(documents, "sources", F.countDistinct("source")))
 
 
 def knowledge_lines(counts: DataFrame, totals: dict[str, DataFrame]) -> DataFrame:
     """The knowledge index from ``knowledge_index`` and further tables whose rows are counted."""
     file = F.lit("_Knowledge Index.md")
     n = F.col("n").cast("string")
-    types = _rows(counts.where("kind = 'type'"), file, F.lit("Entity Domains"), ["key"], F.concat(F.lit("- [[entities/"), "key", F.lit("/_Index]] — "), n, F.lit(" entities")))
-    sources = _rows(counts.where("kind = 'source'"), file, F.lit("Sources"), ["key"], F.concat(F.lit("- **"), "key", F.lit("** — "), n, F.lit(" documents")))
+    types = _rows(counts.where("kind = 'type'"), file, F.lit("Entity Domains"), ["key"],
+        F.concat(F.lit("- [[entities/"), "key", F.lit("/_Index]] — "), n, F.lit(" entities")))
+    sources = _rows(counts.where("kind = 'source'"), file, F.lit("Sources"), ["key"],
+        F.concat(F.lit("- **"), "key", F.lit("** — "), n, F.lit(" documents")))
     graph = counts.where("kind = 'total'").select("key", "n")
     for label, df in totals.items():
         graph = graph.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(label).alias("key"), "n"))
-    return types.unionByName(sources).unionByName(_rows(graph, file, F.lit("Cross-Domain Graph"), ["key"], F.concat(F.lit("- "), F.initcap("key"), F.lit(": **"), n, F.lit("**"))))
+    return types.unionByName(sources).unionByName(_rows(graph, file, F.lit("Cross-Domain Graph"), ["key"],
+        F.concat(F.lit("- "), F.initcap("key"), F.lit(": **"), n, F.lit("**"))))
 
 
 #: Titles of index files that are not their own name.

@@ -80,7 +80,8 @@ def wikilinks(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
-LINKS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("raw", T.StringType())]))
+LINKS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+    T.StructField("raw", T.StringType())]))
 
 
 @F.pandas_udf(LINKS)
@@ -143,8 +144,10 @@ def entity_files(files: DataFrame) -> DataFrame:
     names with a leading underscore are no entities; legacy domains are mapped (``raw_domain`` keeps the folder)."""
     parts = F.split("path", "/")
     e = files.where(F.col("path").rlike(r"(^|/)entities/[^/]+/[^/_][^/]*\.md$"))
-    e = e.select(F.col("path").alias("relative"), F.element_at(parts, -2).alias("raw_domain"), stem(F.col("path")).alias("name"), read_front("text").alias("fields"), F.col("hash").alias("content_hash"), "text")
-    return e.withColumn("domain", known_type(F.col("raw_domain"))).withColumn("normalized", norm_name("name")).withColumn("aliases", alias_list(F.coalesce(F.col("fields")["aliases"], F.lit(""))))
+    e = e.select(F.col("path").alias("relative"), F.element_at(parts, -2).alias("raw_domain"), stem(F.col("path")).alias("name"),
+        read_front("text").alias("fields"), F.col("hash").alias("content_hash"), "text")
+    return e.withColumn("domain", known_type(F.col("raw_domain"))).withColumn("normalized", norm_name("name")).withColumn("aliases",
+        alias_list(F.coalesce(F.col("fields")["aliases"], F.lit(""))))
 
 
 def target_index(files: DataFrame) -> DataFrame:
@@ -167,19 +170,33 @@ def audit(files: DataFrame) -> DataFrame:
     ns = F.col("name")
     domain = F.concat_ws("/", F.coalesce("domain", "raw_domain"), "normalized")
     bad = [
-        e.where(F.col("domain").isNull()).select(F.lit("unknown_domain").alias("kind"), F.lit("error").alias("severity"), "relative", F.col("raw_domain").alias("detail")),
-        e.where(F.col("raw_domain").isin(list(LEGACY_TYPES))).select(F.lit("legacy_entity_domain").alias("kind"), F.lit("warning").alias("severity"), "relative", F.col("raw_domain").alias("detail")),
-        e.where(F.coalesce("normalized", F.lit("")) == "").select(F.lit("no_letters_or_digits").alias("kind"), F.lit("error").alias("severity"), "relative", ns.alias("detail")),
-        e.where(F.trim("text") == "").select(F.lit("empty_note").alias("kind"), F.lit("error").alias("severity"), "relative", ns.alias("detail")),
-        e.where(_not_nfc("name")).select(F.lit("unicode_normalization").alias("kind"), F.lit("warning").alias("severity"), "relative", ns.alias("detail")),
-        e.where(F.col("fields")["name"].isNotNull() & (norm_name(F.col("fields")["name"]) != F.col("normalized"))).select(F.lit("frontmatter_name_mismatch").alias("kind"), F.lit("warning").alias("severity"), "relative", F.col("fields")["name"].alias("detail")),
-        *([files.where(~F.col("readable")).select(F.lit("unreadable_note").alias("kind"), F.lit("error").alias("severity"), F.col("path").alias("relative"), F.col("path").alias("detail"))] if "readable" in files.columns else []),
-        files.where(F.col("path").rlike(r"(^|/)entities/([^/]+\.md|[^/]+/[^/]+/.*)$") & ~stem(F.col("path")).startswith("_")).select(F.lit("unexpected_entity_path").alias("kind"), F.lit("warning").alias("severity"), F.col("path").alias("relative"), F.col("path").alias("detail")),
+        e.where(F.col("domain").isNull()).select(F.lit("unknown_domain").alias("kind"), F.lit("error").alias("severity"), "relative",
+            F.col("raw_domain").alias("detail")),
+        e.where(F.col("raw_domain").isin(list(LEGACY_TYPES))).select(F.lit("legacy_entity_domain").alias("kind"),
+            F.lit("warning").alias("severity"), "relative", F.col("raw_domain").alias("detail")),
+        e.where(F.coalesce("normalized", F.lit("")) == "").select(F.lit("no_letters_or_digits").alias("kind"),
+            F.lit("error").alias("severity"), "relative", ns.alias("detail")),
+        e.where(F.trim("text") == "").select(F.lit("empty_note").alias("kind"), F.lit("error").alias("severity"), "relative",
+            ns.alias("detail")),
+        e.where(_not_nfc("name")).select(F.lit("unicode_normalization").alias("kind"), F.lit("warning").alias("severity"), "relative",
+            ns.alias("detail")),
+        e.where(F.col("fields")["name"].isNotNull() & (norm_name(F.col("fields")["name"]) != F.col("normalized"))).select(
+            F.lit("frontmatter_name_mismatch").alias("kind"), F.lit("warning").alias("severity"), "relative",
+                F.col("fields")["name"].alias("detail")),
+        *([files.where(~F.col("readable")).select(F.lit("unreadable_note").alias("kind"), F.lit("error").alias("severity"),
+            F.col("path").alias("relative"), F.col("path").alias("detail"))] if "readable" in files.columns else []),
+        files.where(F.col("path").rlike(r"(^|/)entities/([^/]+\.md|[^/]+/[^/]+/.*)$") & ~stem(F.col("path")).startswith("_")).select(
+            F.lit("unexpected_entity_path").alias("kind"), F.lit("warning").alias("severity"), F.col("path").alias("relative"),
+                F.col("path").alias("detail")),
     ]
-    same = e.groupBy(domain.alias("k")).agg(F.array_sort(F.collect_set("relative")).alias("p"), F.countDistinct(F.lower("name")).alias("spelled")).where(F.size("p") > 1)
-    bad.append(same.select(F.when(F.col("spelled") == 1, "case_only_duplicate").otherwise("duplicate_entity").alias("kind"), F.lit("error").alias("severity"), F.col("p")[0].alias("relative"), F.array_join("p", ",").alias("detail")))
-    al = e.select("domain", "relative", F.explode("aliases").alias("a")).withColumn("a", norm_name("a")).groupBy("domain", "a").agg(F.array_sort(F.collect_set("relative")).alias("p")).where(F.size("p") > 1)
-    bad.append(al.select(F.lit("duplicate_entity_alias").alias("kind"), F.lit("warning").alias("severity"), F.col("p")[0].alias("relative"), F.array_join("p", ",").alias("detail")))
+    same = e.groupBy(domain.alias("k")).agg(F.array_sort(F.collect_set("relative")).alias("p"),
+        F.countDistinct(F.lower("name")).alias("spelled")).where(F.size("p") > 1)
+    bad.append(same.select(F.when(F.col("spelled") == 1, "case_only_duplicate").otherwise("duplicate_entity").alias("kind"),
+        F.lit("error").alias("severity"), F.col("p")[0].alias("relative"), F.array_join("p", ",").alias("detail")))
+    al = e.select("domain", "relative", F.explode("aliases").alias("a")).withColumn("a", norm_name("a")).groupBy("domain",
+        "a").agg(F.array_sort(F.collect_set("relative")).alias("p")).where(F.size("p") > 1)
+    bad.append(al.select(F.lit("duplicate_entity_alias").alias("kind"), F.lit("warning").alias("severity"), F.col("p")[0].alias("relative"),
+        F.array_join("p", ",").alias("detail")))
     out = bad[0]
     for b in bad[1:]:
         out = out.unionByName(b)
@@ -189,14 +206,20 @@ def audit(files: DataFrame) -> DataFrame:
     one = F.element_at("hits", 1)
     folder = F.regexp_extract("target", r"(?:^|/)entities/([^/]+)/", 1)
     kind = (
-        F.when((folder != "") & known_type(folder).isNull(), "invalid_entity_domain_link").when(F.col("hits").isNull() & (folder != ""), "wrong_entity_domain_link").when(F.col("hits").isNull(), "unresolved_wikilink")
-        .when(F.size("hits") > 1, "ambiguous_wikilink").when(one == F.col("file"), "self_wikilink").when(norm_name(stem(one)) != F.col("key"), F.when(F.contains("target", F.lit("/")), F.lit(None)).otherwise("alias_wikilink"))
+        F.when((folder != "") & known_type(folder).isNull(), "invalid_entity_domain_link").when(F.col("hits").isNull() & (folder != ""),
+            "wrong_entity_domain_link").when(F.col("hits").isNull(), "unresolved_wikilink")
+        .when(F.size("hits") > 1, "ambiguous_wikilink").when(one == F.col("file"),
+            "self_wikilink").when(norm_name(stem(one)) != F.col("key"),
+                F.when(F.contains("target", F.lit("/")), F.lit(None)).otherwise("alias_wikilink"))
         .when((stem(one) != F.col("target")) & ~F.contains("target", F.lit("/")), "noncanonical_wikilink")
     )
     lk = l.withColumn("kind", kind).where("kind is not null")
-    out = out.unionByName(lk.select("kind", F.when(F.col("kind").isin("unresolved_wikilink", "ambiguous_wikilink", "invalid_entity_domain_link", "wrong_entity_domain_link"), "error").otherwise("warning").alias("severity"), F.col("file").alias("relative"), F.col("raw").alias("detail")))
+    out = out.unionByName(lk.select("kind", F.when(F.col("kind").isin("unresolved_wikilink", "ambiguous_wikilink",
+        "invalid_entity_domain_link", "wrong_entity_domain_link"), "error").otherwise("warning").alias("severity"),
+            F.col("file").alias("relative"), F.col("raw").alias("detail")))
     aimed = l.where(F.size("hits") == 1).where(one != F.col("file")).select(one.alias("relative")).distinct()
-    return out.unionByName(e.join(aimed, "relative", "left_anti").select(F.lit("orphan_entity").alias("kind"), F.lit("warning").alias("severity"), "relative", ns.alias("detail")))
+    return out.unionByName(e.join(aimed, "relative", "left_anti").select(F.lit("orphan_entity").alias("kind"),
+        F.lit("warning").alias("severity"), "relative", ns.alias("detail")))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -216,7 +239,8 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
     def rows(df: DataFrame, kind: str, path: str, hash_: str, target: Column | None = None, old: Column | None = None) -> DataFrame:
         none = F.lit(None).cast("string")
-        return df.select(F.lit(kind).alias("change"), F.col(path).alias("path"), (target if target is not None else none).alias("target"), F.col(hash_).alias("hash"), (old if old is not None else none).alias("before"))
+        return df.select(F.lit(kind).alias("change"), F.col(path).alias("path"), (target if target is not None else none).alias("target"),
+            F.col(hash_).alias("hash"), (old if old is not None else none).alias("before"))
 
     out = rows(moved, "moved", "src", "hash", F.col("dst"))
     out = out.unionByName(rows(gone.join(moved.select(F.col("src").alias("path")), "path", "left_anti"), "deleted", "path", "h0"))
@@ -236,15 +260,23 @@ def merge_plan(entities: DataFrame) -> DataFrame:
     e = entities.where("domain is not null and normalized <> ''")
     plain = F.map_filter("fields", lambda k, v: k != "name")
     text = F.to_json(F.array_sort(F.map_entries(plain)))
-    rank = F.struct((F.col("name") != F.initcap(F.lower("name"))).alias("a"), (F.col("name") != F.regexp_replace("name", r"\s+", " ")).alias("b"), "relative")
-    g = e.withColumn("t", text).groupBy("domain", "normalized").agg(F.min_by("relative", rank).alias("canonical"), F.array_sort(F.collect_set("relative")).alias("all"), F.countDistinct("t").alias("kinds")).where(F.size("all") > 1)
-    same = g.select(F.when(F.col("kinds") == 1, "AUTO").otherwise("REVIEW").alias("action"), "domain", F.col("normalized").alias("key"), "canonical", F.array_join(F.array_remove("all", F.col("canonical")), ",").alias("duplicates"), F.when(F.col("kinds") == 1, "same_name").otherwise("metadata_conflict").alias("reason"))
-    cross = e.groupBy("normalized").agg(F.array_sort(F.collect_set("domain")).alias("d"), F.array_sort(F.collect_set("relative")).alias("all")).where(F.size("d") > 1)
-    cross = cross.select(F.lit("SKIP").alias("action"), F.array_join("d", ",").alias("domain"), F.col("normalized").alias("key"), F.col("all")[0].alias("canonical"), F.array_join("all", ",").alias("duplicates"), F.lit("cross_domain").alias("reason"))
+    rank = F.struct((F.col("name") != F.initcap(F.lower("name"))).alias("a"),
+        (F.col("name") != F.regexp_replace("name", r"\s+", " ")).alias("b"), "relative")
+    g = e.withColumn("t", text).groupBy("domain", "normalized").agg(F.min_by("relative", rank).alias("canonical"),
+        F.array_sort(F.collect_set("relative")).alias("all"), F.countDistinct("t").alias("kinds")).where(F.size("all") > 1)
+    same = g.select(F.when(F.col("kinds") == 1, "AUTO").otherwise("REVIEW").alias("action"), "domain", F.col("normalized").alias("key"),
+        "canonical", F.array_join(F.array_remove("all", F.col("canonical")), ",").alias("duplicates"),
+            F.when(F.col("kinds") == 1, "same_name").otherwise("metadata_conflict").alias("reason"))
+    cross = e.groupBy("normalized").agg(F.array_sort(F.collect_set("domain")).alias("d"),
+        F.array_sort(F.collect_set("relative")).alias("all")).where(F.size("d") > 1)
+    cross = cross.select(F.lit("SKIP").alias("action"), F.array_join("d", ",").alias("domain"), F.col("normalized").alias("key"),
+        F.col("all")[0].alias("canonical"), F.array_join("all", ",").alias("duplicates"), F.lit("cross_domain").alias("reason"))
     al = e.select("domain", "relative", "normalized", F.explode("aliases").alias("a")).withColumn("a", norm_name("a"))
-    hit = al.join(e.select("domain", F.col("normalized").alias("a"), F.col("relative").alias("other")), ["domain", "a"]).where("relative <> other")
+    hit = al.join(e.select("domain", F.col("normalized").alias("a"), F.col("relative").alias("other")),
+        ["domain", "a"]).where("relative <> other")
     hit = hit.groupBy("domain", "a").agg(F.array_sort(F.collect_set("relative")).alias("from"), F.min("other").alias("other"))
-    alias = hit.select(F.when(F.size("from") > 1, "SKIP").otherwise("REVIEW").alias("action"), "domain", F.col("a").alias("key"), F.col("other").alias("canonical"), F.array_join("from", ",").alias("duplicates"), F.lit("alias_names_entity").alias("reason"))
+    alias = hit.select(F.when(F.size("from") > 1, "SKIP").otherwise("REVIEW").alias("action"), "domain", F.col("a").alias("key"),
+        F.col("other").alias("canonical"), F.array_join("from", ",").alias("duplicates"), F.lit("alias_names_entity").alias("reason"))
     return same.unionByName(cross).unionByName(alias)
 
 
@@ -255,20 +287,26 @@ def organization_plan(files: DataFrame, root: str = "20_Entities") -> DataFrame:
     fields = read_front("text")
     folder = known_type(F.element_at(F.split("path", "/"), -2))
     said = known_type(F.coalesce(fields["entity_type"], fields["type"], F.lit("")))
-    f = files.where(~first.isin(PROTECTED_DIRS)).select("path", "hash", folder.alias("folder"), said.alias("said")).where("folder is not null or said is not null")
+    f = files.where(~first.isin(PROTECTED_DIRS)).select("path", "hash", folder.alias("folder"),
+        said.alias("said")).where("folder is not null or said is not null")
     dom = F.coalesce("folder", "said")
-    f = f.withColumn("entity_type", dom).withColumn("target", F.concat_ws("/", F.lit(root), "entity_type", F.regexp_replace("path", r"^.*/", "")))
+    f = f.withColumn("entity_type", dom).withColumn("target",
+        F.concat_ws("/", F.lit(root), "entity_type", F.regexp_replace("path", r"^.*/", "")))
     taken = files.select(F.col("path").alias("target"), F.col("hash").alias("there"))
     many = f.groupBy("target").agg(F.count("*").alias("n"))
     f = f.join(taken, "target", "left").join(many, "target")
-    why = F.when(F.col("path") == F.col("target"), "in_place").when(F.col("folder").isNotNull() & F.col("said").isNotNull() & (F.col("folder") != F.col("said")), "domain_conflict").when(F.col("n") > 1, "target_collision").when(F.col("there") == F.col("hash"), "identical_target").when(F.col("there").isNotNull(), "target_exists").otherwise("move")
+    why = F.when(F.col("path") == F.col("target"), "in_place").when(
+        F.col("folder").isNotNull() & F.col("said").isNotNull() & (F.col("folder") != F.col("said")),
+            "domain_conflict").when(F.col("n") > 1, "target_collision").when(F.col("there") == F.col("hash"),
+                "identical_target").when(F.col("there").isNotNull(), "target_exists").otherwise("move")
     f = f.withColumn("reason", why)
     act = F.when(F.col("reason") == "move", "AUTO").when(F.col("reason").isin("in_place", "identical_target"), "SKIP").otherwise("REVIEW")
     return f.select(act.alias("action"), F.col("path").alias("source"), "target", "entity_type", F.col("hash").alias("file_hash"), "reason")
 
 
 def consistency(
-    notes: DataFrame, entities: DataFrame, documents: DataFrame | None = None, aliases: DataFrame | None = None, relations: DataFrame | None = None,
+    notes: DataFrame, entities: DataFrame, documents: DataFrame | None = None, aliases: DataFrame | None = None,
+        relations: DataFrame | None = None,
     document_entities: DataFrame | None = None, entity_sources: DataFrame | None = None, files: DataFrame | None = None,
 ) -> DataFrame:
     """class, domain, key: entity notes against the tables, by (domain, folded name), as far as tables are given.
@@ -277,9 +315,12 @@ def consistency(
     row); links of the notes to entities the tables lack; links of documents and sources to entities or documents that
     are not there; relation ends without a table entity or a note; aliases without entity; invalid types; documents
     without hash. Each fact once."""
-    v = notes.select(F.col("domain"), F.col("normalized").alias("key"), F.lit(True).alias("in_vault")).where("domain is not null").distinct()
-    packed = F.size(F.coalesce(F.col("aliases"), F.array().cast("array<string>"))) > 0 if dict(entities.dtypes).get("aliases") == "array<string>" else F.coalesce(F.trim("aliases"), F.lit("")) != "" if "aliases" in entities.columns else F.lit(False)
-    t = entities.select(known_type(F.col("entity_type")).alias("domain"), norm_name("name").alias("key"), "name", packed.alias("packed")).where("domain is not null")
+    v = notes.select(F.col("domain"), F.col("normalized").alias("key"),
+        F.lit(True).alias("in_vault")).where("domain is not null").distinct()
+    packed = F.size(F.coalesce(F.col("aliases"), F.array().cast("array<string>"))) > 0 if dict(entities.dtypes).get(
+        "aliases") == "array<string>" else F.coalesce(F.trim("aliases"), F.lit("")) != "" if "aliases" in entities.columns else F.lit(False)
+    t = entities.select(known_type(F.col("entity_type")).alias("domain"), norm_name("name").alias("key"), "name",
+        packed.alias("packed")).where("domain is not null")
     t = t.groupBy("domain", "key").agg(F.max("packed").alias("packed"), F.lit(True).alias("in_table"))
     side = F.when(F.col("in_table").isNull(), "vault_only").when(F.col("in_vault").isNull(), "table_only").otherwise("both")
     joined = v.join(t, ["domain", "key"], "full")
@@ -287,10 +328,12 @@ def consistency(
 
     def add(df: DataFrame, name: str, domain: Column, key: Column) -> None:
         nonlocal out
-        out = out.unionByName(df.select(F.lit(name).alias("class"), F.coalesce(domain, F.lit("")).alias("domain"), key.alias("key")).distinct())
+        out = out.unionByName(df.select(F.lit(name).alias("class"), F.coalesce(domain, F.lit("")).alias("domain"),
+            key.alias("key")).distinct())
 
     add(joined.where("in_vault is null and packed"), "table_without_note", F.col("domain"), F.col("key"))
-    add(entities.where(~F.coalesce(F.col("entity_type"), F.lit("")).isin(ENTITY_TYPES)), "table_invalid_type", F.col("entity_type"), F.col("name"))
+    add(entities.where(~F.coalesce(F.col("entity_type"), F.lit("")).isin(ENTITY_TYPES)), "table_invalid_type", F.col("entity_type"),
+        F.col("name"))
     there = t.select("domain", "key")
     named = entities.select(norm_name("name").alias("key")).distinct()
     exact = entities.select("name").distinct()
@@ -301,14 +344,16 @@ def consistency(
         triple = F.concat_ws("|", "source_name", "relation", "target_name")
         ends = relations.select(triple.alias("fact"), F.explode(F.array("source_name", "target_name")).alias("name"))
         add(ends.join(exact, "name", "left_anti"), "relation_without_entity", F.lit(""), F.col("fact"))
-        add(ends.withColumn("key", norm_name("name")).join(v.select("key").distinct(), "key", "left_anti"), "relation_without_note", F.lit(""), F.col("fact"))
+        add(ends.withColumn("key", norm_name("name")).join(v.select("key").distinct(), "key", "left_anti"), "relation_without_note",
+            F.lit(""), F.col("fact"))
     if documents is not None:
         add(documents.where("content_hash is null or content_hash = ''"), "document_without_hash", F.lit(""), F.col("id"))
     known = documents.select(F.col("id").alias("document_id")).distinct() if documents is not None else None
     for name, links in (("document_entity", document_entities), ("entity_source", entity_sources)):
         if links is None:
             continue
-        rows = links.select("document_id", "entity_name", F.coalesce(migrated_type(F.col("entity_type")), F.lit("")).alias("domain"), norm_name("entity_name").alias("key"))
+        rows = links.select("document_id", "entity_name", F.coalesce(migrated_type(F.col("entity_type")), F.lit("")).alias("domain"),
+            norm_name("entity_name").alias("key"))
         fact = F.concat_ws("|", "document_id", "entity_name")
         add(rows.join(there, ["domain", "key"], "left_anti"), f"{name}_without_entity", F.col("domain"), fact)
         if known is not None:
@@ -318,7 +363,9 @@ def consistency(
         both = joined.where("in_vault and in_table").select("domain", "key")
         add(both.join(told, ["domain", "key"], "left_anti"), "vault_without_provenance", F.col("domain"), F.col("key"))
     if files is not None:
-        index = target_index(files).groupBy("key").agg(F.min("path").alias("relative"), F.max("path").alias("hi")).where("relative = hi").select(F.col("key").alias("aim"), "relative")
-        aimed = link_rows(files).withColumn("aim", norm_name("target")).join(index, "aim").join(notes.select("relative", "domain", F.col("normalized").alias("key")), "relative")
+        index = target_index(files).groupBy("key").agg(F.min("path").alias("relative"),
+            F.max("path").alias("hi")).where("relative = hi").select(F.col("key").alias("aim"), "relative")
+        aimed = link_rows(files).withColumn("aim", norm_name("target")).join(index,
+            "aim").join(notes.select("relative", "domain", F.col("normalized").alias("key")), "relative")
         add(aimed.join(there, ["domain", "key"], "left_anti"), "link_without_entity", F.col("domain"), F.concat_ws("|", "file", "target"))
     return out

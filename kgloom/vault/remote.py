@@ -68,7 +68,8 @@ class RestRemote:
 
     def _ask(self, method: str, path: str, data: bytes | None = None) -> bytes:
         head = {"Authorization": f"Bearer {self.key}"} if self.key else {}
-        request = urllib.request.Request(f"{self.url}/vault/{urllib.parse.quote(path)}", data=data, method=method, headers=head | ({"Content-Type": "text/markdown"} if data is not None else {}))
+        request = urllib.request.Request(f"{self.url}/vault/{urllib.parse.quote(path)}", data=data, method=method,
+            headers=head | ({"Content-Type": "text/markdown"} if data is not None else {}))
         with urllib.request.urlopen(request, timeout=self.timeout) as answer:  # noqa: S310 - the caller names the service
             return answer.read()
 
@@ -149,12 +150,16 @@ def reconcile(spark: SparkSession, api: Remote, store: TableStore, work: str | P
         x["duplicates"] = [{"path": d, "hash": transactions.sha256((root / d).read_bytes())} for d in x["duplicates"].split(",") if d]
     merged = transactions.apply_merges(plan, str(root), str(Path(work) / "backup-merges"), apply=True)
     written = write_back(api, changes(before, readers.snapshot(readers.read_vault(spark, str(root)))), root, backup_root)
-    pairs = [(Path(d["path"]).stem, Path(x["canonical"]).stem, x["domain"], "exact_name") for x in plan if x["action"] == "AUTO" for d in x["duplicates"]]
-    tables = merge_entities(store, spark.createDataFrame(pairs, "duplicate string, canonical string, entity_type string, reason string")) if pairs else 0
+    pairs = [(Path(d["path"]).stem, Path(x["canonical"]).stem, x["domain"],
+        "exact_name") for x in plan if x["action"] == "AUTO" for d in x["duplicates"]]
+    tables = merge_entities(store, spark.createDataFrame(pairs,
+        "duplicate string, canonical string, entity_type string, reason string")) if pairs else 0
     shutil.rmtree(root)
     after = mirror(api, root)
     last = notes.audit(readers.read_vault(spark, str(root))).where("severity = 'error'").count()
     return {
-        "status": "FAIL" if last else "PASS", "notes_before": len(mirrored), "notes_after": len([p for p in after if not p.startswith(backup_root.rstrip("/") + "/")]), "links_changed": len(normalized["changed"]),
+        "status": "FAIL" if last else "PASS", "notes_before": len(mirrored),
+            "notes_after": len([p for p in after if not p.startswith(backup_root.rstrip("/") + "/")]),
+                "links_changed": len(normalized["changed"]),
         "merges": merged["status"], "remote_changes": written, "table_merges": tables, "errors_before": first, "errors_after": last,
     }

@@ -29,7 +29,8 @@ def sha256(data: bytes | str) -> str:
 
 
 def fingerprint(plan: dict) -> str:
-    return sha256(json.dumps({k: v for k, v in plan.items() if k != "fingerprint"}, sort_keys=True, ensure_ascii=False, separators=(",", ":"), default=str))
+    return sha256(json.dumps({k: v for k, v in plan.items() if k != "fingerprint"}, sort_keys=True, ensure_ascii=False,
+        separators=(",", ":"), default=str))
 
 
 def sign(plan: dict) -> dict:
@@ -74,7 +75,8 @@ class Transaction:
         kept = self._keep(path)
         self._undo.append(lambda: path.write_bytes(old))
         write_atomic(path, text)
-        self.operations.append({"operation": "wikilink_rewrite", "path": relative, "original_path": relative, "new_path": relative, "backup_path": kept, "original_hash": sha256(old), "new_hash": sha256(text)})
+        self.operations.append({"operation": "wikilink_rewrite", "path": relative, "original_path": relative, "new_path": relative,
+            "backup_path": kept, "original_hash": sha256(old), "new_hash": sha256(text)})
 
     def move(self, source: str, target: str, expected: str) -> None:
         a, b = safe_path(self.root, source), safe_path(self.root, target)
@@ -86,7 +88,8 @@ class Transaction:
         b.parent.mkdir(parents=True, exist_ok=True)
         self._undo.append(lambda: os.replace(b, a))
         os.replace(a, b)
-        self.operations.append({"operation": "move", "path": target, "original_path": source, "new_path": target, "backup_path": kept, "original_hash": expected, "new_hash": expected})
+        self.operations.append({"operation": "move", "path": target, "original_path": source, "new_path": target, "backup_path": kept,
+            "original_hash": expected, "new_hash": expected})
 
     def delete(self, relative: str, expected: str) -> None:
         path = safe_path(self.root, relative)
@@ -96,7 +99,8 @@ class Transaction:
         kept = self._keep(path)
         self._undo.append(lambda: path.write_bytes(data))
         path.unlink()
-        self.operations.append({"operation": "delete", "path": relative, "original_path": relative, "new_path": "", "backup_path": kept, "original_hash": expected, "new_hash": ""})
+        self.operations.append({"operation": "delete", "path": relative, "original_path": relative, "new_path": "", "backup_path": kept,
+            "original_hash": expected, "new_hash": ""})
 
     def __enter__(self) -> Transaction:
         return self
@@ -110,7 +114,8 @@ class Transaction:
 
 
 def notes(root: Path) -> list[Path]:
-    return sorted(p for p in root.rglob("*.md") if p.is_file() and not p.is_symlink() and not any(x.startswith(".") for x in p.relative_to(root).parts))
+    return sorted(p for p in root.rglob("*.md") if p.is_file() and not p.is_symlink() and not any(
+        x.startswith(".") for x in p.relative_to(root).parts))
 
 
 def _rewrite_all(tx: Transaction, to: dict[str, str]) -> None:
@@ -145,7 +150,8 @@ def _moves(root: str, backup: str, moves: list[dict], links: bool = True) -> lis
         if links:
             # a stem keeps its short link; a path in a link follows the note
             to = {folded(m["source"][:-3]) or "": m["target"][:-3] for m in moves}
-            to |= {k: PurePosixPath(m["target"]).stem for m in moves if (k := folded(PurePosixPath(m["source"]).stem)) and PurePosixPath(m["source"]).stem != PurePosixPath(m["target"]).stem}
+            to |= {k: PurePosixPath(m["target"]).stem for m in moves if (k := folded(PurePosixPath(m["source"]).stem)) and PurePosixPath(
+                m["source"]).stem != PurePosixPath(m["target"]).stem}
             _rewrite_all(tx, to)
         return tx.operations
 
@@ -199,7 +205,8 @@ def validate(plan: dict, root: str | None = None) -> list[str]:
     if plan["status"] == "CLEAN" and (plan["auto"] or plan["review"]):
         bad.append("clean plan with items")
     for item in plan["auto"]:
-        if item.get("action") != "AUTO" or item.get("kind") != "moved" or len(str(item.get("hash", ""))) != 64 or not item.get("document_id"):
+        if item.get("action") != "AUTO" or item.get("kind") != "moved" or len(str(item.get("hash", ""))) != 64 or not item.get(
+            "document_id"):
             bad.append(f"shape of {item.get('source')}")
             continue
         if item.get("unresolved"):
@@ -228,8 +235,10 @@ def make_plan(changes: list[dict], root: str, snapshot: str) -> dict:
     diff = {k: [c for c in changes if c["kind"] == k] for k in ("added", "deleted", "modified", "moved")}
     diff["moved"] = [{"path": c["source"], "target": c["target"], "hash": c["hash"]} for c in diff["moved"]]
     plan = {
-        "version": PLAN_VERSION, "root": str(root), "status": "REVIEW" if review else "PLANNED" if auto else "CLEAN", "auto": auto, "review": review, "skip": [], "diff": diff,
-        "summary": {"auto": len(auto), "review": len(review), "skip": 0}, "unresolved": [c for c in changes if c.get("unresolved")], "protected": PROTECTED_DIRS, "created_from": "snapshot", "snapshot": snapshot,
+        "version": PLAN_VERSION, "root": str(root), "status": "REVIEW" if review else "PLANNED" if auto else "CLEAN", "auto": auto,
+            "review": review, "skip": [], "diff": diff,
+        "summary": {"auto": len(auto), "review": len(review), "skip": 0}, "unresolved": [c for c in changes if c.get("unresolved")],
+            "protected": PROTECTED_DIRS, "created_from": "snapshot", "snapshot": snapshot,
     }
     return sign(plan)
 
@@ -243,7 +252,8 @@ def apply_plan(plan: dict, root: str, backup: str, apply: bool = False) -> dict:
         return {"status": "DRY_RUN", "applied": [], "skipped": moves}
     operations = _moves(root, backup, moves)
     applied = [{"document_id": i["document_id"], "source": i["source"], "target": i["target"], "hash": i["hash"]} for i in plan["auto"]]
-    return {"status": "APPLIED", "applied": applied, "skipped": [], "backup_manifest": str(Path(backup) / "manifest.json"), "operations": operations}
+    return {"status": "APPLIED", "applied": applied, "skipped": [], "backup_manifest": str(Path(backup) / "manifest.json"),
+        "operations": operations}
 
 
 def verify_applied(result: dict, root: str) -> list[str]:
@@ -263,6 +273,7 @@ def verify_applied(result: dict, root: str) -> list[str]:
         if not live.is_file() or live.is_symlink() or sha256(live.read_bytes()) != want or (Path(root) / a["source"]).exists():
             bad.append(f"live file differs: {a['target']}")
     for o in done:
-        if not o.get("backup_path") or not Path(o["backup_path"]).is_file() or sha256(Path(o["backup_path"]).read_bytes()) != o["original_hash"]:
+        if not o.get("backup_path") or not Path(o["backup_path"]).is_file() or sha256(Path(o["backup_path"]).read_bytes()) != o[
+            "original_hash"]:
             bad.append(f"backup differs: {o['original_path']}")
     return bad

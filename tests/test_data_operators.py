@@ -20,8 +20,11 @@ def frames(spark, docs, items):
 
 
 def test_refresh_finds_what_is_due_and_only_changed_partitions(spark, rows, tmp_path):
-    docs = [(1, "A", "one", "done"), (2, "b", "two", "done"), (3, "c", "x", "deleted"), (4, "d", None, None), (5, None, "q", "done"), (6, "e", "", "error"), (7, "f", "L" * 300_000, "done"), (1, "A", "one", "done")]
-    items = [(1, 1, "a ", H("one").upper(), "done", D(5)), (2, 2, "b", H("two"), "done", D(9)), (3, 1, "b", H("old"), "done", D(2)), (4, 1, "b", H("two"), "error", D(8)), (5, 1, "e", H(""), "done", D(1)), (6, 1, "e", H("z"), "done", D(1)), (7, 1, "f", H("L" * 300_000), "done", None), (8, 1, None, None, "done", D(3))]
+    docs = [(1, "A", "one", "done"), (2, "b", "two", "done"), (3, "c", "x", "deleted"), (4, "d", None, None), (5, None, "q", "done"),
+        (6, "e", "", "error"), (7, "f", "L" * 300_000, "done"), (1, "A", "one", "done")]
+    items = [(1, 1, "a ", H("one").upper(), "done", D(5)), (2, 2, "b", H("two"), "done", D(9)), (3, 1, "b", H("old"), "done", D(2)),
+        (4, 1, "b", H("two"), "error", D(8)), (5, 1, "e", H(""), "done", D(1)), (6, 1, "e", H("z"), "done", D(1)),
+            (7, 1, "f", H("L" * 300_000), "done", None), (8, 1, None, None, "done", D(3))]
     state = str(tmp_path / "state")
     d, log, it = frames(spark, docs, items)
     # ties of finished_at go to the greatest item_id, so e is due; a missing text is the empty one and was never processed
@@ -53,21 +56,29 @@ def test_refresh_of_empty_tables(spark, rows, tmp_path):
 
 def link_tables(spark):
     return {
-        "documents": spark.createDataFrame([("D1", D(1), "done"), ("d2", D(1), "Deleted"), ("d3", D(20), None), (None, D(1), "done")], "id string, created_at timestamp, status string"),
-        "entities": spark.createDataFrame([(1, "Big  Name", D(3)), (2, "big name", D(1)), (3, "Lost", D(1)), (4, None, D(1))], "entity_id long, name string, created_at timestamp"),
+        "documents": spark.createDataFrame([("D1", D(1), "done"), ("d2", D(1), "Deleted"), ("d3", D(20), None), (None, D(1), "done")],
+            "id string, created_at timestamp, status string"),
+        "entities": spark.createDataFrame([(1, "Big  Name", D(3)), (2, "big name", D(1)), (3, "Lost", D(1)), (4, None, D(1))],
+            "entity_id long, name string, created_at timestamp"),
         "vocabularies": spark.createDataFrame([("V1", D(1))], "id string, created_at timestamp"),
-        "document_sources": spark.createDataFrame([(1, " d1 ", D(2)), (2, "d2", D(2)), (3, "d3", D(2)), (4, " ", D(2)), (5, "zz", None), (5, "zz", None)], "link_id long, document_id string, first_seen_at timestamp"),
-        "entity_sources": spark.createDataFrame([(1, "Lost", "d2", D(2)), (2, "Big Name", "d1", D(2)), (3, "Big Name", "d2", D(2))], "link_id long, entity_name string, document_id string, recorded_at timestamp"),
-        "document_entities": spark.createDataFrame([(i, "BIG name ", D(2)) for i in range(300)] + [(900, "lost", D(2)), (901, "nobody", D(2)), (902, None, D(2))], "link_id long, entity_name string, recorded_at timestamp"),
-        "entity_vocabulary_links": spark.createDataFrame([(1, "Big Name", "v1", D(2)), (2, "x", "v9", D(2))], "link_id long, entity_name string, vocabulary_id string, recorded_at timestamp"),
+        "document_sources": spark.createDataFrame([(1, " d1 ", D(2)), (2, "d2", D(2)), (3, "d3", D(2)), (4, " ", D(2)), (5, "zz", None),
+            (5, "zz", None)], "link_id long, document_id string, first_seen_at timestamp"),
+        "entity_sources": spark.createDataFrame([(1, "Lost", "d2", D(2)), (2, "Big Name", "d1", D(2)), (3, "Big Name", "d2", D(2))],
+            "link_id long, entity_name string, document_id string, recorded_at timestamp"),
+        "document_entities": spark.createDataFrame([(i, "BIG name ", D(2)) for i in range(300)] + [(900, "lost", D(2)),
+            (901, "nobody", D(2)), (902, None, D(2))], "link_id long, entity_name string, recorded_at timestamp"),
+        "entity_vocabulary_links": spark.createDataFrame([(1, "Big Name", "v1", D(2)), (2, "x", "v9", D(2))],
+            "link_id long, entity_name string, vocabulary_id string, recorded_at timestamp"),
     }
 
 
 def test_orphans_direct(spark, rows):
     got = orphan_references(link_tables(spark))
     assert rows(got.select("ref_table", "link_id", "ref_month", "reason")) == [
-        ("document_entities", 901, "2024-01", "missing"), ("document_sources", 2, "2024-01", "missing"), ("document_sources", 3, "2024-01", "late"), ("document_sources", 5, None, "missing"), ("document_sources", 5, None, "missing"),
-        ("entity_sources", 1, "2024-01", "missing"), ("entity_sources", 3, "2024-01", "missing"), ("entity_vocabulary_links", 2, "2024-01", "missing")]
+        ("document_entities", 901, "2024-01", "missing"), ("document_sources", 2, "2024-01", "missing"),
+            ("document_sources", 3, "2024-01", "late"), ("document_sources", 5, None, "missing"), ("document_sources", 5, None, "missing"),
+        ("entity_sources", 1, "2024-01", "missing"), ("entity_sources", 3, "2024-01", "missing"),
+            ("entity_vocabulary_links", 2, "2024-01", "missing")]
     assert sum(r.orphans for r in orphan_counts(got).collect()) == 8
 
 
@@ -79,7 +90,9 @@ def test_orphans_inherited(spark, rows):
 
 
 def test_orphans_down_a_chain_and_of_empty_tables(spark, rows):
-    t = {"a": spark.createDataFrame([(1,)], "k long"), "b": spark.createDataFrame([(10, 1), (11, 2)], "k long, up long"), "c": spark.createDataFrame([(100, 10), (101, 11)], "k long, up long"), "d": spark.createDataFrame([(7, 101), (8, 100)], "k long, up long")}
+    t = {"a": spark.createDataFrame([(1,)], "k long"), "b": spark.createDataFrame([(10, 1), (11, 2)], "k long, up long"),
+        "c": spark.createDataFrame([(100, 10), (101, 11)], "k long, up long"),
+            "d": spark.createDataFrame([(7, 101), (8, 100)], "k long, up long")}
     plain = lambda c: c.cast("string")
     refs = tuple(Reference(x, "k", "up", y, "k", key=plain) for x, y in (("b", "a"), ("c", "b"), ("d", "c")))
     assert rows(orphan_references(t, refs).select("ref_table", "link_id", "depth")) == [("b", 11, 1), ("c", 101, 2), ("d", 7, 3)]

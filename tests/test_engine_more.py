@@ -37,23 +37,27 @@ def test_bad_records_fail_alone_and_are_retried(spark, tmp_path):
     got = e.retry_failed(good)
     assert got["processed"] == 1 and got["errors"] == 0 and store.read("processing_failures").count() == 0
     assert {r.status for r in store.read("documents").collect()} == {"done"}
-    assert (tmp_path / "out/documents/2.md").exists() and (tmp_path / "out/_Knowledge Index.md").exists() and (tmp_path / "out/entities/_Entity Index.md").read_text().count("[[N]]") == 1
+    assert (tmp_path / "out/documents/2.md").exists() and (tmp_path / "out/_Knowledge Index.md").exists() and (
+        tmp_path / "out/entities/_Entity Index.md").read_text().count("[[N]]") == 1
     # a document that fails later is marked
     assert engine.ingest_enriched(spark, store, bad.where("id = '2'"))["errors"] == 1
     assert {r.id: r.status for r in store.read("documents").collect()} == {"1": "done", "2": "error"}
+    assert engine.refresh_bridges(store, str(tmp_path / "bridges.json"))["status"] == "OK" and (tmp_path / "bridges.json").exists()
     assert len(store.vacuum(keep=1)) > 0 and store.read("documents").count() == 2
 
 
 def test_order_holds_over_many_splits(spark, tmp_path):
     for k in range(8):
-        lines(tmp_path / f"in/{k}.jsonl", [record(f"{k}-{j}", entities=[{"name": n, "entity_type": "person", "aliases": ["Shared"]} for n in (f"A{k}", f"B{k}")]) for j in range(3)])
+        lines(tmp_path / f"in/{k}.jsonl", [record(f"{k}-{j}",
+            entities=[{"name": n, "entity_type": "person", "aliases": ["Shared"]} for n in (f"A{k}", f"B{k}")]) for j in range(3)])
     rows = readers.read_enriched(spark, str(tmp_path / "in")).repartition(8)
     store = engine.TableStore(spark, str(tmp_path / "db"))
     assert engine.ingest_enriched(spark, store, rows)["processed"] == 24
     # the first in order of files and lines claims the alias
     assert [r.canonical_name for r in store.read("entity_aliases").where("alias = 'shared'").collect()] == ["A0"]
     with pytest.raises(readers.InputError, match="x.jsonl:3"):
-        readers.read_documents(spark, lines(tmp_path / "x.jsonl", [{"id": "1", "title": "t", "content": "c"}, {"id": "3", "title": "t", "content": "c"}, {"id": "2"}]))
+        readers.read_documents(spark, lines(tmp_path / "x.jsonl",
+            [{"id": "1", "title": "t", "content": "c"}, {"id": "3", "title": "t", "content": "c"}, {"id": "2"}]))
 
 
 def test_stream_of_three_batches(spark, tmp_path):
@@ -69,7 +73,8 @@ def test_stream_of_three_batches(spark, tmp_path):
 
 def test_endpoints_see_only_what_came_before(spark):
     e = "doc_seq int, seq int, document_id string, name string, entity_type string, canonical string, aliases array<string>"
-    full = spark.createDataFrame([(1, 1, "d1", "Apple", "Organizations", "Apple", ["AP"]), (3, 3, "d3", "Apple", "Products", "Apple Pie", ["AP"])], e)
+    full = spark.createDataFrame([(1, 1, "d1", "Apple", "Organizations", "Apple", ["AP"]),
+        (3, 3, "d3", "Apple", "Products", "Apple Pie", ["AP"])], e)
     ends = spark.createDataFrame([(d, "ap") for d in ("d0", "d2", "d4")], "document_id string, name string")
     reached = spark.createDataFrame([(f"d{i}", i) for i in range(5)], "document_id string, doc_seq int")
     got = canonical.resolve_endpoints_in_order(ends, full, empty(spark, "entities"), empty(spark, "entity_aliases"), reached)
@@ -79,19 +84,26 @@ def test_endpoints_see_only_what_came_before(spark):
 
 def test_merges_reach_every_table(spark, tmp_path, rows):
     store = engine.TableStore(spark, str(tmp_path / "db"))
-    recs = [record("1", entities=[{"name": "Old", "entity_type": "person", "confidence": 0.9}, {"name": "New", "entity_type": "person", "confidence": 0.4}], relations=[{"source": "Old", "relation": "owns", "target": "Thing", "confidence": 0.7}, {"source": "New", "relation": "owns", "target": "Thing", "confidence": 0.2}])]
+    recs = [record("1", entities=[{"name": "Old", "entity_type": "person", "confidence": 0.9},
+        {"name": "New", "entity_type": "person", "confidence": 0.4}],
+            relations=[{"source": "Old", "relation": "owns", "target": "Thing", "confidence": 0.7},
+                {"source": "New", "relation": "owns", "target": "Thing", "confidence": 0.2}])]
     engine.ingest_enriched(spark, store, readers.read_enriched(spark, lines(tmp_path / "a.jsonl", recs)))
     kind = "duplicate string, canonical string, entity_type string, reason string"
-    engine.verify_relations(store, spark.createDataFrame([("1", "Old", "owns", "Thing", "ev", "checked")], "document_id string, source_name string, relation string, target_name string, evidence_document_id string, status string"))
-    assert engine.merge_entities(store, spark.createDataFrame([("Old", "New", "People", "explicit"), ("Nobody", "New", "People", "explicit"), ("New", "New", "People", "explicit")], kind)) == 1
+    engine.verify_relations(store, spark.createDataFrame([("1", "Old", "owns", "Thing", "ev", "checked")],
+        "document_id string, source_name string, relation string, target_name string, evidence_document_id string, status string"))
+    assert engine.merge_entities(store, spark.createDataFrame(
+        [("Old", "New", "People", "explicit"), ("Nobody", "New", "People", "explicit"), ("New", "New", "People", "explicit")], kind)) == 1
     assert rows(store.read("entities").select("name", "aliases", "confidence")) == [("New", ["Old"], 0.9)]
-    assert rows(store.read("relations")) == [("New", "owns", "Thing", 0.7)] and rows(store.read("document_entities").select("entity_name", "confidence")) == [("New", 0.9)]
+    assert rows(store.read("relations")) == [("New", "owns", "Thing", 0.7)] and rows(
+        store.read("document_entities").select("entity_name", "confidence")) == [("New", 0.9)]
     assert store.read("relation_evidence").first().source_name == "New" and store.read("entity_sources").first().entity_name == "New"
     assert rows(store.read("entity_aliases").select("alias", "canonical_name")) == [("new", "New"), ("old", "New")]
     assert [(r.duplicate_name, r.reason) for r in store.read("entity_merge_log").collect()] == [("Old", "explicit")]
     with pytest.raises(Exception, match="invalid entity merge reason"):
         engine.merge_entities(store, spark.createDataFrame([("New", "X", "People", "guess")], kind))
-    ring = spark.createDataFrame([("a", "b", "T", "explicit"), ("b", "c", "T", "explicit"), ("c", "a", "T", "explicit"), ("x", "a", "T", "explicit"), ("p", "q", "T", "explicit"), ("q", "r", "T", "explicit")], kind)
+    ring = spark.createDataFrame([("a", "b", "T", "explicit"), ("b", "c", "T", "explicit"), ("c", "a", "T", "explicit"),
+        ("x", "a", "T", "explicit"), ("p", "q", "T", "explicit"), ("q", "r", "T", "explicit")], kind)
     there = spark.createDataFrame([(n, "T") for n in "abcxpqr"], "name string, entity_type string")
     # merges in a circle have no end; a chain leads to its last name
     assert rows(upsert.effective_merges(there, ring).select("duplicate", "canonical")) == [("p", "r"), ("q", "r")]
@@ -107,26 +119,31 @@ def test_model_answers(spark, tmp_path):
         (calls / title).write_text("x")
         return "[1]" if title == "list" else {"summary": "s", "entities": [{"name": "Model Entity", "entity_type": "person"}]}
 
-    docs = spark.createDataFrame([(i, t, t, "Alpha Beta was here", "src", "{}") for i, t in enumerate(["fine", "boom", "list"])], "seq long, id string, title string, content string, source string, metadata string")
+    docs = spark.createDataFrame([(i, t, t, "Alpha Beta was here", "src", "{}") for i, t in enumerate(["fine", "boom", "list"])],
+        "seq long, id string, title string, content string, source string, metadata string")
     store = engine.TableStore(spark, str(tmp_path / "db"))
     got = engine.ingest_generic(spark, store, docs, provider, "m", wait=0.0)
-    assert {k: got[k] for k in ("processed", "llm_calls", "cache_hits", "llm_fallbacks")} == {"processed": 3, "llm_calls": 3, "cache_hits": 0, "llm_fallbacks": 1}
+    assert {k: got[k] for k in ("processed", "llm_calls", "cache_hits", "llm_fallbacks")} == {"processed": 3, "llm_calls": 3,
+        "cache_hits": 0, "llm_fallbacks": 1}
     assert {r.entity_name for r in store.read("document_entities").where("document_id = 'fine'").collect()} == {"Model Entity"}
     assert {r.entity_name for r in store.read("document_entities").where("document_id in ('boom', 'list')").collect()} == {"Alpha Beta"}
     assert store.read("llm_cache").count() == 2 and engine.ingest_generic(spark, store, docs, provider, "m")["skipped"] == 3
     again = enrich.answers(docs, store.read("llm_cache"), provider, "m", wait=0.0)
     assert sorted((r.id, r.cached) for r in again.collect()) == [("boom", False), ("fine", True), ("list", True)]
     assert enrich.unfenced("```json\n{}\n```") == "{}"
-    found = enrich.fetch_evidence(spark.createDataFrame([("a",), ("b",)], "document_id string"), lambda i: {"title": "T"} if i == "a" else None, "lib")
+    found = enrich.fetch_evidence(spark.createDataFrame([("a",), ("b",)], "document_id string"),
+        lambda i: {"title": "T"} if i == "a" else None, "lib")
     engine.save_evidence(store, found)
     assert [(r.document_id, r.title) for r in store.read("evidence").collect()] == [("a", "T")]
     with pytest.raises(Exception, match="invalid evidence status"):
-        engine.verify_relations(store, spark.createDataFrame([("1", "a", "r", "b", "e", "maybe")], "document_id string, source_name string, relation string, target_name string, evidence_document_id string, status string"))
+        engine.verify_relations(store, spark.createDataFrame([("1", "a", "r", "b", "e", "maybe")],
+            "document_id string, source_name string, relation string, target_name string, evidence_document_id string, status string"))
 
 
 def test_cascade_of_any_depth(spark):
     n = 70
-    t = spark.createDataFrame([(i, f"k{i}", f"k{i - 1}" if i else "missing") for i in range(n)] + [(900, "x", "y"), (901, "y", "x")], "rid long, key string, up string")
+    t = spark.createDataFrame([(i, f"k{i}", f"k{i - 1}" if i else "missing") for i in range(n)] + [(900, "x", "y"), (901, "y", "x")],
+        "rid long, key string, up string")
     refs = (references.Reference("t", "rid", "up", "t", "key"),)
     got = {r.link_id: r.depth for r in references.orphan_references({"t": t}, refs).collect()}
     # a chain longer than any fixed depth ends, and a circle without a lost end is none
@@ -134,7 +151,8 @@ def test_cascade_of_any_depth(spark):
 
 
 def test_index_files(spark, tmp_path):
-    v = spark.createDataFrame([("1", "词", "ci", ["6"]), ("2", "书", None, ["7-9"]), ("3", "水", "", [])], "id string, word string, pinyin string, hsk_levels array<string>")
+    v = spark.createDataFrame([("1", "词", "ci", ["6"]), ("2", "书", None, ["7-9"]), ("3", "水", "", [])],
+        "id string, word string, pinyin string, hsk_levels array<string>")
     done = sinks.write_index(sinks.vocabulary_index(v).unionByName(sinks.level_index(v)), str(tmp_path))
     assert done == ["vocabulary/HSK6/_Index.md", "vocabulary/HSK7-9/_Index.md", "vocabulary/_Vocabulary Index.md"]
     assert "- [[水]] — - — unclassified\n" in (tmp_path / done[2]).read_text() and "# HSK7-9 Vocabulary" in (tmp_path / done[1]).read_text()
@@ -176,7 +194,8 @@ class Server(http.server.BaseHTTPRequestHandler):
 
 
 def test_remote_vault(spark, tmp_path):
-    Server.files = {"entities/People/Ann Lee.md": b"same", "entities/People/ann  lee.md": b"same", "index.md": b"[[ann  lee]]", ".hidden/x.md": b"no", "pic.png": b"no"}
+    Server.files = {"entities/People/Ann Lee.md": b"same", "entities/People/ann  lee.md": b"same", "index.md": b"[[ann  lee]]",
+        ".hidden/x.md": b"no", "pic.png": b"no"}
     s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
     threading.Thread(target=s.serve_forever, daemon=True).start()
     try:
@@ -186,7 +205,8 @@ def test_remote_vault(spark, tmp_path):
         store.commit({"entities": people})
         got = remote.reconcile(spark, api, store, tmp_path / "work", "backup")
         assert got["merges"] == "APPLIED" and got["table_merges"] == 1 and got["notes_after"] == 2
-        assert Server.files["index.md"] == b"[[Ann Lee]]" and "entities/People/ann  lee.md" not in Server.files and any(k.startswith("backup/") for k in Server.files)
+        assert Server.files["index.md"] == b"[[Ann Lee]]" and "entities/People/ann  lee.md" not in Server.files and any(
+            k.startswith("backup/") for k in Server.files)
         assert [(r.name, r.confidence) for r in store.read("entities").collect()] == [("Ann Lee", 0.9)]
     finally:
         s.shutdown()
@@ -199,7 +219,8 @@ def test_remote_vault(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    run = lambda *a: cli.main([*a, "--db", str(tmp_path / "db"), "--output", str(tmp_path / "out"), "--snapshot", str(tmp_path / "snap"), "--plan", str(tmp_path / "plan.json")])
+    run = lambda *a: cli.main([*a, "--db", str(tmp_path / "db"), "--output", str(tmp_path / "out"), "--snapshot", str(tmp_path / "snap"),
+        "--plan", str(tmp_path / "plan.json")])
     assert run("vault-audit") == 1
     src = lines(tmp_path / "a.jsonl", [record("1", relations=[{"source": "N", "relation": "owns", "target": "M"}])])
     assert run("process", "--source", "enriched", "--input", src) == 0

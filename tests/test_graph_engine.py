@@ -40,16 +40,20 @@ def model(batch):
 def test_resolution_matches_a_sequential_model(spark):
     random.seed(4)
     words = ["Apple", "apple", "Apple Inc.", "APPLE  inc", "Pear", "pear", "Pear-Co", "Fig", "ＦＩＧ", "Plum", "plum tree", "Kiwi"]
-    batch = [(i, random.choice(words), random.choice(["Organizations", "Products"]), random.sample(words, random.choice([0, 0, 1, 2])), 0.5) for i in range(120)]
+    batch = [(i, random.choice(words), random.choice(["Organizations", "Products"]), random.sample(words, random.choice([0, 0, 1, 2])),
+        0.5) for i in range(120)]
     got = canonical.resolve_entities(spark.createDataFrame(batch, E), empty(spark, "entities"), empty(spark, "entity_aliases"))
     assert sorted((r.seq, r.canonical) for r in got.collect()) == model(batch)
 
 
 def test_resolution_sees_the_old_state(spark):
-    old = spark.createDataFrame([("David Bowie", "People", [], 1.0)], "name string, entity_type string, aliases array<string>, confidence double")
+    old = spark.createDataFrame([("David Bowie", "People", [], 1.0)],
+        "name string, entity_type string, aliases array<string>, confidence double")
     claims = spark.createDataFrame([("ziggy", "David Bowie", "People")], "alias string, canonical_name string, entity_type string")
-    b = spark.createDataFrame([(1, "david  bowie", "People", [], 0.4), (2, "Ziggy", "People", [], 0.9), (3, "Ziggy", "Products", [], 0.9)], E)
-    assert sorted((r.seq, r.canonical) for r in canonical.resolve_entities(b, old, claims).collect()) == [(1, "David Bowie"), (2, "David Bowie"), (3, "Ziggy")]
+    b = spark.createDataFrame([(1, "david  bowie", "People", [], 0.4), (2, "Ziggy", "People", [], 0.9), (3, "Ziggy", "Products", [], 0.9)],
+        E)
+    assert sorted((r.seq, r.canonical) for r in canonical.resolve_entities(b, old, claims).collect()) == [(1, "David Bowie"),
+        (2, "David Bowie"), (3, "Ziggy")]
 
 
 def test_upserts(spark, rows):
@@ -58,7 +62,8 @@ def test_upserts(spark, rows):
     assert rows(upsert.merge_entities(old, new)) == [("a", "t", ["x", "y"], 0.8), ("b", "t", [], None)]
     s = "document_id string, source string, source_id string, metadata string, seen_at timestamp, seq long"
     at = datetime(2024, 1, 1)
-    b = spark.createDataFrame([("doc-1", "Alpha", "e1", "{}", at, 1), ("doc-1", "alpha", "e1", "{1}", at, 2), ("doc-2", "alpha", "e1", "{}", at, 3)], s)
+    b = spark.createDataFrame([("doc-1", "Alpha", "e1", "{}", at, 1), ("doc-1", "alpha", "e1", "{1}", at, 2),
+        ("doc-2", "alpha", "e1", "{}", at, 3)], s)
     own, lost = upsert.register_sources(empty(spark, "document_sources"), b)
     assert [(r.document_id, r.metadata) for r in own.collect()] == [("doc-1", "{1}")]
     assert [(r.document_id, r.existing_value, r.resolution) for r in lost.collect()] == [("doc-2", "doc-1", "review")]
@@ -69,12 +74,15 @@ def test_upserts(spark, rows):
     m = spark.createDataFrame([("dup", "can", "t")], "duplicate string, canonical string, entity_type string")
     e = spark.createDataFrame([("can", "t", [], 0.4), ("dup", "t", ["z"], 0.9), ("dup", "other", [], 0.1)], old.schema)
     assert rows(upsert.merge_entity_rows(e, m)) == [("can", "t", ["dup", "z"], 0.9), ("dup", "other", [], 0.1)]
-    ln = spark.createDataFrame([("d", "can", "t", 0.4), ("d", "dup", "t", 0.8)], "document_id string, entity_name string, entity_type string, confidence double")
-    assert rows(upsert.rewire(ln, m, "entity_name", ["document_id", "entity_name", "entity_type"], ["entity_type"])) == [("d", "can", "t", 0.8)]
+    ln = spark.createDataFrame([("d", "can", "t", 0.4), ("d", "dup", "t", 0.8)],
+        "document_id string, entity_name string, entity_type string, confidence double")
+    assert rows(upsert.rewire(ln, m, "entity_name", ["document_id", "entity_name", "entity_type"], ["entity_type"])) == [
+        ("d", "can", "t", 0.8)]
 
 
 def test_vocabulary(spark, rows):
-    v = spark.createDataFrame([("L1", "人工智能", None), ("L2", "人工", ""), ("L3", "a", None), ("L4", "AI", None), ("L5", "发发", None)], "id string, word string, traditional string")
+    v = spark.createDataFrame([("L1", "人工智能", None), ("L2", "人工", ""), ("L3", "a", None), ("L4", "AI", None), ("L5", "发发", None)],
+        "id string, word string, traditional string")
     d = spark.createDataFrame([(1, "人工智能 and AI a 发发发"), (2, ""), (3, None)], "doc_id long, text string")
     assert rows(vocabulary.match_counts(d, v)) == [(1, "L1", 1), (1, "L2", 1), (1, "L5", 2)]
     assert {r.vocabulary_id for r in vocabulary.contains_links(d, v).collect()} == {"L1", "L2", "L3", "L4", "L5"}
@@ -94,7 +102,8 @@ def test_inference_numbers(spark, rows):
     legs = json.loads(c[0].provenance)
     assert [x["document_ids"] for x in legs] == [["d1"], []]
     assert inference.relation_chains(rel.where("relation = 'performed'"), doc).count() == 0
-    de = spark.createDataFrame([("a1", "A", "People", 1.0), ("j1", "A", "People", 1.0)], "document_id string, entity_name string, entity_type string, confidence double")
+    de = spark.createDataFrame([("a1", "A", "People", 1.0), ("j1", "A", "People", 1.0)],
+        "document_id string, entity_name string, entity_type string, confidence double")
     docs = spark.createDataFrame([("a1", "first"), ("j1", "tunes")], "id string, source string")
     dv = spark.createDataFrame([("a1", "v1", 0.9)], "document_id string, vocabulary_id string, confidence double")
     ents = spark.createDataFrame([("T", "MusicTracks")], "name string, entity_type string")
@@ -103,7 +112,8 @@ def test_inference_numbers(spark, rows):
     two = inference.three_way_links(de, docs, dv, dr, ents, "first", "tunes")
     assert rows(two.select("right_kind", "confidence")) == [("music_track", 0.729), ("vocabulary", 0.81)]
     assert [r.confidence for r in inference.album_links(two, rel, dr).collect()] == [0.69255]
-    es = spark.createDataFrame([("A", "People", s, d) for s, d in (("a", "a2"), ("a", "a1"), ("j", "j1"), ("v", "v1"))], "entity_name string, entity_type string, source string, document_id string")
+    es = spark.createDataFrame([("A", "People", s, d) for s, d in (("a", "a2"), ("a", "a1"), ("j", "j1"), ("v", "v1"))],
+        "entity_name string, entity_type string, source string, document_id string")
     b = inference.source_bridges(es)
     assert b.count() == 3 and b.where("source_a = 'a' and source_b = 'j'").first().documents_a == 2
     assert rows(inference.bridge_documents(es).where("source = 'a'").select("document_id")) == [("a1",), ("a2",)]
@@ -111,7 +121,8 @@ def test_inference_numbers(spark, rows):
 
 
 def test_ambiguous_ends_make_no_edge(spark):
-    e = spark.createDataFrame([("Apple", "Organizations", [], 1.0), ("Apple", "Products", [], 1.0), ("Jobs", "People", ["SJ"], 1.0), ("Pixar", "Organizations", [], 1.0)], "name string, entity_type string, aliases array<string>, confidence double")
+    e = spark.createDataFrame([("Apple", "Organizations", [], 1.0), ("Apple", "Products", [], 1.0), ("Jobs", "People", ["SJ"], 1.0),
+        ("Pixar", "Organizations", [], 1.0)], "name string, entity_type string, aliases array<string>, confidence double")
     r = spark.createDataFrame([("Jobs", "runs", "Apple", 1.0), ("SJ", "owns", "Pixar", 0.5), ("Jobs", "owns", "Pixar", 0.7)], R)
     got = graph.relation_edges(r, graph.name_index(e, empty(spark, "entity_aliases"))).collect()
     assert [(x.source, x.relation, x.target, x.confidence) for x in got] == [("People:Jobs", "owns", "Organizations:Pixar", 0.7)]
@@ -123,7 +134,8 @@ def test_audit(spark):
     t["relations"] = spark.createDataFrame([("a", "Bad Name", "a", 1.5)], R)
     t["results"] = spark.createDataFrame([("x", "{}")], "document_id string, payload string")
     rep = qa.audit(spark, t)
-    assert rep["status"] == "FAIL" and set(rep["counts"]) == {"relation.orphan_endpoint", "relation.confidence_range", "relation.self_loop", "relation.invalid_name", "result.orphan"}
+    assert rep["status"] == "FAIL" and set(rep["counts"]) == {"relation.orphan_endpoint", "relation.confidence_range", "relation.self_loop",
+        "relation.invalid_name", "result.orphan"}
     assert qa.audit(spark, {})["findings"][0]["rule"] == "schema.required_tables"
 
 
@@ -138,7 +150,9 @@ def test_readers_and_engine(spark, tmp_path):
     with pytest.raises(readers.InputError, match="repeated id"):
         readers.read_documents(spark, str(p2))
     e = tmp_path / "e.jsonl"
-    e.write_text(json.dumps({"id": "7", "content": "c", "entities": [{"name": " Apple Inc. ", "entity_type": "company", "confidence": 3, "aliases": ["Apple"]}, {"name": ""}], "relations": [{"source": "Apple", "relation": "owns", "target": "Beats"}]}) + "\n")
+    e.write_text(json.dumps({"id": "7", "content": "c", "entities": [
+        {"name": " Apple Inc. ", "entity_type": "company", "confidence": 3, "aliases": ["Apple"]}, {"name": ""}],
+            "relations": [{"source": "Apple", "relation": "owns", "target": "Beats"}]}) + "\n")
     en = readers.read_enriched(spark, str(e))
     r = en.first()
     assert [(x.name, x.entity_type, x.confidence) for x in r.entities] == [("Apple Inc.", "Organizations", 1.0)] and r.importance == 0.5
@@ -156,7 +170,8 @@ def test_readers_and_engine(spark, tmp_path):
     assert engine.ingest_enriched(spark, store, en) == {"processed": 1, "skipped": 0, "errors": 0}
     assert engine.ingest_enriched(spark, store, en) == {"processed": 0, "skipped": 1, "errors": 0}
     assert engine.ingest_enriched(spark, store, t) == {"processed": 1, "skipped": 0, "errors": 0}
-    assert [(x.source_name, x.target_name) for x in store.read("relations").where("relation = 'owns'").collect()] == [("Apple Inc.", "Beats")]
+    assert [(x.source_name, x.target_name) for x in store.read("relations").where("relation = 'owns'").collect()] == [
+        ("Apple Inc.", "Beats")]
     engine.ingest_vocabulary(spark, store, readers.read_vocabulary(spark, str(c)))
     engine.derive(store, "enriched", "music")
     assert {(x.source_name, x.target_name) for x in store.read("derived_relations").collect()} == {("A", "LP"), ("B", "LP")}
@@ -169,7 +184,8 @@ def test_readers_and_engine(spark, tmp_path):
 
 def test_levels_and_file_names(spark, rows):
     df = spark.createDataFrame([(["HSK6"],), (["7-9"],), ([],), (None,)], "l array<string>")
-    assert [tuple(r) for r in df.select(*[sinks.level_bucket(F.col("l"), w) for w in sinks.LEVELS.values()]).collect()] == [(True, False), (False, True), (False, False), (False, False)]
+    assert [tuple(r) for r in df.select(*[sinks.level_bucket(F.col("l"), w) for w in sinks.LEVELS.values()]).collect()] == [(True, False),
+        (False, True), (False, False), (False, False)]
     n = spark.createDataFrame([("d", "a/b", "1"), ("d", "a:b", "2"), ("d", "c", "3")], "dir string, name string, text string")
     assert len({r.path for r in sinks.distinct_paths(n).collect()}) == 3
 
@@ -178,7 +194,8 @@ def test_stream(spark, tmp_path):
     from kgloom.streaming.ingest import stream_enriched
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text(json.dumps({"id": "s1", "content": "x", "entities": [{"name": "N", "entity_type": "person"}]}) + "\n")
+    (tmp_path / "in/a.json").write_text(json.dumps({"id": "s1", "content": "x",
+        "entities": [{"name": "N", "entity_type": "person"}]}) + "\n")
     store = engine.TableStore(spark, str(tmp_path / "db"))
     q = stream_enriched(spark, str(tmp_path / "in"), store, str(tmp_path / "cp"))
     q.awaitTermination(120)
