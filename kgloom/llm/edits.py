@@ -63,8 +63,12 @@ def deletes(c: Column, wide: Column | None = None) -> Column:
         return F.concat(F.substring(s, F.lit(1), i), F.substring(s, i + 2, F.length(s)))
 
     one = F.transform(F.sequence(F.lit(0), n - 1), lambda i: cut(c, i))
+
+    def cut_two(i: Column, j: Column) -> Column:
+        return F.concat(F.substring(c, F.lit(1), j), F.substring(c, j + 2, i - j - 1), F.substring(c, i + 2, n))
+
     two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1),
-        lambda i: F.transform(F.sequence(F.lit(0), i - 1), lambda j: cut(cut(c, i), j))))
+        lambda i: F.transform(F.sequence(F.lit(0), i - 1), lambda j: cut_two(i, j))))
     none = F.array(c)
     every = F.when(n < 4, none).when((n < 8) if wide is None else (n < 8) | ~wide, F.concat(none, one)).otherwise(F.concat(none, one, two))
     return F.array_distinct(F.transform(every, lambda s: F.xxhash64(s)))
