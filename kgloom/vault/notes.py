@@ -144,7 +144,7 @@ def entity_files(files: DataFrame) -> DataFrame:
     names with a leading underscore are no entities; legacy domains are mapped (``raw_domain`` keeps the folder)."""
     parts = F.split("path", "/")
     e = files.where(F.col("path").rlike(r"(^|/)entities/[^/]+/[^/_][^/]*\.md$"))
-    e = e.select(F.col("path").alias("relative"), F.element_at(parts, -2).alias("raw_domain"), stem(F.col("path")).alias("name"),
+    e = e.select(F.col("path").alias("relative"), F.try_element_at(parts, F.lit(-2)).alias("raw_domain"), stem(F.col("path")).alias("name"),
         read_front("text").alias("fields"), F.col("hash").alias("content_hash"), "text")
     return e.withColumn("domain", known_type(F.col("raw_domain"))).withColumn("normalized", norm_name("name")).withColumn("aliases",
         alias_list(F.coalesce(F.col("fields")["aliases"], F.lit(""))))
@@ -203,7 +203,7 @@ def audit(files: DataFrame) -> DataFrame:
     links = link_rows(files)
     index = target_index(files).groupBy("key").agg(F.array_sort(F.collect_set("path")).alias("hits"))
     l = links.withColumn("key", norm_name("target")).join(index, "key", "left")
-    one = F.element_at("hits", 1)
+    one = F.try_element_at("hits", F.lit(1))
     folder = F.regexp_extract("target", r"(?:^|/)entities/([^/]+)/", 1)
     kind = (
         F.when((folder != "") & known_type(folder).isNull(), "invalid_entity_domain_link").when(F.col("hits").isNull() & (folder != ""),
@@ -285,7 +285,7 @@ def organization_plan(files: DataFrame, root: str = "20_Entities") -> DataFrame:
     the front matter must agree, targets must be free; protected folders are left alone."""
     first = F.split_part(F.col("path"), F.lit("/"), F.lit(1))
     fields = read_front("text")
-    folder = known_type(F.element_at(F.split("path", "/"), -2))
+    folder = known_type(F.try_element_at(F.split("path", "/"), F.lit(-2)))
     said = known_type(F.coalesce(fields["entity_type"], fields["type"], F.lit("")))
     f = files.where(~first.isin(PROTECTED_DIRS)).select("path", "hash", folder.alias("folder"),
         said.alias("said")).where("folder is not null or said is not null")
